@@ -7,19 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.bpe import bpe_encode
 from lamina.llm.simhash import simhash_components
+from lamina.llm.tokenfile import token_round_trip
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_docs(spark, sf_dir), _vocabulary(), digest=True).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_docs(spark, sf_dir), _vocabulary(), end_id=2).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_docs(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_bpe": op8_bpe,
+    "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
