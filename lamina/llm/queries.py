@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import bpe_encode
+from lamina.llm.quality import score_quality, train_quality
 from lamina.llm.simhash import simhash_components
 from lamina.llm.tokenfile import token_round_trip
+from lamina.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,22 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    scored = score_toxicity(docs, train_toxicity(docs, _labels(spark, sf_dir)))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("threshold").alias("lang_threshold"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    scored = score_quality(docs, train_quality(docs, _labels(spark, sf_dir)))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_docs(spark, sf_dir), _vocabulary(), digest=True).withColumnRenamed("id", "doc_id")
 
@@ -36,6 +54,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
