@@ -237,7 +237,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
     ids = [(r["id"], r["y"]) for r in labelled_ids(labels, label, sample, id_col).collect()]
     found = sampled(docs, ids, lambda t: hashes_of(t).tobytes(), id_col, text_col)
     hashed, y = [np.frombuffer(d, np.uint32) for _, _, d in found], np.array([y for _, y, _ in found])
-    order = np.random.default_rng(9).permutation(len(rows))
+    order = np.random.default_rng(9).permutation(len(hashed))
     cut = len(order) - len(order) // 4
     train, tune = order[:cut], order[cut:]
     known, odds = vocabulary([hashed[i] for i in train], y[train])
