@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.ann import nearest
 from lamina.llm.bpe import bpe_encode
+from lamina.llm.packing import pack_documents
 from lamina.llm.quality import score_quality, train_quality
+from lamina.llm.shard import shard_documents
 from lamina.llm.simhash import simhash_components
 from lamina.llm.tokenfile import token_round_trip
 from lamina.llm.toxicity import score_toxicity, train_toxicity
@@ -24,6 +27,19 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_docs(spark, sf_dir), shards=16).withColumnRenamed("id", "doc_id")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -54,12 +70,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
+    "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
+_COSINE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, x -> x * x), (a, b) -> a + b)) AS norm FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, c.e), x -> x[1] * x[2]), (a, b) -> a + b) / (q.norm * c.norm) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 #: DuckDB SQL over the same tables, where SQL can express the result.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_nearest": _COSINE}
