@@ -11,6 +11,7 @@ from lamina.llm.ann import nearest
 from lamina.llm.bpe import bpe_encode
 from lamina.llm.packing import pack_documents
 from lamina.llm.quality import score_quality, train_quality
+from lamina.llm.recompress import remove_repeats
 from lamina.llm.shard import shard_documents
 from lamina.llm.simhash import simhash_components
 from lamina.llm.tokenfile import token_round_trip
@@ -36,6 +37,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=16).withColumnRenamed("id", "doc_id")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
