@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.ann import nearest
 from lamina.llm.bpe import bpe_encode
+from lamina.llm.merkle import edit_fingerprints
 from lamina.llm.packing import pack_documents
 from lamina.llm.quality import score_quality, train_quality
 from lamina.llm.recompress import remove_repeats
@@ -37,6 +38,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_merkle": op5_merkle,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
@@ -100,5 +106,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+
+
+def _tree(text: str, name: str) -> str:
+    """CTE ``name``: doc_id, fp and leaves of the texts of a relation ``text``."""
+    return f"""
+{name}0 AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda p:
+    list_transform(string_split(regexp_replace(p, '([.!?;,|]|n )', concat('\\1', chr(10)), 'g'), chr(10)), lambda c: sha256(c))) AS cl FROM {text}),
+{name}1 AS (SELECT doc_id, cl, list_transform(cl, lambda c: sha256(array_to_string(c, '.'))) AS pa FROM {name}0),
+{name}2 AS (SELECT *, list_transform(string_split(replace(replace(array_to_string(pa, ' '), ' 0', concat(chr(10), '0')),
+    concat(' ', sha256(sha256(''))), concat(chr(10), sha256(sha256('')))), chr(10)), lambda s: sha256(s)) AS se FROM {name}1),
+{name}3 AS (SELECT *, list_transform(flatten(cl), lambda x: left(x, 8)) AS lv FROM {name}2),
+{name} AS (SELECT doc_id, lv, concat_ws('|', sha256(array_to_string(se, ' ')), array_to_string(list_transform(se, lambda x: left(x, 8)), '.'),
+    array_to_string(list_transform(pa, lambda x: left(x, 8)), '.'), array_to_string(lv, '.')) AS fp FROM {name}3)"""
+
+
+_LIKE = "len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))"
+_MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt,
+    coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS nid FROM d),
+e AS (SELECT doc_id, nid, length(t) AS n, concat(left(t, length(t) - length(t) // 4), left(nt, length(t) // 4)) AS t FROM o),
+{_tree("d", "a")}, {_tree("e", "b")}
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+    {_LIKE.format(a="a.lv", b="b.lv")} AS near_edited, {_LIKE.format(a="a.lv", b="c.lv")} AS near_next
+FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN a c ON c.doc_id = e.nid
+"""
+
 #: DuckDB SQL over the same tables, where SQL can express the result.
-ORACLE_SQL: dict[str, str] = {"op1_nearest": _COSINE}
+ORACLE_SQL: dict[str, str] = {"op1_nearest": _COSINE, "op5_merkle": _MERKLE}
