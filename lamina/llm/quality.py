@@ -92,7 +92,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Each row's whole text scored: (id, held_out, score), or with ``keep`` every column of ``docs`` and _score.
+    """Each row's whole text scored: (id, held_out, score), or with ``keep`` (row, score), row being the
+    struct of every column of ``docs``.
 
     Null texts are empty; the empty text has the score of its features like any other. Repeated rows
     score alike; the id only tells whether the row is held out.
@@ -109,5 +110,5 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     out = map_arrow(inner, run, f"row {inner.schema['row'].dataType.simpleString()}, score double")
     if keep:
-        return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("score").alias("_score"))
+        return out
     return out.select(F.col("row").alias("id"), held_out(F.col("row")).alias("held_out"), "score")

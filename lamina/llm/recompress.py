@@ -431,7 +431,7 @@ def _finish(owners: int, digest: bool):
                         words = [w for w, out in zip(words, mask.tolist(), strict=True) if not out]
                     else:
                         n_removed.append(0)
-                    left = b" ".join(words)
+                    left = text if not n_removed[-1] and not digest else b" ".join(words)
                     kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass"))
                 row = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all().combine_chunks().column(0).combine_chunks()
                 row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
@@ -445,8 +445,8 @@ def _finish(owners: int, digest: bool):
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """(columns of ``keep``, n_words, n_removed, kept) for every row: its words without those in a window of
-    13 words that a document with a smaller id also has. ``kept`` is the words left, joined by a space,
-    or with ``digest`` their sha256.
+    13 words that a document with a smaller id also has. ``kept`` is the text itself where it lost
+    nothing, else the words left, joined by a space; with ``digest`` the sha256 of the words left, so joined.
 
     Windows are judged on the input. Null and blank texts have no words. Documents without an id lose
     nothing and are no source. Rows with one id are no source for each other.

@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, materialise, text_of, word_lists
+from lamina.llm.common import batch_of, map_arrow, materialise, mix64, text_of, word_lists
 
 #: Fingerprints in a block of a bucket; a larger bucket is compared block against block.
 BLOCK = 4096
 #: Hashes gathered before they are counted.
 CHUNK = 1 << 17
 
+_STEP = 0x9E3779B97F4A7C15
 #: Byte -> eight byte lanes, one for each of its bits.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -65,32 +66,35 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_batch(texts: list[str | None], k: int, seeds: list[int]) -> np.ndarray:
-    """Fingerprints, 64 bits for each seed: shape (texts, seeds), uint64. No words: zero."""
-    out = np.zeros((len(texts), len(seeds)), np.uint64)
-    for s, seed in enumerate(seeds):
-        counts, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
-        held: list[list[int]] = []
-        owners: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            if held:
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                np.add.at(counts, owners, bit_counts(np.fromiter((h for part in held for h in part), np.uint64, size), starts))
-
-        for i, text in enumerate(texts):
-            for part in shingle_hashes(text or "", k, seed):
-                totals[i] += len(part)
-                held.append(part)
-                owners.append(i)
-                size += len(part)
-                if size >= CHUNK:
-                    flush()
-                    held, owners, size = [], [], 0
-        flush()
-        out[:, s] = np.packbits(2 * counts > totals[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+def fingerprint_batch(texts: list[str | None], k: int, words: int = 1, seed: int = 42) -> np.ndarray:
+    """Fingerprints of 64 bits for each word: shape (texts, words), uint64. No words in a text: zero.
+
+    The first word counts the bits of the shingles' XXH64; further words count those of its remixed values.
+    """
+    counts, totals = np.zeros((words, len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    held: list[list[int]] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        if held:
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            hashes = np.fromiter((h for part in held for h in part), np.uint64, size)
+            for w in range(words):
+                np.add.at(counts[w], owners, bit_counts(mix64(hashes + np.uint64(w * _STEP % 2**64)) if w else hashes, starts))
+
+    for i, text in enumerate(texts):
+        for part in shingle_hashes(text or "", k, seed):
+            totals[i] += len(part)
+            held.append(part)
+            owners.append(i)
+            size += len(part)
+            if size >= CHUNK:
+                flush()
+                held, owners, size = [], [], 0
+    flush()
+    set_bits = np.packbits(2 * counts > totals[None, :, None], axis=2, bitorder="little")
+    return np.ascontiguousarray(set_bits.view("<u8")[:, :, 0].T)
 
 
 def to_hex(fps: np.ndarray) -> list[str]:
@@ -105,9 +109,9 @@ def from_hex(values: list[str]) -> np.ndarray:
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Bit planes: (bits, words of 64 lanes). Lanes past the end are zero."""
-    n, seeds = fps.shape
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8 * seeds), axis=1, bitorder="little")
-    pad = np.zeros((64 * seeds, -(-n // 64) * 64), np.uint8)
+    n, words = fps.shape
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8 * words), axis=1, bitorder="little")
+    pad = np.zeros((64 * words, -(-n // 64) * 64), np.uint8)
     pad[:, :n] = bits.T
     return np.packbits(pad, axis=1, bitorder="little").view("<u8")
 
@@ -306,19 +310,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text in hex, 16 digits for each seed."""
+def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42) -> DataFrame:
+    """(id, fp): the fingerprint of every row's whole text in hex, 16 digits for each 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([("id", batch.schema.field(0).type), ("fp", pa.string())])
-            yield batch_of(schema, id=batch.column(0), fp=to_hex(fingerprint_batch(batch.column(1).to_pylist(), shingle, list(seeds))))
+            yield batch_of(schema, id=batch.column(0), fp=to_hex(fingerprint_batch(batch.column(1).to_pylist(), shingle, words, seed)))
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("text")), run, f"id {kind}, fp string")
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (42,), radius: int = 4, exact: bool = True, salt: int = 8) -> DataFrame:
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42, radius: int = 4, exact: bool = True, salt: int = 8) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the least id reachable over links.
 
     Texts are lower-cased (A-Z), words are runs other than space and tab to carriage return. Fewer
@@ -327,10 +331,10 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component's id unless it has no other. ``exact`` compares every pair that can be within
     ``radius``; otherwise keys of random bits are used, whose recall tests/llm states.
     """
-    rows = materialise(simhash(df, id_col, text_col, shingle, seeds), "fingerprints")
+    rows = materialise(simhash(df, id_col, text_col, shingle, words, seed), "fingerprints")
     firsts = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     distinct = firsts.count()
-    tables = plan_tables(distinct, 64 * len(seeds), radius) if exact else sample_tables(distinct, 64 * len(seeds))
+    tables = plan_tables(distinct, 64 * words, radius) if exact else sample_tables(distinct, 64 * words)
     labels = components(links(firsts, tables, radius))
     joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -338,3 +342,21 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # one fingerprint can hold a third of the rows: its rows are dealt over ``salt`` copies of its name
     salts = named.withColumn("s", F.explode(F.array([F.lit(i) for i in range(salt)])))
     return rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int")).join(salts, ["fp", "s"]).select("id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, radius: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the least id, then text hash.
+
+    Five-word shingles and 256 bits: texts whose shingle counts have a cosine of 0.87, as two sets with
+    a Jaccard likeness of 0.8 or a little less, differ in 42 bits on average; unrelated texts differ in 128, with a
+    deviation of 8. Null and blank texts are one group. Equal rows count as copies.
+    """
+    low = -(1 << 63)
+    keyed = docs.select(F.struct(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h")).alias("key"), text_of(docs, text_col).alias("text"))
+    found = simhash_components(keyed, "key", "text", shingle, words, radius=radius, exact=False)
+    heads = materialise(found.where("id = component_id").groupBy("id").count().select("id.k", "id.h", "count"), "heads")
+    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h"))
+    kept = tagged.join(heads.select("k", "h"), ["k", "h"], "left_semi")
+    if heads.where("count > 1").limit(1).count():
+        kept = kept.groupBy("k", "h").agg(F.first("row").alias("row"))
+    return kept.select("row.*")

@@ -255,8 +255,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
-    """Each row's whole text scored: (id, held_out, score, threshold), or with ``keep`` every column of ``docs``,
-    _score and _threshold. Null texts are empty; a text without words is all padding and is scored so.
+    """Each row's whole text scored: (id, held_out, score, threshold), or with ``keep`` (row, score, threshold),
+    row being the struct of every column of ``docs``. Null texts are empty; a text without words is all padding and is scored so.
     A null or unknown language takes the common threshold.
     """
     spark, names = docs.sparkSession, docs.columns
@@ -275,5 +275,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     out = map_arrow(inner, run, f"row {inner.schema['row'].dataType.simpleString()}, score double, threshold double")
     if keep:
-        return out.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("score").alias("_score"), F.col("threshold").alias("_threshold"))
+        return out
     return out.select(F.col("row").alias("id"), held_out(F.col("row")).alias("held_out"), "score", "threshold")
