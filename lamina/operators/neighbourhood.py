@@ -82,10 +82,10 @@ def quattro_expand(pixels: DataFrame, top: DataFrame, size_in: tuple[int, int],
 
     Places that the top layer does not cover keep their resized luma.
     """
-    y, u, v = opponent_top4(F.col("b"), F.col("m"), F.col("t"))
-    low = pixels.select(group, "y", "x", y.alias("Y"), u.alias("U"), v.alias("V"))
-    big = bicubic(low, ["Y", "U", "V"], size_in, size_out, library_kernel, group)
-    luma = top.select(group, "y", "x", clamp16(F.col("v") * 4).alias("_top"))
-    joined = big.join(luma, [group, "y", "x"], "left").withColumn("Y", F.coalesce("_top", "Y"))
-    b, m, t = opponent_top4_inverse(F.col("Y"), F.col("U"), F.col("V"))
+    luma, u, v = opponent_top4(F.col("b"), F.col("m"), F.col("t"))
+    low = pixels.select(group, "y", "x", luma.alias("_luma"), u.alias("_u"), v.alias("_v"))
+    big = bicubic(low, ["_luma", "_u", "_v"], size_in, size_out, library_kernel, group)
+    full = top.select(group, "y", "x", clamp16(F.col("v") * 4).alias("_top"))
+    joined = big.join(full, [group, "y", "x"], "left").withColumn("_luma", F.coalesce("_top", "_luma"))
+    b, m, t = opponent_top4_inverse(F.col("_luma"), F.col("_u"), F.col("_v"))
     return joined.select(group, "y", "x", b.alias("b"), m.alias("m"), t.alias("t"))
