@@ -81,6 +81,15 @@ def vocabulary(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
     return known[keep], np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
 
 
+def lay_out(pieces: list[np.ndarray], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces one after the other, and for reduceat the first and past-last of each piece's ``counts`` window starts.
+
+    Each piece ends with enough padding that none of its windows reaches the next.
+    """
+    starts = np.cumsum([0, *[len(p) for p in pieces[:-1]]])
+    return np.concatenate(pieces), np.stack([starts, starts + np.array(counts)], axis=1).ravel()
+
+
 @dataclass
 class Net:
     emb: np.ndarray
@@ -113,33 +122,33 @@ class Net:
         return r
 
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Largest response of each filter over each whole document, in chunks of bounded size."""
+        """Largest response of each filter over the windows that start in each whole document.
+
+        Works in chunks of bounded size; a chunk takes the words after it that its last windows need.
+        """
         out = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-        pad = max(WIDTHS) - 1
+        gap = np.zeros(max(WIDTHS) + 1, np.int32)
         held: list[np.ndarray] = []
+        counts: list[int] = []
         owner: list[int] = []
         size = 0
-        gap = np.zeros(pad, np.int32)
 
         def flush() -> None:
-            if not held:
-                return
-            starts = np.cumsum([0, *[len(h) for h in held[:-1]]])
-            flat = np.concatenate(held)
-            for k, w in enumerate(WIDTHS):
-                r = self.responses(np.append(flat, gap[: w - 1]), k)
-                best = np.maximum.reduceat(r, starts, axis=0)
-                np.maximum.at(out[:, k * FILTERS : (k + 1) * FILTERS], owner, best)
+            if held:
+                flat, cuts = lay_out(held, counts)
+                for k in range(len(WIDTHS)):
+                    best = np.maximum.reduceat(self.responses(flat, k), cuts, axis=0)[::2]
+                    np.maximum.at(out[:, k * FILTERS : (k + 1) * FILTERS], owner, best)
 
         for i, rows in enumerate(docs):
             for a in range(0, max(len(rows), 1), CHUNK):
-                # a chunk takes the words before it that its first windows need; padding ends it
-                held.append(np.concatenate([rows[max(0, a - pad) : a + CHUNK], gap]))
+                held.append(np.concatenate([rows[a : a + CHUNK + len(gap) - 1], gap]))
+                counts.append(max(1, min(CHUNK, len(rows) - a)))
                 owner.append(i)
                 size += len(held[-1])
                 if size >= CHUNK:
                     flush()
-                    held, owner, size = [], [], 0
+                    held, counts, owner, size = [], [], [], 0
         flush()
         for k in range(len(WIDTHS)):
             s = slice(k * FILTERS, (k + 1) * FILTERS)
@@ -150,19 +159,18 @@ class Net:
         return (self.pooled(docs) @ self.out + self.out_bias[0]).astype(float) if docs else np.zeros(0)
 
     def gradients(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        pad = max(WIDTHS) - 1
-        gap = np.zeros(pad, np.int32)
-        flat = np.concatenate([np.concatenate([d, gap]) for d in docs] + [gap])
-        starts = np.cumsum([0, *[len(d) + pad for d in docs[:-1]]])
-        lengths = np.array([len(d) + pad for d in docs])
-        owner = np.repeat(np.arange(len(docs)), lengths)
+        gap = np.zeros(max(WIDTHS) + 1, np.int32)
+        counts = [max(1, len(d)) for d in docs]
+        flat, cuts = lay_out([np.concatenate([d, gap]) for d in docs], counts)
+        inside = np.concatenate([np.arange(a, a + n) for a, n in zip(cuts[::2], counts, strict=True)])
+        owner = np.repeat(np.arange(len(docs)), counts)
         at, feats = [], []
         for k in range(len(WIDTHS)):
             r = self.responses(flat, k)
-            best = np.maximum.reduceat(r[: lengths.sum()], starts, axis=0)
+            best = np.maximum.reduceat(r, cuts, axis=0)[::2]
             spots = np.empty(best.shape, np.int64)  # docs x filters: where the largest response is, first of ties
-            spot, which = np.nonzero(r[: lengths.sum()] == np.repeat(best, lengths, axis=0))
-            spots[owner[spot[::-1]], which[::-1]] = spot[::-1]
+            spot, which = np.nonzero(r[inside] == best[owner])
+            spots[owner[spot[::-1]], which[::-1]] = inside[spot[::-1]]
             at.append(spots)
             feats.append(np.maximum(r[spots, np.arange(FILTERS)] + self.bias[k], 0))
         h = np.hstack(feats)
