@@ -72,7 +72,8 @@ def preset_matrix(entries: DataFrame, list_name: str, preset: str, sizes: list[i
     """
     names = ["Daylight", "Sunlight"] if preset == "Daylight" else [preset]
     lists = entries.where((F.col("kind") == "props") & (F.col("name") == list_name)).groupBy("path").agg(F.min_by("props", "idx").alias("props"))
-    pick = first_of(*[F.get(F.filter("props", lambda p, n=n: p["name"] == n), F.lit(0))["value"] for n in names])
+    item = lambda n: F.get(F.filter("props", lambda p: p["name"] == n), F.lit(0))["value"]
+    pick = first_of(*[item(n) for n in names])
     wanted = lists.select("path", pick.alias("name")).where("name is not null")
     matrices = entries.where("kind = 'matrix'").groupBy("path", "name").agg(F.min_by(F.struct("f64", "dims"), "idx").alias("m"))
     ok = F.col("m.f64").isNotNull() & (F.transform("m.dims", lambda d: d["size"].cast("int")) == F.array([F.lit(s) for s in sizes]))
@@ -104,7 +105,7 @@ def max_raw(entries: DataFrame) -> DataFrame:
     depth = scalar(entries, "ImageDepth").withColumnRenamed("value", "_d")
     raw, sat = [vector(entries, n, 3, "i64").withColumnRenamed("value", c) for n, c in (("RawSaturationLevel", "_r"), ("SaturationLevel", "_s"))]
     joined = engine.join(depth, "path", "left").join(raw, "path", "left").join(sat, "path", "left")
-    top = F.shiftleft(F.lit(1).cast("long"), F.col("_d").cast("int")) - 1
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_d").cast("int")) - 1
     value = F.when(F.col("_d").isNotNull(), F.array(top, top, top)).when(F.col("_e"), F.col("_r")).otherwise(F.col("_s"))
     return joined.select("path", F.coalesce(value, F.array([F.lit(4095).cast("long")] * 3)).alias("value"))
 

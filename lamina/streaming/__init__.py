@@ -1 +1 @@
-
+"""Files are read whole and by offset: there is no unbounded input, so no streaming operator."""
