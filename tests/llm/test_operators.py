@@ -390,7 +390,9 @@ def test_classifiers_on_odd_rows(spark, docs, none):
             rows = score(docs, model).collect()
             assert len(rows) == len(documents()) and all(0 <= r["score"] <= 1 for r in rows)
             assert score(none, model).count() == 0
-            kept = score(docs, model, keep=True).select("row.*")
+            both = score(docs, model, keep=True)
+            assert sorted((str(r["row"]["doc_id"]), r["score"]) for r in both.collect()) == sorted((str(r["id"]), r["score"]) for r in rows)
+            kept = both.select("row.*")
             assert kept.columns == docs.columns and kept.count() == len(rows)
     assert {r["id"]: r["h"] for r in docs.select("doc_id", learn.held_out(docs["doc_id"]).alias("h")).selectExpr("doc_id as id", "h").collect() if r["id"] is not None} == {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in documents() if r[0] is not None}
 

@@ -59,7 +59,7 @@ def test_planted_copies_and_clean_neighbours(spark):
         rows.append((g * 10, " ".join(base)))
         for k in range(1, 4):
             other = list(base)
-            for _ in range(4 * k):
+            for _ in range(k + 1):
                 other[random.randrange(300)] = "changed"
             rows.append((g * 10 + k, " ".join(other)))
     clean = [(10000 + i, " ".join(line(150))) for i in range(300)]
