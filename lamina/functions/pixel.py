@@ -57,9 +57,9 @@ def opponent_top4_inverse(y: Column, u: Column, v: Column) -> Triple:
     return clamp16(idiv(y + 2 * u + 2, 4)), clamp16(idiv(y + u - 2 * v + 2, 4)), clamp16(idiv(y + 2, 4))
 
 
-def apply_matrix(matrix: list[float], a: Column, b: Column, c: Column) -> Triple:
-    """A row-major 3x3 matrix times a column vector."""
-    m = [F.lit(float(x)) for x in matrix]
+def apply_matrix(matrix: list, a: Column, b: Column, c: Column) -> Triple:
+    """A row-major 3x3 matrix, of numbers or columns, times a column vector."""
+    m = [x if isinstance(x, Column) else F.lit(float(x)) for x in matrix]
     return tuple(m[3 * i] * a + m[3 * i + 1] * b + m[3 * i + 2] * c for i in range(3))  # type: ignore[return-value]
 
 
@@ -156,7 +156,7 @@ def develop(rgb: Triple, stops: float = 0.0, tone: str = "aces", gamma: float =
     return tuple(gamma_power(c, gamma) for c in rgb) if gamma > 0 else rgb  # type: ignore[return-value]
 
 
-def to_linear_srgb(rgb: Triple, matrix: list[float], bias: Column, tops: Triple) -> Triple:
+def to_linear_srgb(rgb: Triple, matrix: list, bias: Column, tops: Triple) -> Triple:
     """Intermediate values to linear sRGB in 0..65535: normalise, one fused matrix, clamp, truncate."""
     unit = [(v - bias) / (top - bias) for v, top in zip(rgb, tops, strict=True)]
     return tuple(F.floor(clamp(v * 65535.0)).cast("long") for v in apply_matrix(matrix, *unit))  # type: ignore[return-value]

@@ -67,15 +67,19 @@ def linear(v: Column, level: Column, top: Column, bias: Column, max_raw: Column)
     return clamp16(F.round((top - bias) / (max_raw - level) * (v - level) + bias))
 
 
+def with_range(levels: DataFrame, gain: list[Column], max_raw: list[Column]) -> DataFrame:
+    """Add bias and the top of each channel to a frame of level_* and dev_* columns, one row for each image."""
+    level, dev = [F.col(f"level_{c}") for c in CHANNELS], [F.col(f"dev_{c}") for c in CHANNELS]
+    per = levels.withColumn("bias", intermediate_bias(dev, level, max_intermediate(gain), max_raw))
+    return per.withColumns({f"top_{c}": t for c, t in zip(CHANNELS, max_intermediate(gain, F.col("bias")), strict=True)})
+
+
 def linearise(pixels: DataFrame, levels: DataFrame, gain: tuple[float, float, float], max_raw: int = MAX_RAW, channels: tuple[str, ...] = CHANNELS, group: str = "image_id") -> DataFrame:
     """Map every pixel with its image's levels; bias and tops are computed once for each image, then joined."""
-    g = [F.lit(float(x)) for x in gain]
     raw = [F.lit(float(max_raw))] * 3
-    level, dev = [F.col(f"level_{c}") for c in CHANNELS], [F.col(f"dev_{c}") for c in CHANNELS]
-    per = levels.withColumn("bias", intermediate_bias(dev, level, max_intermediate(g), raw))
-    per = per.withColumns({f"top_{c}": t for c, t in zip(CHANNELS, max_intermediate(g, F.col("bias")), strict=True)})
+    per = with_range(levels, [F.lit(float(x)) for x in gain], raw)
     per = per.select(group, "bias", *[f"level_{c}" for c in CHANNELS], *[f"top_{c}" for c in CHANNELS])
-    done = {c: linear(F.col(c), F.col(f"level_{c}"), F.col(f"top_{c}"), F.col("bias"), F.lit(float(max_raw))) for c in channels}
+    done = {c: linear(F.col(c), F.col(f"level_{c}"), F.col(f"top_{c}"), F.col("bias"), raw[0]) for c in channels}
     return pixels.join(per, group).withColumns(done)
 
 

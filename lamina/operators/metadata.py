@@ -114,11 +114,48 @@ def rect(entries: DataFrame, name: str) -> DataFrame:
     return vector(entries, name, 4, "i64")
 
 
+def neutral_of(raw: list[Column]) -> list[Column]:
+    """The raw values of a neutral grey under a raw-to-XYZ matrix: its inverse (or the identity) times the white point."""
+    from lamina.functions.matrix import NEUTRAL_XYZ
+
+    det = raw[0] * (raw[4] * raw[8] - raw[5] * raw[7]) - raw[1] * (raw[3] * raw[8] - raw[5] * raw[6]) + raw[2] * (raw[3] * raw[7] - raw[4] * raw[6])
+    cof = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
+    inv = [F.when(F.abs(det) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise((raw[a] * raw[b] - raw[c] * raw[d]) / det) for i, (a, b, c, d) in enumerate(cof)]
+    return [sum((inv[3 * i + k] * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]
+
+
+def gather(entries: DataFrame) -> DataFrame:
+    """(path, e): all entries of a file as one array in order, for lookups that are expressions instead of joins."""
+    row = F.struct("idx", "kind", "name", "text", "props", "dims", "f64", "i64")
+    return entries.groupBy("path").agg(F.array_sort(F.collect_list(row), lambda a, b: a["idx"] - b["idx"]).alias("e"))
+
+
+def entry_in(e: Column, kind: str, name: Column | str) -> Column:
+    """The first entry of a kind and name in a gathered array."""
+    name = name if isinstance(name, Column) else F.lit(name)
+    return F.get(F.filter(e, lambda x: (x["kind"] == kind) & (x["name"] == name)), F.lit(0))
+
+
+def numbers_in(e: Column, name: Column | str, n: int, field: str = "i64") -> Column:
+    """The values of a matrix if it has ``n`` elements of the wanted type, else null."""
+    v = entry_in(e, "matrix", name)[field]
+    return F.when(F.size(v) == n, v)
+
+
+def preset_in(e: Column, lists: tuple[str, ...], preset: Column, n: int) -> Column:
+    """The values of a preset's matrix by the first list that leads to one; a missing Daylight means Sunlight."""
+
+    def one(name: str) -> Column:
+        props = entry_in(e, "props", name)["props"]
+        item = lambda p: F.get(F.filter(props, lambda x: x["name"] == p), F.lit(0))["value"]
+        return numbers_in(e, F.coalesce(item(preset), F.when(preset == "Daylight", item(F.lit("Sunlight")))), n, "f64")
+
+    return first_of(*map(one, lists))
+
+
 def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
     """(path, value array of three): the preset's gains, from one of three places, times the sensor, temperature
     and aperture factors that are there."""
-    from lamina.functions.pixel import apply_matrix
-
     sources = [preset_matrix(entries, n, preset, [3]).withColumnRenamed("value", f"_g{i}") for i, n in enumerate(("WhiteBalanceGains", "DP1_WhiteBalanceGains"))]
     ill = preset_matrix(entries, "WhiteBalanceIlluminants", preset, [3, 3]).withColumnRenamed("value", "_i")
     cor = preset_matrix(entries, "WhiteBalanceCorrections", preset, [3, 3]).withColumnRenamed("value", "_c")
@@ -127,10 +164,7 @@ def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
         df = df.join(s, "path", "left")
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     raw = [sum((at("_c", 3 * i + k) * at("_i", 3 * k + j) for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)]
-    det = raw[0] * (raw[4] * raw[8] - raw[5] * raw[7]) - raw[1] * (raw[3] * raw[8] - raw[5] * raw[6]) + raw[2] * (raw[3] * raw[7] - raw[4] * raw[6])
-    cof = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
-    inv = [F.when(F.abs(det) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise((raw[a] * raw[b] - raw[c] * raw[d]) / det) for i, (a, b, c, d) in enumerate(cof)]
-    neutral = [inv[3 * i] * 0.950456 + inv[3 * i + 1] * 1.0 + inv[3 * i + 2] * 1.089058 for i in range(3)]
+    neutral = neutral_of(raw)
     legacy = F.when(F.col("_i").isNotNull() & F.col("_c").isNotNull(), F.array(*[1.0 / x for x in neutral]))
     df = df.withColumn("value", F.coalesce("_g0", "_g1", legacy)).where("value is not null")
     for i, n in enumerate(("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact")):
@@ -139,6 +173,30 @@ def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
     return df.select("path", "value")
 
 
+def product(a: list[Column], b: list[Column]) -> list[Column]:
+    """A 3x3 product of nine columns each."""
+    return [a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)]
+
+
+def layers_to_xyz(entries: DataFrame, preset: str) -> DataFrame:
+    """(path, value array of nine): sRGB's matrix times the preset's colour correction.
+
+    Without a correction, the illuminant matrix with its own correction, scaled to a neutral white.
+    """
+    from lamina.functions.matrix import SRGB_TO_XYZ
+
+    df = entries.select("path").distinct()
+    for i, n in enumerate(("WhiteBalanceColorCorrections", "DP1_WhiteBalanceColorCorrections", "WhiteBalanceIlluminants", "WhiteBalanceCorrections")):
+        df = df.join(preset_matrix(entries, n, preset, [3, 3]).withColumnRenamed("value", f"_m{i}"), "path", "left")
+    nine = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(9)]
+    df = df.withColumn("_cc", F.coalesce("_m0", "_m1")).withColumn("_raw", F.when(F.col("_m2").isNotNull() & F.col("_m3").isNotNull(), F.array(*product(nine("_m3"), nine("_m2")))))
+    raw = nine("_raw")
+    neutral = neutral_of(raw)
+    legacy = F.array(*[raw[i] * neutral[i % 3] for i in range(9)])
+    modern = F.array(*product([F.lit(x) for x in SRGB_TO_XYZ], nine("_cc")))
+    return df.select("path", F.when(F.col("_cc").isNotNull(), modern).when(F.col("_raw").isNotNull(), legacy).alias("value")).where("value is not null")
+
+
 def denoise_class(version: Column, model: Column) -> Column:
     """F23 from version 4.0 on; F20 where the model has ``dp2`` in any case; else STD."""
     return F.when(version >= (4 << 16), "F23").when(F.lower(F.coalesce(model, F.lit(""))).contains("dp2"), "F20").otherwise("STD")
