@@ -63,6 +63,16 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def texts_in(column: pa.Array, field: str | None = None, step: int = 1000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of short stretches of a text column, or of a field of a struct column; null is empty.
+
+    Only one stretch is held as Python strings.
+    """
+    for at in range(0, len(column), step):
+        part = column.slice(at, step)
+        yield at, [t or "" for t in (part.field(field) if field else part).to_pylist()]
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, text_of
+from lamina.llm.common import batch_of, map_arrow, text_of, texts_in
 from lamina.llm.learn import Logistic, held_out, labelled_ids, sampled
 
 #: Labelled rows of each class, at most: half of them build the dictionaries, half calibrate.
@@ -99,14 +99,15 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     score alike; the id only tells whether the row is held out.
     """
     names = docs.columns
-    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_of(docs, text_col).alias("text")) if keep else docs.select(F.col(id_col).alias("row"), text_of(docs, text_col).alias("text"))
+    # with ``keep`` the text travels once, inside the row
+    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row")) if keep else docs.select(F.col(id_col).alias("row"), text_of(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
         for b in batches:
             schema = pa.schema([("row", b.schema.field(0).type), ("score", pa.float64())])
-            texts = b.column(1).to_pylist()
-            yield batch_of(schema, row=b.column(0), score=model.curve(np.array([sizes(t) for t in texts]).reshape(-1, 9)) if texts else [])
+            for at, texts in texts_in(b.column(0), text_col) if keep else texts_in(b.column(1)):
+                yield batch_of(schema, row=b.column(0).slice(at, len(texts)), score=model.curve(np.array([sizes(t) for t in texts]).reshape(-1, 9)))
 
     out = map_arrow(inner, run, f"row {inner.schema['row'].dataType.simpleString()}, score double")
     if keep:

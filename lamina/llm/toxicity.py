@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, text_of
+from lamina.llm.common import batch_of, map_arrow, text_of, texts_in
 from lamina.llm.learn import Logistic, held_out, labelled_ids, sampled
 
 #: Labelled rows of each class, at most; a quarter of them calibrates.
@@ -56,7 +56,7 @@ class Rows(dict):
         self.known = {int(h): i + 1 for i, h in enumerate(known)}
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         row = self.known.get(hash_of(word), 0)
         if len(word) <= 64:
@@ -269,17 +269,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
     spark, names = docs.sparkSession, docs.columns
     packed = spark.sparkContext.broadcast(model)  # a fixed size: the network's
-    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row") if keep else F.col(id_col).alias("row"), text_of(docs, text_col).alias("text"), (docs[lang_col].cast("string") if lang_col in names else F.lit(None).cast("string")).alias("lang"))
+    lang = (docs[lang_col].cast("string") if lang_col in names else F.lit(None).cast("string")).alias("lang")
+    # with ``keep`` the text travels once, inside the row
+    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), lang) if keep else docs.select(F.col(id_col).alias("row"), lang, text_of(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = packed.value
         rows = Rows(m.known)
         for b in batches:
             schema = pa.schema([("row", b.schema.field(0).type), ("score", pa.float64()), ("threshold", pa.float64())])
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                scores = m.scores([rows.of(t.as_py()) for t in part.column(1)])
-                yield batch_of(schema, row=part.column(0), score=scores, threshold=[m.thresholds.get(x, m.common) for x in part.column(2).to_pylist()])
+            for at, texts in texts_in(b.column(0), text_col) if keep else texts_in(b.column(2)):
+                langs = b.column(1).slice(at, len(texts)).to_pylist()
+                yield batch_of(schema, row=b.column(0).slice(at, len(texts)), score=m.scores([rows.of(t) for t in texts]), threshold=[m.thresholds.get(x, m.common) for x in langs])
 
     out = map_arrow(inner, run, f"row {inner.schema['row'].dataType.simpleString()}, score double, threshold double")
     if keep:
