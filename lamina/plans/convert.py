@@ -8,13 +8,14 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import matrix as mx
 from lamina.functions import pixel as px
-from lamina.operators import denoise, geometry, levels, metadata, neighbourhood
+from lamina.operators import badpixels, denoise, geometry, levels, metadata, neighbourhood
 from lamina.plans.develop import Options
 from lamina.sinks import images, text
 from lamina.sources import container
@@ -76,6 +77,54 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     )
 
 
+def bad_pixels(files: DataFrame, cal: DataFrame) -> DataFrame:
+    """(image_id, y, x) of every place that a file's metadata marks bad and that lies inside its image, once.
+
+    Six sources: packed words (relative to the kept area), two three-column matrices (row first), the highlight
+    grid, the row-marked stream, and the focus grid of two cameras. All are expressions over one array a file.
+    """
+    e, long = F.col("e"), lambda c: c.cast("long")
+    place = lambda y, x: F.struct(long(y).alias("y"), long(x).alias("x"))
+    none = F.array().cast("array<struct<y:bigint,x:bigint>>")
+    values = lambda name: metadata.entry_in(e, "matrix", name)["i64"]
+    keep = metadata.numbers_in(e, "KeepImageArea", 4)
+    field = lambda v, shift: F.shiftright(v, shift).bitwiseAND(F.lit(4095).cast("long"))
+    sources = [F.transform(values("BadPixels"), lambda v: place(field(v, 20) - F.get(keep, F.lit(1)), field(v, 8) - F.get(keep, F.lit(0))))]
+    for name in ("BadPixelsF20", "Jpeg_BadClusters"):
+        m = metadata.entry_in(e, "matrix", name)
+        rows = F.when((F.size(m["dims"]) == 2) & (F.get(m["dims"], F.lit(0))["size"] == 3) & (F.size(m["i64"]) >= 3), F.sequence(F.lit(0), F.call_function("div", F.size(m["i64"]), F.lit(3)).cast("int") - 1))
+        sources.append(F.transform(rows, _triple(m["i64"], place)))
+    hp = metadata.numbers_in(e, "HighlightPixelsInfo", 4)
+    at = lambda i: F.get(hp, F.lit(i))
+    sources.append(_lattice((at(0), F.col("width") - 1, at(2), 1), (at(1), F.col("height") - 1, at(3), 1), place))
+    stream = values("BadPixelsChromaF23")
+    start = F.struct(F.lit(-1).cast("long").alias("row"), none.alias("out"))
+
+    def step(acc, v):
+        row = F.when(acc["row"] == -1, v).when(v == 0, F.lit(-1).cast("long")).otherwise(acc["row"])
+        return F.struct(row.alias("row"), F.when((acc["row"] != -1) & (v != 0), F.concat(acc["out"], F.array(place(acc["row"], v)))).otherwise(acc["out"]).alias("out"))
+
+    sources.append(F.aggregate(stream, start, step)["out"])
+    for (camera, colours), (c0, c1, cp, cs, r0, r1, rp, rs) in badpixels.FOCUS_GRIDS.items():
+        if colours == 3:
+            grid = _lattice(tuple(F.lit(v).cast("long") for v in (c0, c1, cp)) + (cs,), tuple(F.lit(v).cast("long") for v in (r0, r1, rp)) + (rs,), place)
+            sources.append(F.when(F.get(metadata.numbers_in(e, "CAMERAID", 1), F.lit(0)) == camera, grid))
+    df = metadata.gather(container.metadata_rows(files)).join(cal.select(F.col("image_id").alias("path"), "width", "height"), "path")
+    spots = df.select(F.col("path").alias("image_id"), "width", "height", F.explode(F.concat(*[F.coalesce(x, none) for x in sources])).alias("p"))
+    return spots.where("p.x between 0 and width - 1 and p.y between 0 and height - 1").select("image_id", "p.y", "p.x").distinct()
+
+
+def _triple(v, place):
+    return lambda i: place(F.get(v, 3 * i), F.get(v, 3 * i + 1))
+
+
+def _lattice(xs, ys, place):
+    """Places of a grid as an array: (first, last, pitch, block size) of columns and of rows; null where a bound is."""
+    side = lambda t: F.when((t[0] <= t[1]) & (t[2] > 0), F.sequence(t[0].cast("long"), t[1].cast("long"), t[2].cast("long")))
+    wide = lambda t: F.flatten(F.transform(side(t), lambda a: F.array(*[a + i for i in range(t[3])])))
+    return F.flatten(F.transform(wide(ys), lambda y: F.transform(wide(xs), lambda x: place(y, x))))
+
+
 def ranges(pixels: DataFrame, cal: DataFrame) -> DataFrame:
     """One row for each file: levels over its dark rectangles (zeros without), bias, tops."""
     areas = cal.select("image_id", F.explode("dark").alias("a")).select("image_id", "a.*")
@@ -104,12 +153,14 @@ def preprocess_all(pixels: DataFrame, cal: DataFrame, top: DataFrame | None = No
     return done, per, full
 
 
-def develop_all(pixels: DataFrame, cal: DataFrame, options: Options = Options(), top: DataFrame | None = None, size: tuple[int, int] | None = None, top_size: tuple[int, int] | None = None, cube: tuple[int, list] | None = None) -> DataFrame:
+def develop_all(pixels: DataFrame, cal: DataFrame, options: Options = Options(), top: DataFrame | None = None, size: tuple[int, int] | None = None, top_size: tuple[int, int] | None = None, cube: tuple[int, list] | None = None, bad: DataFrame | None = None) -> DataFrame:
     """(image_id, y, x, r, g, b) in 16 bits for every file, each with its own levels, matrix and crop.
 
     The median, denoising and the expansion of a top plane need the images' common size.
     """
     done, per, full = preprocess_all(pixels, cal, top)
+    if bad is not None:
+        done = badpixels.inpaint(done, bad)
     if full is not None and size and top_size:
         if options.denoise:
             done = denoise.denoise(done, "F23")
@@ -168,7 +219,21 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
         shown = pixels.select("image_id", "y", "x", F.col("b").alias("r"), F.col("m").alias("g"), F.col("t").alias("b"))
     else:
         # a few small columns a file, read by several joins: kept, and made anew if an executor is lost
-        shown = develop_all(pixels, calibrations(files, options.white_balance).cache(), options)
+        cal = calibrations(files, options.white_balance).cache()
+        bad, top = bad_pixels(files, cal), container.top_pixels(strips).withColumnRenamed("path", "image_id")
+        tops = container.plane_rows(files).where("plane = 2").select(F.col("path").alias("image_id"), F.col("columns").alias("top_width"), F.col("rows").alias("top_height"))
+        sized = cal.join(tops, "image_id", "left")
+        parts = []
+        # as many sizes as kinds of sensors
+        for r in sized.select("layout", "width", "height", "top_width", "top_height").distinct().collect():
+            same = sized.where((F.col("layout") == r["layout"]) & (F.col("width") == r["width"]) & (F.col("height") == r["height"]) & F.col("top_width").eqNullSafe(r["top_width"]) & F.col("top_height").eqNullSafe(r["top_height"]))
+            own, ids = same.drop("top_width", "top_height"), same.select("image_id")
+            quattro = r["layout"] == "quattro"
+            of = lambda d: d.join(ids, "image_id", "left_semi")  # noqa: E731, B023
+            parts.append(develop_all(of(pixels), own, options, of(top) if quattro else None, (r["width"], r["height"]), (r["top_width"], r["top_height"]) if quattro else None, bad=of(bad)))
+        if not parts:
+            raise ValueError("no raster that can be read")
+        shown = reduce(DataFrame.unionByName, parts)
     if kind == "jpeg":
         shown = shown.withColumns({c: F.call_function("div", F.col(c), F.lit(257).cast("long")) for c in "rgb"})
     named = shown.withColumn("image_id", F.element_at(F.split("image_id", "/"), -1))

@@ -16,7 +16,8 @@ def entries(gain):
     return (
         list_entry("WhiteBalanceGains", [("Auto", "G")]) + list_entry("WhiteBalanceColorCorrections", [("Auto", "C")]) + matrix_entry("G", 3, [3], gain, "<f4") + matrix_entry("C", 3, [3, 3], np.eye(3).ravel(), "<f4")
         + matrix_entry("ImageDepth", 1, [1], [12], "<u4") + matrix_entry("KeepImageArea", 2, [4], [0, 0, 15, 11], "<u4") + matrix_entry("ActiveImageArea", 2, [4], [2, 2, 13, 11], "<u4")
-        + matrix_entry("DarkShieldTop", 2, [4], [0, 0, 15, 1], "<u4") + matrix_entry("DarkShieldColRange", 2, [2, 2], [0, 1, 14, 15], "<u4")
+        + matrix_entry("DarkShieldTop", 2, [4], [0, 0, 15, 1], "<u4") + matrix_entry("BadPixelsF20", 1, [3, 2], [5, 6, 1, 99, 3, 1], "<u4") + matrix_entry("BadPixels", 1, [1], [(4 << 20) | (7 << 8)], "<u4") + matrix_entry("HighlightPixelsInfo", 1, [2, 2], [3, 3, 20, 5], "<u4")
+        + matrix_entry("BadPixelsChromaF23", 1, [5], [9, 4, 6, 0, 2], "<u4") + matrix_entry("DarkShieldColRange", 2, [2, 2], [0, 1, 14, 15], "<u4")
     )
 
 
@@ -39,6 +40,12 @@ def test_calibrations(spark, folder):
     assert [tuple(r) for r in rows["a"]["dark"]] == [(0, 0, 15, 1), (0, 0, 1, 11), (14, 0, 15, 11)]
 
 
+def test_bad_pixels_from_metadata(spark, folder):
+    files = ct.scan(spark, str(folder))
+    got = {(r["y"], r["x"]) for r in cv.bad_pixels(files, cv.calibrations(files)).collect() if r["image_id"].endswith("a")}
+    assert got == {(5, 6), (4, 7), (3, 3), (8, 3), (9, 4), (9, 6)}
+
+
 @pytest.mark.parametrize(("kind", "options"), [("ppm", Options(tone="none", denoise=False)), ("tiff", Options(unprocessed=True)), ("jpeg", Options(quality=80)), ("meta", Options())])
 def test_convert(spark, folder, tmp_path, kind, options):
     target = f"file://{tmp_path}/{kind}"
