@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-SRGB_TO_XYZ = [0.4124564, 0.3575761, 0.1804375, 0.2126729, 0.7151522, 0.0721750, 0.0193339, 0.1191920, 0.9503041]
-XYZ_TO_SRGB = [3.2404542, -1.5371385, -0.4985314, -0.9692660, 1.8760108, 0.0415560, 0.0556434, -0.2040259, 1.0572252]
-ADOBE_TO_XYZ = [0.5767309, 0.1855540, 0.1881852, 0.2973769, 0.6273491, 0.0752741, 0.0270343, 0.0706872, 0.9911085]
-XYZ_TO_ADOBE = [2.0413690, -0.5649464, -0.3446944, -0.9692660, 1.8760108, 0.0415560, 0.0134474, -0.1183897, 1.0154096]
-PROPHOTO_TO_XYZ = [0.7976749, 0.1351917, 0.0313534, 0.2880402, 0.7118741, 0.0000857, 0.0, 0.0, 0.8252100]
-XYZ_TO_PROPHOTO = [1.3459433, -0.2556075, -0.0511118, -0.5445989, 1.5081673, 0.0205351, 0.0, 0.0, 1.2118128]
-D65_TO_D50 = [1.0478112, 0.0228866, -0.0501270, 0.0295424, 0.9904844, -0.0170491, -0.0092345, 0.0150436, 0.7521316]
-D50_TO_D65 = [0.9555766, -0.0230393, 0.0631636, -0.0282895, 1.0099416, 0.0210077, 0.0122982, -0.0204830, 1.3299098]
+
+
+def _nine(numbers: str) -> list[float]:
+    return list(map(float, numbers.split()))
+
+
+SRGB_TO_XYZ = _nine("0.4124564 0.3575761 0.1804375 0.2126729 0.7151522 0.0721750 0.0193339 0.1191920 0.9503041")
+XYZ_TO_SRGB = _nine("3.2404542 -1.5371385 -0.4985314 -0.9692660 1.8760108 0.0415560 0.0556434 -0.2040259 1.0572252")
+ADOBE_TO_XYZ = _nine("0.5767309 0.1855540 0.1881852 0.2973769 0.6273491 0.0752741 0.0270343 0.0706872 0.9911085")
+XYZ_TO_ADOBE = _nine("2.0413690 -0.5649464 -0.3446944 -0.9692660 1.8760108 0.0415560 0.0134474 -0.1183897 1.0154096")
+PROPHOTO_TO_XYZ = _nine("0.7976749 0.1351917 0.0313534 0.2880402 0.7118741 0.0000857 0.0 0.0 0.8252100")
+XYZ_TO_PROPHOTO = _nine("1.3459433 -0.2556075 -0.0511118 -0.5445989 1.5081673 0.0205351 0.0 0.0 1.2118128")
+D65_TO_D50 = _nine("1.0478112 0.0228866 -0.0501270 0.0295424 0.9904844 -0.0170491 -0.0092345 0.0150436 0.7521316")
+D50_TO_D65 = _nine("0.9555766 -0.0230393 0.0631636 -0.0282895 1.0099416 0.0210077 0.0122982 -0.0204830 1.3299098")
 D65_WHITE, D50_WHITE = [0.95047, 1.0, 1.08883], [0.96422, 1.0, 0.82521]
 NEUTRAL_XYZ = [0.950456, 1.0, 1.089058]
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
@@ -27,16 +33,14 @@ def apply(m: list[float], v: list[float]) -> list[float]:
 
 
 def determinant(m: list[float]) -> float:
-    return m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+    return float(np.linalg.det(np.reshape(m, (3, 3))))
 
 
 def inverse(m: list[float]) -> list[float]:
     """The inverse; the identity where the determinant is under 1e-10."""
-    det = determinant(m)
-    if abs(det) < 1e-10:
+    if abs(determinant(m)) < 1e-10:
         return list(IDENTITY)
-    cof = [m[4] * m[8] - m[5] * m[7], m[2] * m[7] - m[1] * m[8], m[1] * m[5] - m[2] * m[4], m[5] * m[6] - m[3] * m[8], m[0] * m[8] - m[2] * m[6], m[2] * m[3] - m[0] * m[5], m[3] * m[7] - m[4] * m[6], m[1] * m[6] - m[0] * m[7], m[0] * m[4] - m[1] * m[3]]
-    return [c / det for c in cof]
+    return np.linalg.inv(np.reshape(m, (3, 3))).ravel().tolist()
 
 
 def transpose(m: list[float]) -> list[float]:

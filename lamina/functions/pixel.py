@@ -93,7 +93,7 @@ def tone_aces(v: Column) -> Column:
     return clamp((v * (2.51 * v + 0.03)) / (v * (2.43 * v + 0.59) + 0.14), 0, 1)
 
 
-AGX_INSET = [0.856627153315983, 0.0951212405381588, 0.0482516061458583, 0.137318972929847, 0.761241990602591, 0.101439036467562, 0.11189821299995, 0.0767994186031903, 0.811302368396859]
+AGX_INSET = list(map(float, "0.856627153315983 0.0951212405381588 0.0482516061458583 0.137318972929847 0.761241990602591 0.101439036467562 0.11189821299995 0.0767994186031903 0.811302368396859".split()))
 AGX_LOG = (-12.47393, 12.5260688117)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Focus grids of two cameras, for three colours and one: (first, last, pitch, size) of columns, then rows.
-FOCUS_GRIDS = {(15, 1): (217, 5641, 16, 1, 464, 3312, 32, 2), (15, 3): (108, 2820, 8, 1, 232, 1656, 16, 1), (16, 1): (233, 6425, 16, 1, 592, 3888, 32, 2), (16, 3): (116, 2820, 8, 1, 296, 1944, 16, 1)}
+FOCUS_GRIDS = {(15, 1): ((217, 5641, 16, 1), (464, 3312, 32, 2)), (15, 3): ((108, 2820, 8, 1), (232, 1656, 16, 1)), (16, 1): ((233, 6425, 16, 1), (592, 3888, 32, 2)), (16, 3): ((116, 2820, 8, 1), (296, 1944, 16, 1))}
 PRIORITY = ["packed", "f20", "clusters", "highlight", "f23", "focus"]
 
 
@@ -43,7 +43,7 @@ def highlight_grid(spark, start: tuple[int, int], pitch: tuple[int, int], width:
 
 def focus_grid(spark, camera: int, colours: int) -> DataFrame | None:
     g = FOCUS_GRIDS.get((camera, 1 if colours == 1 else 3))
-    return g and lattice(spark, g[0:3], g[4:7], (g[3], g[7]))
+    return g and lattice(spark, g[0][:3], g[1][:3], (g[0][3], g[1][3]))
 
 
 def row_marked(values: DataFrame, group: list[str]) -> DataFrame:

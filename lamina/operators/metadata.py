@@ -118,9 +118,11 @@ def neutral_of(raw: list[Column]) -> list[Column]:
     """The raw values of a neutral grey under a raw-to-XYZ matrix: its inverse (or the identity) times the white point."""
     from lamina.functions.matrix import NEUTRAL_XYZ
 
-    det = raw[0] * (raw[4] * raw[8] - raw[5] * raw[7]) - raw[1] * (raw[3] * raw[8] - raw[5] * raw[6]) + raw[2] * (raw[3] * raw[7] - raw[4] * raw[6])
-    cof = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
-    inv = [F.when(F.abs(det) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise((raw[a] * raw[b] - raw[c] * raw[d]) / det) for i, (a, b, c, d) in enumerate(cof)]
+    # the adjugate, each element by the four places of its 2x2 minor; its first column gives the determinant
+    minors = ["48-57", "27-18", "15-24", "56-38", "08-26", "23-05", "37-46", "16-07", "04-13"]
+    adjugate = [raw[int(x[0])] * raw[int(x[1])] - raw[int(x[3])] * raw[int(x[4])] for x in minors]
+    det = sum((raw[k] * adjugate[3 * k] for k in range(3)), F.lit(0.0))
+    inv = [F.when(F.abs(det) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise(x / det) for i, x in enumerate(adjugate)]
     return [sum((inv[3 * i + k] * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]
 
 

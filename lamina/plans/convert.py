@@ -105,7 +105,7 @@ def bad_pixels(files: DataFrame, cal: DataFrame) -> DataFrame:
         return F.struct(row.alias("row"), F.when((acc["row"] != -1) & (v != 0), F.concat(acc["out"], F.array(place(acc["row"], v)))).otherwise(acc["out"]).alias("out"))
 
     sources.append(F.aggregate(stream, start, step)["out"])
-    for (camera, colours), (c0, c1, cp, cs, r0, r1, rp, rs) in badpixels.FOCUS_GRIDS.items():
+    for (camera, colours), ((c0, c1, cp, cs), (r0, r1, rp, rs)) in badpixels.FOCUS_GRIDS.items():
         if colours == 3:
             grid = _lattice(tuple(F.lit(v).cast("long") for v in (c0, c1, cp)) + (cs,), tuple(F.lit(v).cast("long") for v in (r0, r1, rp)) + (rs,), place)
             sources.append(F.when(F.get(metadata.numbers_in(e, "CAMERAID", 1), F.lit(0)) == camera, grid))

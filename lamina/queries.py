@@ -68,8 +68,8 @@ def yuv_std_forward(spark, sf_dir):
     return _yuv(_line(spark, sf_dir), px.opponent_std)
 
 
-_STD_INV = f"""{_C16.format('CAST(trunc((12 * y + 3 * u + 2 * v + 6) / 12) AS BIGINT)')} AS b, {_C16.format('CAST(trunc((3 * y - v + 1) / 3) AS BIGINT)')} AS m,
- {_C16.format('CAST(trunc((12 * y - 3 * u + 2 * v + 6) / 12) AS BIGINT)')} AS t"""
+_STD_INV = f"""{_C16.format('CAST(trunc((6 + 2 * v + 3 * u + 12 * y) / 12) AS BIGINT)')} AS b, {_C16.format('CAST(trunc((3 * y - v + 1) / 3) AS BIGINT)')} AS m,
+ {_C16.format('CAST(trunc((6 + 2 * v - 3 * u + 12 * y) / 12) AS BIGINT)')} AS t"""
 
 
 @query(f"WITH {_LINE}, f AS (SELECT {_K}, y, u - 32768 AS u, v - 32768 AS v FROM (SELECT {_K}, {_opp('(b + m + t + 1) // 3')} FROM line)) SELECT {_K}, {_STD_INV} FROM f")

@@ -123,7 +123,7 @@ def jpeg(image: np.ndarray, quality: int = 98) -> bytes:
         out += seg(0xDB, bytes([i]) + bytes(t[_ZIGZAG].tolist()))
     out += seg(0xC0, struct.pack(">BHHB", 8, rows, columns, 3) + b"\1\x11\0\2\x11\1\3\x11\1")
     out += seg(0xC4, bytes([0x00, *_DC_BITS, *_DC_VALUES])) + seg(0xC4, bytes([0x10, *ac_bits, *ac_values]))
-    return out + seg(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0") + scan + b"\xff\xd9"
+    return out + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9"
 
 
 #: Name and greyscale mix (None: the camera's own colour) of the embedded profiles.

@@ -168,6 +168,14 @@ def test_matrices():
     assert np.allclose(legacy, mx.diagonal(mx.NEUTRAL_XYZ))
 
 
+def test_neutral_expression(spark):
+    from lamina.operators.metadata import neutral_of
+
+    for m in ([2.0, 1.0, 0.5, -1.0, 3.0, 0.25, 0.75, -0.5, 1.5], [1.0] * 9):
+        got = spark.range(1).select(*neutral_of([F.lit(x) for x in m])).first()
+        assert np.allclose(list(got), mx.raw_neutral(m))
+
+
 def test_denoise(spark):
     rng = np.random.default_rng(4)
     flat = np.full((24, 28, 3), 2000) + rng.integers(-20, 21, (24, 28, 3))
