@@ -285,7 +285,13 @@ def links(fps: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
     return map_arrow(dealt, _forest(radius), "u string, v string")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, salt: int) -> DataFrame:
+    """Edges (u, v) with m of ``least`` (u, m). A hub's edges are dealt over ``salt`` copies of its one row."""
+    copies = least.withColumn("s", F.explode(F.array([F.lit(i) for i in range(salt)])))
+    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)).cast("int")).join(copies, ["u", "s"]).drop("s")
+
+
+def components(edges: DataFrame, limit: int = 60, salt: int = 8) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v); root is the least node reachable.
 
     Large-star and small-star rounds; each round is a written table. Ends when a round changes nothing.
@@ -295,10 +301,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_least(both, least, salt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         mins = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(mins, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _with_least(low, mins, salt).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(small.where("u <> v").distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
