@@ -6,6 +6,9 @@ plane per fingerprint bit, 64 fingerprints to a machine word; carry-save adders
 planes of 64 pairs at once, and rows whose lanes have all passed the radius are abandoned. Each
 block of a bucket returns a spanning forest of its links, never its pairs, and star contraction
 joins the forests into components.
+
+The likeness search of the pipeline proposes pairs by bands of minimum hashes and decides by the exact
+shingle sets.
 """
 
 from __future__ import annotations
@@ -20,13 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, materialise, mix64, text_of, word_lists
+from lamina.llm.common import batch_of, map_arrow, materialise, mix64, text_of, texts_in, word_lists
 
 #: Fingerprints in a block of a bucket; a larger bucket is compared block against block.
 BLOCK = 4096
+#: Least Jaccard likeness of near-duplicates, as a fraction.
+LIKE = (4, 5)
+#: Bands of minimum hashes and hashes in a band: a pair at 0.8 shares a bucket with chance 1 - (1 - 0.8^5)^24 > 0.9999.
+BANDS, BAND_ROWS = 24, 5
+#: Sets in a block of a bucket.
+SET_BLOCK = 1024
+#: Rounds in which texts meet leaders before all other pairs are compared.
+ROUNDS = 3
 #: Hashes gathered before they are counted.
 CHUNK = 1 << 17
 
+#: Odd multipliers, one for each minimum hash.
+_MIXERS = np.random.default_rng(11).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 #: Byte -> eight byte lanes, one for each of its bits.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -350,17 +363,177 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int")).join(salts, ["fp", "s"]).select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 4, radius: int = 42) -> DataFrame:
+def shingle_set(text: str, k: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    parts = [np.array(p, np.uint64) for p in shingle_hashes(text, k, seed)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key a band, from the least of the remixed hashes under each of its ``BAND_ROWS`` mixers."""
+    if not len(shingles):
+        return [0] * BANDS
+    least = np.full(len(_MIXERS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[None, at : at + 1024] * _MIXERS[:, None]).min(axis=1))
+    parts = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(parts)]
+
+
+def _sketches(k: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, bands = [], []
+            for text in batch.column(1).to_pylist():
+                found = shingle_set(text, k, seed)
+                names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+                bands.append(band_keys(found))
+            schema = pa.schema([("id", batch.schema.field(0).type), ("name", pa.string()), ("bands", pa.list_(pa.int64()))])
+            yield batch_of(schema, id=batch.column(0), name=names, bands=bands)
+
+    return run
+
+
+def _sets(k: int, seed: int):
+    schema = pa.schema([("name", pa.string()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in texts_in(batch.column(1), step=100):
+                yield batch_of(schema, name=batch.column(0).slice(at, len(texts)), shingles=[shingle_set(t, k, seed).tobytes() for t in texts])
+
+    return run
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard likeness of LIKE or more, in whole numbers."""
+    top, bottom = LIKE
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return bottom * shared >= top * (len(a) + len(b) - shared)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, v, left, right = batch.columns
+        keep = [i for i in range(len(u)) if alike(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right)))]
+        yield batch_of(_EDGE, u=u.take(pa.array(keep, pa.int64())), v=v.take(pa.array(keep, pa.int64())))
+
+
+def _alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) of names whose sets are alike."""
+    joined = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("left")), "u")
+    joined = joined.join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("right")), "v")
+    return map_arrow(joined.select("u", "v", "left", "right"), _verify, "u string, v string")
+
+
+def _rooted(places: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``places`` with each name's component, its own name where it has none."""
+    if labels is None:
+        return places.withColumn("root", F.col("name"))
+    return places.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def _leader_pairs(places: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(u, v): for each name the leader, of another component, that most of its buckets have; ``turn`` changes the leaders."""
+    rows = _rooted(places, labels)
+    leaders = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("u"), F.col("root").alias("top"))).alias("l")).select("bucket", "l.u", "l.top")
+    often = rows.join(leaders, "bucket").where("root <> top").groupBy(F.col("name").alias("v"), "u").count()
+    return often.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
+
+
+def block_links(names: list[str], roots: list[str], sides: list[bool], sets: list[np.ndarray]) -> list[tuple[str, str]]:
+    """Links between alike sets of different components, of two sides if there are two, that connect all such sets."""
+    top, bottom = LIKE
+    label = np.unique(roots, return_inverse=True)[1]
+    side, size = np.array(sides), np.array([len(x) for x in sets])
+    every, places = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(places, np.cumsum(size)[:-1])
+    mark = np.zeros(len(every), np.int32)
+    own, out = not side.any() or side.all(), []
+    for q in np.arange(len(names)) if own else np.nonzero(~side)[0]:
+        fits = (label != label[q]) & (bottom * np.minimum(size, size[q]) >= top * np.maximum(size, size[q]))
+        others = np.nonzero(fits & (np.arange(len(names)) > q if own else side))[0]
+        if not len(others):
+            continue
+        mark[parts[q]] = 1
+        starts = np.cumsum(size[others]) - size[others]
+        shared = np.add.reduceat(mark[np.concatenate([parts[i] for i in others])], starts)
+        mark[parts[q]] = 0
+        for i in others[bottom * shared >= top * (size[others] + size[q] - shared)]:
+            if label[i] != label[q]:
+                label[label == label[i]] = label[q]
+                out.append((names[q], names[i]))
+    return out
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        names, roots, sides, sets = zip(*rows, strict=True)
+        edges = block_links(list(names), list(roots), list(sides), [np.frombuffer(x, np.uint64) for x in sets])
+        return batch_of(_EDGE, u=[u for u, _ in edges], v=[v for _, v in edges])
+
+    now, held = None, []
+    for batch in batches:
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                if len(held) > 1:
+                    yield solve(held)
+                now, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield solve(held)
+
+
+def _rest_links(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of alike names that share a bucket of ``places`` (bucket, name) and lie in different components."""
+    rows = _rooted(places, labels)
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+    rows = rows.join(mixed.select("bucket", F.ceil(F.col("c") / SET_BLOCK).cast("int").alias("s")), "bucket")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("name"), F.col("s")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    # block pairs as in ``links``
+    pair = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
+    rows = rows.select(pair.alias("pair"), "name", "root", (F.col("i") > F.col("j")).alias("side")).join(sets, "name")
+    dealt = rows.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair").sortWithinPartitions("pair")
+    return map_arrow(dealt.select("pair", "name", "root", "side", "shingles"), _rest, "u string, v string")
+
+
+def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(id, name, component_id, count) of each distinct shingle set of ``keyed`` (key, text): components over pairs whose shingle sets have a likeness of LIKE or more.
+
+    Buckets of minimum hashes only propose pairs; each pair is decided by both exact sets of 64-bit shingle
+    hashes. First texts meet leaders of their buckets, which connects large groups with few pairs; then all pairs
+    of a bucket that are not yet connected are compared, so nothing a bucket proposes is left out.
+    """
+    rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, bands array<long>"), "sketches")
+    firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "distinct")
+    spread = firsts.select("name", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "name")
+    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+    places = materialise(spread.join(shared, "bucket"), "places")
+    wanted = places.select("name").distinct().join(firsts, "name").select("name", F.col("first").alias("key"))
+    texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+    sets = materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
+    near = materialise(_alike_pairs(_leader_pairs(places, None, 0), sets), "near")
+    for i in range(1, ROUNDS):
+        near = near.unionByName(materialise(_alike_pairs(_leader_pairs(places, components(near), i), sets), "near"))
+    more = materialise(_rest_links(places, components(near), sets), "more")
+    labels = components(near.unionByName(more))
+    joined = firsts.select("name", "first").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    copies = rows.groupBy("id").count()
+    return joined.join(heads, "root").select(F.col("first").alias("id"), "name", "component_id").join(copies, "id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the least id, then text hash.
 
-    Five-word shingles and 256 bits: texts whose shingle counts have a cosine of 0.87, as two sets with
-    a Jaccard likeness of 0.8 or a little less, differ in 42 bits on average; unrelated texts differ in 128, with a
-    deviation of 8. Null and blank texts are one group. Equal rows count as copies.
+    Texts are linked exactly if their sets of five-word shingles have a Jaccard likeness of 0.8 or more; a
+    pair at 0.8 is proposed with a chance of 0.9999, a likelier one with more, whatever the number of texts.
+    Null and blank texts are one group. Equal rows count as copies.
     """
     low = -(1 << 63)
     keyed = docs.select(F.struct(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h")).alias("key"), text_of(docs, text_col).alias("text"))
-    found = simhash_components(keyed, "key", "text", shingle, words, radius=radius, exact=False)
-    heads = materialise(found.where("id = component_id").groupBy("id").count().select("id.k", "id.h", "count"), "heads")
+    heads = likeness_components(keyed, shingle).where("id = component_id")
+    heads = materialise(heads.select("id.k", "id.h", "count"), "heads")
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h"))
     kept = tagged.join(heads.select("k", "h"), ["k", "h"], "left_semi")
     if heads.where("count > 1").limit(1).count():

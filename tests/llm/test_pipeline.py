@@ -69,6 +69,45 @@ def test_planted_copies_and_clean_neighbours(spark):
     assert len(kept) <= len(clean) + groups + 3
 
 
+def test_likeness_decides_from_both_sides(spark):
+    """Pairs of 100 distinct shingles each: 89 shared are just over 0.8 (89/111), 88 just under (88/112)."""
+    rows, number = [], 0
+    for g in range(100):
+        base = [f"w{number + i}" for i in range(104)]
+        number += 1000
+        for k, shared in ((0, 89), (1, 88)):
+            own = [f"{w}x{k}" for w in base]
+            other = own[:shared + 4] + [f"v{number + i}" for i in range(100 - shared)]
+            number += 1000
+            rows += [(4 * g + 2 * k, " ".join(own)), (4 * g + 2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in c.near_dedup(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {i for i, _ in rows if i % 4 != 1}
+
+
+def test_hot_bucket_blocks(spark, monkeypatch):
+    from lamina.llm import simhash
+
+    monkeypatch.setattr(simhash, "SET_BLOCK", 7)
+    random.seed(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        other = list(base)
+        for at in random.sample(range(200), random.randint(2, 9)):
+            other[at] = f"c{i}_{at}"
+        rows.append((i, " ".join(other)))
+    shingles = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in c.near_dedup(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {min(i for i in range(60) if root[i] == r) for r in set(root)}
+
+
 def test_repeated_passages_go(stages):
     from tests_llm_brute import removed
 
