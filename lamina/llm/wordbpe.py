@@ -18,8 +18,8 @@ from typing import Any
 
 from tokenizers import Tokenizer
 
-#: Characters for which this module's word rule equals the library's: no combining marks, no odd spaces.
-_ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa1-įı-ɏ]")
+#: Characters for which this module's word rule equals the library's: no combining marks, no odd spaces, no superscripts or fractions.
+_ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: A word of more characters is cut in halves.
 LEAF = 4096

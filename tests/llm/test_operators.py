@@ -164,6 +164,18 @@ def test_symbols_depend_only_on_their_stretch():
             assert names.setdefault((tuple(words[a:b]), lo - a, hi - a), name) == name
 
 
+def test_every_plain_character_equals_library():
+    import public_tokenizers
+
+    from lamina.llm import wordbpe
+
+    encoder = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), list)
+    texts = [t for c in map(chr, range(0x250)) for t in (f"m{c}n", f"m{c}", f"{c}{c}", f"{c}n", f"1{c}2", f",{c}.")]
+    assert not any(map(encoder.plain, ("m\xb2", "km\xb3", "\xb9", "\xbc", "\xbd\xbd", "\xbe")))
+    for text in texts:
+        assert [i for part in encoder.parts(text) for i in part] == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_tokens_equal_library(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
