@@ -237,11 +237,13 @@ def plan_tables(distinct: int, bits: int, radius: int) -> list[list[int]]:
     return best[1]
 
 
-def sample_tables(distinct: int, bits: int, tables: int = 24, seed: int = 7) -> list[list[int]]:
-    """Tables keyed by random bits, for radii too wide for blocks. Recall is below one."""
-    want = min(12, max(0, math.floor(math.log2(max(distinct, 1) / 256))))
+def sample_tables(distinct: int, bits: int, radius: int = 42, miss: float = 0.005, seed: int = 7) -> list[list[int]]:
+    """Tables keyed by random bits, for radii too wide for blocks: as many as let a pair at ``radius`` miss all with a chance of ``miss`` at most."""
+    want = min(12, bits - radius, max(0, math.floor(math.log2(max(distinct, 1) / 256))))
+    meet = math.comb(bits - radius, want) / math.comb(bits, want)
+    tables = math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
     rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, want, replace=False).tolist()) for _ in range(tables if want else 1)]
+    return [sorted(rng.choice(bits, want, replace=False).tolist()) for _ in range(tables)]
 
 
 _ROW = pa.schema([("bucket", pa.int64()), ("fp", pa.string())])
@@ -353,7 +355,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialise(simhash(df, id_col, text_col, shingle, words, seed), "fingerprints")
     firsts = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     distinct = firsts.count()
-    tables = plan_tables(distinct, 64 * words, radius) if exact else sample_tables(distinct, 64 * words)
+    tables = plan_tables(distinct, 64 * words, radius) if exact else sample_tables(distinct, 64 * words, radius)
     labels = components(links(firsts, tables, radius))
     joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))

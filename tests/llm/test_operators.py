@@ -95,6 +95,18 @@ def test_sampled_tables_recall():
     assert meet.mean() > 0.99
 
 
+def test_sampled_tables_recall_at_radius():
+    rng = np.random.default_rng(3)
+    n, radius = 10000, 42
+    flips = rng.random((n, 256)).argsort(axis=1).argsort(axis=1) < radius
+    for bits in range(1, 15):
+        tables = simhash.sample_tables(256 << bits, 256)
+        meet = np.zeros(n, bool)
+        for t in tables:
+            meet |= ~flips[:, t].any(axis=1)
+        assert len(tables[0]) == min(bits, 12) and meet.mean() > 0.99
+
+
 def test_blocks_of_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(2)
