@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,31 +72,40 @@ def texts_in(column: pa.Array, field: str | None = None, step: int = 1000) -> It
         yield at, [t or "" for t in (part.field(field) if field else part).to_pylist()]
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def salted_rank(df: DataFrame, keys: list[str], rank: str = "row_no", within: list[Column] | None = None, groups: int = RANK_GROUPS) -> DataFrame:
     """Add a gapless number from 0, ordered by (hash group of ``keys``, ``keys``).
 
     The rows are dealt into ``groups`` hash groups, numbered inside each, and shifted by the
-    counts of the groups before. No task sees more than one group, and the counts table has at most
-    ``groups`` rows for each value of ``within``. With ``within`` the numbers start anew for each of
-    its values, which must be few. The result depends on the rows alone; rows equal in every key are
-    interchangeable.
+    counts of the groups before. A key that has more rows than a group should have is taken out of
+    its group and dealt over salted groups of its own behind all others; its rows are interchangeable, so
+    which salt a row gets changes no result. At most ``groups`` keys can be so frequent, so the counts table has at most
+    3 x ``groups`` rows for each value of ``within``. With ``within`` the numbers start anew for each of
+    its values, which must be few. The result depends on the rows alone. ``df`` must be a written table: it is read
+    several times.
     """
     names = [f"_w{i}" for i in range(len(within or []))]
-    df = df.withColumns(dict(zip(names, within or [], strict=True)) | {"_g": F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")})
-    counts = df.groupBy(*names, "_g").count()
+    df = df.withColumns(dict(zip(names, within or [], strict=True)) | {"_g": F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int"), "_s": F.lit(0)})
+    by = [*names, "_g", "_s"]
+    counts = df.groupBy(*by).count()
+    sizes = counts.groupBy("_g").agg(F.sum("count").alias("count")).collect()  # ``groups`` rows
+    room = max(1000, 2 * sum(r["count"] for r in sizes) // groups)
+    full = [r["_g"] for r in sizes if r["count"] > room]
+    if full:
+        # only groups with too many rows can hold such a key
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        hot = df.where(F.col("_g").isin(full)).groupBy(*keys).count().where(F.col("count") > room)
+        hot = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.ceil(F.col("count") / room).cast("int").alias("_n"), (F.row_number().over(Window.orderBy(*keys)) + groups).cast("int").alias("_h"))
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_n").cast("long")).cast("int")
+        joined = df.drop("_s").join(F.broadcast(hot), same, "left")  # fewer than ``groups`` rows
+        df = joined.withColumns({"_s": F.when(F.col("_h").isNotNull(), salt).otherwise(0), "_g": F.coalesce("_h", "_g")}).drop("_n", "_h", *[f"_k{i}" for i in range(len(keys))])
+        df = materialise(df, "salted")
+        counts = df.groupBy(*by).count()
     before = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
-    offsets = counts.select(*names, "_g", (F.sum("count").over(before.orderBy("_g")) - F.col("count")).alias("_before"))
-    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(offsets[c]) for c in [*names, "_g"]])
-    joined = df.join(F.broadcast(offsets), same).drop(*[offsets[c] for c in [*names, "_g"]])  # at most groups x few rows
-    inner = Window.partitionBy(*names, "_g").orderBy(*keys)
-    return joined.withColumn(rank, (F.row_number().over(inner) - 1 + F.col("_before")).cast("long")).drop(*names, "_g", "_before")
-
-
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+    offsets = counts.select(*by, (F.sum("count").over(before.orderBy("_g", "_s")) - F.col("count")).alias("_before"))
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(offsets[c]) for c in by])
+    joined = df.join(F.broadcast(offsets), same).drop(*[offsets[c] for c in by])  # at most 3 x groups x few rows
+    inner = Window.partitionBy(*by).orderBy(*keys)
+    return joined.withColumn(rank, (F.row_number().over(inner) - 1 + F.col("_before")).cast("long")).drop(*by, "_before")
 
 
 def word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

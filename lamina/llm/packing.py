@@ -15,14 +15,6 @@ from pyspark.sql import functions as F
 from lamina.llm.common import materialise, salted_rank, text_of
 
 BUCKETS, BUDGET = 16, 65536
-#: Lengths up to this are exact in the histogram; longer ones are rounded up by less than 1/128.
-EXACT = 1 << 14
-
-
-def bin_of(length: Column) -> Column:
-    """The histogram's bin, as its largest length: at most EXACT + 128 for each doubling beyond."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 7)
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
 
 def bounds_of(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -74,21 +66,22 @@ def pack(df: DataFrame, length: str = "length", key: str = "id", buckets: int =
     """Add bucket, bucket_length, batch and slot to a narrow frame of (key, length, ...).
 
     Every row is placed once. A row longer than the budget is a batch of its own. Null lengths count as 0.
-    Rows inside a bucket are in hash order of key and length, so batches mix the input's order.
+    Rows inside a bucket are in hash order of key and length, so batches mix the input's order; repeated
+    rows are interchangeable. No rows: no rows.
     """
-    rows = materialise(df.withColumn(length, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))).withColumn("_bin", bin_of(F.col(length))), "lengths")
-    # the histogram has at most EXACT + 128 * 50 rows, whatever the input's size
-    found = sorted((r["_bin"], r["count"]) for r in rows.groupBy("_bin").count().collect())
+    rows = materialise(df.withColumn(length, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))), "lengths")
+    # one row for each distinct length, exact: d distinct lengths need at least d * d / 2 tokens in all
+    found = sorted((r[length], r["count"]) for r in rows.groupBy(length).count().collect())
     bounds = bounds_of(np.array([f[0] for f in found]), np.array([f[1] for f in found]), buckets)
     if not bounds:
-        return rows.drop("_bin").withColumns({"bucket": F.lit(0), "bucket_length": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")})
-    bucket = reduce(lambda a, x: a + (F.col("_bin") > x).cast("int"), bounds[:-1], F.lit(0))
+        return rows.withColumns({"bucket": F.lit(0), "bucket_length": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")})
+    bucket = reduce(lambda a, x: a + (F.col(length) > x).cast("int"), bounds[:-1], F.lit(0))
     rows = rows.withColumn("bucket", bucket)
     rows = salted_rank(rows, [key, length], "_rank", within=[F.col("bucket")], groups=1024)
     each = [max(1, budget // max(x, 1)) for x in bounds]
     per = F.element_at(F.array([F.lit(x) for x in each]), F.col("bucket") + 1)
     rows = rows.withColumn("bucket_length", F.element_at(F.array([F.lit(x).cast("long") for x in bounds]), F.col("bucket") + 1))
-    return rows.withColumn("batch", F.floor(F.col("_rank") / per).cast("long")).withColumn("slot", (F.col("_rank") % per).cast("long")).drop("_bin", "_rank")
+    return rows.withColumn("batch", F.floor(F.col("_rank") / per).cast("long")).withColumn("slot", (F.col("_rank") % per).cast("long")).drop("_rank")
 
 
 def token_length(text: Column) -> Column:
