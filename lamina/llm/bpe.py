@@ -1,26 +1,31 @@
 """BPE encoding and decoding of whole texts in Spark.
 
-Most texts are encoded in one task each, word by word. A text with a very long run without white
-space is spread: the run's leaves are rows of their own, encoded in parallel, and then joined in a
-tree of neighbours, each join re-encoding growing windows until both sides agree.
+A text of more than ``PART`` characters is cut in halves, wherever the middle falls, until no part is longer. The parts are
+rows of their own and encoded in parallel. At each join a window around the cut is encoded again: it grows on either side
+to the next white space, where both sides agree, as no token of this pre-tokenizer spans white space. A run
+of ``LEAF`` characters without white space is a part of its own: its words are cut in leaves of letters, encoded in
+parallel and joined in a tree of neighbours, each join re-encoding growing windows of tokens until both sides agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, text_of
-from lamina.llm.wordbpe import WordEncoder, encoder
+from lamina.llm.common import batch_of, map_arrow, materialise, text_of
+from lamina.llm.wordbpe import LEAF, WordEncoder, encoder
 
-#: A run of so many characters without white space is spread over rows of ``SPREAD_LEAF`` characters.
-SPREAD = 1 << 17
-SPREAD_LEAF = 1 << 14
+#: A text of more characters is cut in halves; at least twice LEAF, so that a part without white space lies in a long run.
+PART = 2 * LEAF
+_SPACE = " \t\n\x0b\x0c\r"
+_LONG_RUN = re.compile(rf"[^{_SPACE}]{{{LEAF},}}")
 
 
 def _strings(names: list[str]):
@@ -48,93 +53,208 @@ def _cached(path: str, kind: str) -> WordEncoder:
     return wordbpe._encoders.get((path, kind)) or _encoder(path, kind)
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+def cuts_of(n: int, part: int = PART) -> list[int]:
+    """Bounds of the parts of n characters: halves of halves, none longer than ``part``."""
+    parts = 1
+    while -(-n // parts) > part:
+        parts *= 2
+    return [i * n // parts for i in range(parts + 1)]
 
 
-_DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def _digest(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-    parts = [p for p in parts if p[0]]
-    return sum([p[0] for p in parts]), _sha(" ".join([p[1] for p in parts])), _sha(" ".join([p[2] for p in parts]))
+class Ids:
+    """Gathers the ids of a whole text in order."""
 
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+
+    def add(self, formed: list) -> None:
+        self.take(*self.pack(formed))
+
+    def take(self, n: int, ids: bytes, decoded: bytes) -> None:
+        self.parts.append(np.frombuffer(ids, np.int32))
+
+    @staticmethod
+    def pack(formed: list) -> tuple[int, bytes, bytes]:
+        ids = np.array([i for part in formed for i in part], np.int32)
+        return len(ids), ids.tobytes(), b""
+
+    def result(self) -> tuple:
+        return (np.concatenate(self.parts).tolist() if self.parts else [],)
+
+
+class Digest:
+    """Hashes the decimal ids and the decoded text of a whole text, part by part."""
+
+    def __init__(self) -> None:
+        self.n, self.ids, self.decoded = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formed: list) -> None:
+        self.take(*self.pack(formed))
+
+    def take(self, n: int, ids: bytes, decoded: bytes) -> None:
+        if n:
+            gap = b" " if self.n else b""
+            self.ids.update(gap + ids)
+            self.decoded.update(gap + decoded)
+            self.n += n
+
+    @staticmethod
+    def pack(formed: list) -> tuple[int, bytes, bytes]:
+        formed = [p for p in formed if p[0]]
+        return sum([p[0] for p in formed]), _bytes(" ".join([p[1] for p in formed])), _bytes(" ".join([p[2] for p in formed]))
+
+    def result(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+_OUT = {
+    True: ("n_tokens long, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
+    False: ("ids array<int>", [("ids", pa.list_(pa.int32()))]),
+}
+#: A part: a stretch of text (word null), or a leaf of the letters of a long word (``last`` ends the word), or a special token's id.
+_PART = [("key", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("word", pa.int64()), ("last", pa.bool_()), ("special", pa.int32())]
+_PART_SQL = "key long, seq long, text string, word long, last boolean, special int"
+
+
+def parts_of(enc: WordEncoder, text: str) -> Iterator[tuple]:
+    """(text, word, last, special) of each part of a long text, in order."""
+    at = word = 0
+    for m in [*_LONG_RUN.finditer(text), None]:
+        some = text[at : m.start() if m else len(text)]
+        if some:
+            cuts = cuts_of(len(some))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield some[a:b], None, None, None
+        if not m:
+            return
+        at = m.end()
+        run, done = m[0], 0
+        for special in [*enc.specials.finditer(run), None]:
+            normal = enc.tokenizer.normalizer.normalize_str(run[done : special.start() if special else len(run)])
+            for w, _ in enc.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if normal else ():
+                word += 1
+                for c in range(0, len(w), LEAF):
+                    yield w[c : c + LEAF], word, c + LEAF >= len(w), None
+            if special:
+                word += 1
+                yield None, word, True, enc.special_ids[special[0]]
+                done = special.end()
+
+
+def _cut(path: str, digest: bool):
+    """Short texts are encoded at once (seq null); long ones give their parts."""
+    names = [*_PART, *_OUT[digest][1]]
+    gather = Digest if digest else Ids
 
-def _whole(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _cached(path, "strings" if digest else "ids")
+        context = TaskContext.get()
+        key = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(texts), 512):
-                some = [enc.parts(t.as_py()) for t in texts[at : at + 512]]
-                if digest:
-                    rows = [_digest(p) for p in some]
-                    schema = pa.schema([("id", ids.type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-                    yield batch_of(schema, id=ids[at : at + 512], n_tokens=[r[0] for r in rows], ids_sha256=[r[1] for r in rows], decoded_sha256=[r[2] for r in rows])
-                else:
-                    schema = pa.schema([("id", ids.type), ("ids", pa.list_(pa.int32()))])
-                    yield batch_of(schema, id=ids[at : at + 512], ids=[[i for p in parts for i in p] for parts in some])
+            schema = pa.schema([("id", batch.schema.field(0).type), *names])
+            for at in range(0, batch.num_rows, 256):
+                where, rows = [], []
+                for i, text in enumerate(batch.column(1).slice(at, 256).to_pylist(), at):
+                    if len(text) <= PART:
+                        got = gather()
+                        got.add(enc.parts(text))
+                        where.append(i)
+                        rows.append((None, None, None, None, None, None, *got.result()))
+                        continue
+                    key += 1
+                    for seq, part in enumerate(parts_of(enc, text)):
+                        where.append(i)
+                        rows.append((key, seq, *part, *[None] * (len(names) - len(_PART))))
+                        if len(rows) >= 1024:
+                            yield batch_of(schema, id=batch.column(0).take(pa.array(where)), **{n: c for (n, _), c in zip(names, zip(*rows, strict=True), strict=True)})
+                            where, rows = [], []
+                if rows:
+                    yield batch_of(schema, id=batch.column(0).take(pa.array(where)), **{n: c for (n, _), c in zip(names, zip(*rows, strict=True), strict=True)})
 
     return run
 
 
-def _spread(path: str):
-    """Rows (key, seq, letters, last): an encoded stretch has ids; a leaf of a long word has letters."""
-    schema = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("ids", pa.list_(pa.int32())), ("letters", pa.string()), ("word", pa.int64()), ("last", pa.bool_())])
+def split_part(text: str) -> tuple[str, str | None, str | None]:
+    """(before the first white space, between, after the last one); the last two are None where there is none."""
+    a = next((m.start() for m in re.finditer(f"[{_SPACE}]", text)), None)
+    if a is None:
+        return text, None, None
+    b = max(text.rfind(c) for c in _SPACE)
+    return text[:a], text[a : b + 1], text[b + 1 :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _cached(path, "ids")
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seq = word = at = 0
-                for m in [*enc.specials.finditer(text), None]:
-                    run_text = enc.tokenizer.normalizer.normalize_str(text[at : m.start() if m else len(text)])
-                    for piece in enc.pieces(run_text, SPREAD_LEAF):
-                        for w, _ in enc.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
-                            word += 1
-                            cuts = range(0, len(w), SPREAD_LEAF) if len(w) > SPREAD_LEAF else [0]
-                            for c in cuts:
-                                leaf = w[c : c + SPREAD_LEAF] if len(cuts) > 1 else w
-                                yield batch_of(schema, key=[key], seq=[seq], ids=[None], letters=[leaf], word=[word], last=[c + len(leaf) == len(w)])
-                                seq += 1
-                    if m:
-                        word += 1
-                        yield batch_of(schema, key=[key], seq=[seq], ids=[[enc.special_ids[m[0]]]], letters=[None], word=[word], last=[True])
-                        seq += 1
-                        at = m.end()
-                if not seq:
-                    yield batch_of(schema, key=[key], seq=[0], ids=[[]], letters=[None], word=[0], last=[True])
 
-    return run
+_DONE = [("key", pa.int64()), ("seq", pa.int64()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("word", pa.int64()), ("last", pa.bool_())]
+_DONE_SQL = "key long, seq long, head string, tail string, n long, a binary, b binary, word long, last boolean"
 
 
-def _leaves(path: str):
-    schema = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("word", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _leaves(path: str, digest: bool):
+    """Encode each part: a stretch but for its outermost pieces of words, a leaf as letters of an unfinished word."""
+    gather = Digest if digest else Ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _cached(path, "ids").bpe
+        enc = _cached(path, "strings" if digest else "ids")
         for batch in batches:
-            keys, seqs, ids, letters, words, lasts = (c.to_pylist() for c in batch.columns)
-            done = [i if s is None else bpe.tree(s, last) for i, s, last in zip(ids, letters, lasts, strict=True)]
-            yield batch_of(schema, key=keys, seq=seqs, word=words, ids=done)
+            schema = pa.schema([("id", batch.schema.field(0).type), *_DONE])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                rows = []
+                for key, seq, text, word, last, special in zip(*(c.to_pylist() for c in some.columns[1:]), strict=True):
+                    if special is not None:
+                        rows.append((key, seq, None, None, 1, np.array([special], np.int32).tobytes(), None, word, last))
+                    elif word is not None:
+                        ids = enc.bpe.tree(text, last)
+                        rows.append((key, seq, None, None, len(ids), np.array(ids, np.int32).tobytes(), None, word, last))
+                    else:
+                        head, middle, tail = split_part(text)
+                        rows.append((key, seq, head, tail, *gather.pack(enc.parts(middle or "")), None, None))
+                yield batch_of(schema, id=some.column(0), **{n: c for (n, _), c in zip(_DONE, zip(*rows, strict=True), strict=True)})
 
     return run
 
 
-def _join_words(path: str, digest: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _joins(path: str, digest: bool):
+    """Join the parts of each text, which come in order; one text's open word and one part are held at a time."""
+    gather = Digest if digest else Ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _cached(path, "strings" if digest else "ids")
-        parts: list = []
-        for _, word in pdf.sort_values("seq").groupby("word", sort=True):
-            level = [list(map(int, i)) for i in word["ids"]]
-            while len(level) > 1:
-                level = [enc.bpe.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-            parts.append(enc.form(level[0]))
-        key = pdf["key"].iloc[0]
-        if digest:
-            n, a, b = _digest(parts)
-            return pd.DataFrame({"key": [key], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
-        return pd.DataFrame({"key": [key], "ids": [[i for p in parts for i in p]]})
+        now, got, window, leaves, owner = None, gather(), "", [], None
+
+        def close_window() -> None:
+            nonlocal window
+            if window:
+                got.add(enc.parts(window))
+            window = ""
+
+        for batch in batches:
+            schema = pa.schema([("id", batch.schema.field(0).type), *_OUT[digest][1]])
+            finish = lambda: batch_of(schema, id=owner, **{n: [v] for (n, _), v in zip(_OUT[digest][1], got.result(), strict=True)})
+            for i in range(batch.num_rows):
+                key, seq, head, tail, n, a, b, word, last = (batch.column(c)[i].as_py() for c in range(1, 10))
+                if key != now:
+                    if now is not None:
+                        close_window()
+                        yield finish()
+                    now, got, leaves, owner = key, gather(), [], batch.column(0).slice(i, 1)
+                if word is None:
+                    window += head
+                    if tail is not None:
+                        close_window()
+                        got.take(n, a, b)
+                        window = tail
+                    continue
+                close_window()
+                leaves.append(np.frombuffer(a, np.int32).tolist())
+                if last:
+                    got.add([enc.form(enc.bpe.join_all(leaves))])
+                    leaves = []
+        if now is not None:
+            close_window()
+            yield finish()
 
     return run
 
@@ -145,21 +265,17 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     strings are the decimal ids and the decoded text.
 
     Null and empty texts give no tokens. Each row gives one row, repeated rows and null ids included;
-    other columns play no part.
+    other columns play no part. No rows: no rows. The input is read once.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    out = _DIGEST if digest else "ids array<int>"
+    out, names = _OUT[digest][0], [n for n, _ in _OUT[digest][1]]
     rows = df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("text"))
-    long = (F.length("text") > SPREAD) & F.col("text").rlike(rf"\S{{{SPREAD}}}")
-    short = map_arrow(rows.where(~long), _whole(path, digest), f"id {kind}, {out}")
-    # a key for each text: equal texts are encoded once, then given back to their rows
-    far = rows.where(long).withColumn("key", F.sha2("text", 256))
-    pieces = map_arrow(far.select("key", "text").dropDuplicates(["key"]), _spread(path), "key string, seq long, ids array<int>, letters string, word long, last boolean")
-    spark = df.sparkSession
-    dealt = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "seq")
-    leaves = map_arrow(dealt, _leaves(path), "key string, seq long, word long, ids array<int>")
-    whole = leaves.groupBy("key").applyInPandas(_join_words(path, digest), f"key string, {out}")
-    return short.unionByName(far.select("id", "key").join(whole, "key").drop("key"))
+    cut = materialise(map_arrow(rows, _cut(path, digest), f"id {kind}, {_PART_SQL}, {out}"), "parts")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut.where("seq is not null").select("id", *[n for n, _ in _PART]).repartition(n, "key", "seq")
+    done = map_arrow(parts, _leaves(path, digest), f"id {kind}, {_DONE_SQL}").repartition(n, "key").sortWithinPartitions("key", "seq")
+    joined = map_arrow(done, _joins(path, digest), f"id {kind}, {out}")
+    return cut.where("seq is null").select("id", *names).unionByName(joined)
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

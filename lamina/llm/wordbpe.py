@@ -105,7 +105,10 @@ class Bpe:
         """Encode a long word: leaves (in ``pool``, if given), then joins of neighbours, level by level."""
         cuts = [(i, min(i + leaf, len(letters))) for i in range(0, len(letters), leaf)]
         one = lambda c: self.merge(self.base(letters[c[0] : c[1]], last and c[1] == len(letters)))
-        parts = list((pool.map if pool else map)(one, cuts))
+        return self.join_all(list((pool.map if pool else map)(one, cuts)))
+
+    def join_all(self, parts: list[list[int]]) -> list[int]:
+        """Join encoded leaves of one word, neighbours first, level by level."""
         while len(parts) > 1:
             parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
