@@ -4,7 +4,8 @@
 
 Frames hold ``FRAME`` ids each (the last one fewer) as little-endian unsigned 32-bit integers, so the frame of
 any id is known; the seek table has each frame's offset, size and crc32, and each document's
-id and first token. A reader fetches the footer, the table and only the frames it needs.
+id and first token. Documents without an id come first; the table says how many they are. A reader fetches the
+footer, the table and only the frames it needs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 from lamina.llm.common import batch_of, map_arrow, materialise, text_of, work_path
 from lamina.llm.wordbpe import encoder
 
-MAGIC = b"LMTOKEN1"
+MAGIC = b"LMTOKEN2"
 FRAME = 1 << 16
 _FOOTER = struct.Struct("<QQI8s")
 
@@ -39,14 +41,16 @@ class TokenFileWriter:
 
     def __init__(self, out, level: int = 3) -> None:
         self.out, self.zip = out, zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.held, self.size, self.at, self.n = [], 0, len(MAGIC), 0
+        self.held, self.size, self.at, self.n, self.nulls = [], 0, len(MAGIC), 0, 0
         self.frames: list[tuple[int, int, int]] = []
         self.ids: list[int] = []
         self.starts: list[int] = []
         out.write(MAGIC)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.ids.append(doc_id)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """The next document, in ascending order of ids; those without one come first."""
+        self.nulls += doc_id is None
+        self.ids.append(doc_id or 0)
         self.starts.append(self.n)
         self.n += len(ids) // 4
         self.held.append(ids)
@@ -68,7 +72,7 @@ class TokenFileWriter:
         if self.size:
             self._frame(b"".join(self.held))
         table = np.array(self.frames, "<u8").reshape(-1, 3)
-        raw = struct.pack("<QQQ", len(table), len(self.ids), self.n) + table.tobytes() + np.array(self.ids, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes()
+        raw = struct.pack("<QQQQ", len(table), len(self.ids), self.n, self.nulls) + table.tobytes() + np.array(self.ids, "<i8").tobytes() + np.array(self.starts, "<u8").tobytes()
         packed = self.zip.compress(raw)
         self.out.write(packed)
         self.out.write(_FOOTER.pack(self.at, len(packed), zlib.crc32(packed), MAGIC))
@@ -89,10 +93,10 @@ class TokenFileReader:
         if magic != MAGIC or zlib.crc32(packed) != crc:
             raise ValueError("damaged token file: seek table")
         raw = zstandard.ZstdDecompressor().decompress(packed)
-        frames, docs, self.n = struct.unpack_from("<QQQ", raw)
-        self.frames = np.frombuffer(raw, "<u8", 3 * frames, 24).reshape(-1, 3)
-        self.ids = np.frombuffer(raw, "<i8", docs, 24 + 24 * frames)
-        self.starts = np.append(np.frombuffer(raw, "<u8", docs, 24 + 24 * frames + 8 * docs), np.uint64(self.n)).astype(np.int64)
+        frames, docs, self.n, self.nulls = struct.unpack_from("<QQQQ", raw)
+        self.frames = np.frombuffer(raw, "<u8", 3 * frames, 32).reshape(-1, 3)
+        self.ids = np.frombuffer(raw, "<i8", docs, 32 + 24 * frames)
+        self.starts = np.append(np.frombuffer(raw, "<u8", docs, 32 + 24 * frames + 8 * docs), np.uint64(self.n)).astype(np.int64)
         self._last: tuple[int, bytes] = (-1, b"")
 
     def frame(self, k: int) -> bytes:
@@ -114,9 +118,15 @@ class TokenFileReader:
             yield self.frame(k)[4 * (a - k * FRAME) : 4 * (end - k * FRAME)]
             a = end
 
-    def find(self, doc_id: int) -> list[int]:
+    def names(self) -> pa.Array:
+        """The documents' ids, null for those without one."""
+        return pa.array(self.ids, pa.int64(), mask=np.arange(len(self.ids)) < self.nulls)
+
+    def find(self, doc_id: int | None) -> list[int]:
         """Rows of a document, found in the sorted id table."""
-        a, b = np.searchsorted(self.ids, [doc_id, doc_id + 1])
+        if doc_id is None:
+            return list(range(self.nulls))
+        a, b = np.searchsorted(self.ids[self.nulls :], [doc_id, doc_id + 1]) + self.nulls
         return list(range(int(a), int(b)))
 
     def read(self, row: int) -> np.ndarray:
@@ -124,11 +134,12 @@ class TokenFileReader:
 
 
 def _write(path: str, folder: str, end_id: int | None, level: int):
-    schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
+    schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
     end = b"" if end_id is None else _u32([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "u32", _u32)
+        context = TaskContext.get()
         writer, name = None, f"tokens-{uuid.uuid4().hex}.bin"  # a retried task writes another file; the manifest has one
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -139,7 +150,7 @@ def _write(path: str, folder: str, end_id: int | None, level: int):
                 writer.add(doc_id.as_py(), b"".join([*enc.parts(text.as_py()), end]))
         if writer is not None:
             size = writer.close()
-            yield batch_of(schema, file=[f"{folder}/{name}"], first=[writer.ids[0]], docs=[len(writer.ids)], tokens=[writer.n], bytes=[size])
+            yield batch_of(schema, part=[context.partitionId() if context else 0], file=[f"{folder}/{name}"], docs=[len(writer.ids)], tokens=[writer.n], bytes=[size])
 
     return run
 
@@ -147,17 +158,20 @@ def _write(path: str, folder: str, end_id: int | None, level: int):
 def write_token_files(df: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, level: int = 3, partitions: int | None = None) -> DataFrame:
     """Encode whole texts and write one file for each range of ids, in ascending order of ids.
 
-    Returns the manifest, a written table: file, first (least id), docs, tokens, bytes, base (ids in all
-    files before). ``folder`` must be one that all executors share. Null texts are empty; rows
-    without an id are left out, as the order has no place for them.
+    Returns the manifest, a written table: part, file, docs, tokens, bytes, base (ids in all
+    files before). ``folder`` must be one that all executors share. Null texts are empty. Rows without an id come
+    first; rows with one id follow each other in order of a hash of their text, then the text, and may be spread over files. No
+    rows: no files, an empty manifest.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.where(df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), text_of(df, text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    manifest = materialise(map_arrow(ordered, _write(path, folder, end_id, level), "file string, first long, docs long, tokens long, bytes long"), "manifest")
+    text = text_of(df, text_col)
+    rows = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # the hash lets one id's rows, null's too, be cut into ranges
+    ordered = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
+    manifest = materialise(map_arrow(ordered, _write(path, folder, end_id, level), "part long, file string, docs long, tokens long, bytes long"), "manifest")
     # one row a file: the running sum is over as many rows as there are files
-    return materialise(manifest.withColumn("base", F.sum("tokens").over(Window.orderBy("first")) - F.col("tokens")), "manifest")
+    return materialise(manifest.withColumn("base", F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -170,7 +184,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(file)
                 with store.open_input_file(at) as source:
                     reader = TokenFileReader(source)
-                    crcs = []
+                    names, crcs = reader.names(), []
                     for row in range(len(reader.ids)):
                         crc = 0
                         for part in reader.slices(row):
@@ -178,30 +192,56 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         crcs.append(crc)
                     for a in range(0, len(crcs), 10_000):
                         s = slice(a, a + 10_000)
-                        yield batch_of(schema, id=reader.ids[s], start=reader.starts[:-1][s] + base, n_tokens=np.diff(reader.starts)[s], ids_crc32=crcs[s])
+                        yield batch_of(schema, id=names[s], start=reader.starts[:-1][s] + base, n_tokens=np.diff(reader.starts)[s], ids_crc32=crcs[s])
 
     files = manifest.select("file", "base").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return map_arrow(files, run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_documents(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids array<long>) of the wanted ids only: their files are opened, and of those their frames are fetched."""
-    spans = manifest.withColumn("_end", F.lead("first").over(Window.orderBy("first")))
-    pairs = wanted.select(F.col(id_col).cast("long").alias("id")).join(F.broadcast(spans), (F.col("id") >= F.col("first")) & (F.col("_end").isNull() | (F.col("id") < F.col("_end"))))
+def document_index(manifest: DataFrame) -> DataFrame:
+    """(id, file, row) of every document of the files; only their seek tables are read."""
+    schema = pa.schema([("id", pa.int64()), ("file", pa.string()), ("row", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(file)
+                with store.open_input_file(at) as source:
+                    names = TokenFileReader(source).names()
+                for a in range(0, len(names), 10_000):
+                    part = names[a : a + 10_000]
+                    yield batch_of(schema, id=part, file=[file] * len(part), row=list(range(a, a + len(part))))
 
-    def run(pdf):
-        import pandas as pd
+    files = manifest.select("file").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return map_arrow(files, run, "id long, file string, row long")
 
-        store, at = fs.FileSystem.from_uri(pdf["file"].iloc[0])
-        with store.open_input_file(at) as source:
-            reader = TokenFileReader(source)
-            rows = [(i, reader.read(r).astype("int64")) for i in sorted(set(pdf["id"])) for r in reader.find(i)]
-        return pd.DataFrame({"id": pd.Series([r[0] for r in rows], dtype="int64"), "ids": [r[1] for r in rows]})
 
-    return pairs.select("id", "file").groupBy("file").applyInPandas(run, "id long, ids array<long>")
+def read_documents(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, ids array<long>) of the wanted ids only, a null one included: an equal-key join with the index names
+    their files, which are opened once each, and of those their frames are fetched."""
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, source, reader = None, None, None
+        for batch in batches:
+            for name, file, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != now:
+                    if source is not None:
+                        source.close()
+                    store, at = fs.FileSystem.from_uri(file)
+                    now, source = file, store.open_input_file(at)
+                    reader = TokenFileReader(source)
+                yield batch_of(schema, id=[name], ids=[reader.read(row).astype("int64")])
+        if source is not None:
+            source.close()
+
+    index, asked = document_index(manifest), wanted.select(F.col(id_col).cast("long").alias("asked")).distinct()
+    pairs = index.join(asked, index["id"].eqNullSafe(asked["asked"])).select("id", "file", "row")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(pairs.repartition(n, "file").sortWithinPartitions("file", "row"), run, "id long, ids array<long>")
 
 
 def token_round_trip(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``df``'s token files into a new folder of the shared work space and read them back."""
+    """Write ``df``'s token files into a new folder of the shared work space and read them back: one row for each row."""
     folder = work_path(df.sparkSession, "tokens")
     return read_token_files(write_token_files(df, path, folder, id_col, text_col, end_id))
