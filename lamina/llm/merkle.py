@@ -1,7 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and clauses. DataFrame functions only.
 
 Leaves are clauses, paragraphs are lines, and a section starts at a blank line or at a paragraph whose digest starts
-with 0, so an edit moves no section bound but its own. Each node is the sha256 of its children's digests in hex.
+with 0, so an edit moves no section bound but its own. A clause ends after a punctuation mark, or at a space after a
+letter whose code leaves 2 when divided by 4: a rule that depends on content alone, in any language with spaces, and keeps the leaves
+of text without punctuation short. Each node is the sha256 of its children's digests in hex.
 Equal roots mean equal texts; where roots differ, the section, paragraph and clause digests tell which
 branches do. A fingerprint is ``root|sections|paragraphs|clauses``, the last three as the first eight hex digits of each node.
 """
@@ -12,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import text_of
+from lamina.llm.common import materialise, text_of
 
-#: A clause ends after one of these.
-CLAUSE = r"([.!?;,|]|n )"
+#: A clause ends after one of these: punctuation, or a letter whose code is 2 modulo 4 and a space.
+CLAUSE = r"([.!?;,|]|[bfjnrvzBFJNRVZ] )"
 SHORT = 8
-#: Rows of a neighbourhood, about, and the most neighbourhoods.
-ROWS, MOST = 500, 8192
+#: Rows of a neighbourhood.
+ROWS = 500
 _BLANK = "cd372fb85148700fa88095e3492d3f9f5beb43e555e5ff26d95f5a6adc36f8e6"  # node of a paragraph whose only clause is empty
 
 
@@ -50,13 +52,18 @@ def root_of(fingerprint: Column) -> Column:
 
 
 def differing(a: Column, b: Column, level: int = 3) -> Column:
-    """Places (from 0) of the branches of ``a`` that ``b`` lacks: sections (2), paragraphs (3) or clauses (4).
+    """Places (from 0) of the branches of ``a`` that are edited in ``b``: sections (2), paragraphs (3) or clauses (4).
 
-    Empty where the roots are equal.
+    A branch is as it was if the one at the same place of ``b``, counted from the front or from the back, is equal.
+    So moved and repeated branches are found, and what is put in or taken out does not mark what follows. Empty
+    where the roots are equal.
     """
     part = lambda f: F.split(F.element_at(F.split(f, r"\|"), level), r"\.")
-    marked = F.transform(part(a), lambda x, i: F.when(~F.array_contains(part(b), x), i))
-    return F.when(root_of(a) == root_of(b), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda x: x.isNotNull()))
+    x, y = part(a), part(b)
+    behind = F.size(y) - F.size(x)
+    same = lambda v, i: F.coalesce(F.get(y, i) == v, F.lit(False)) | F.coalesce(F.get(y, F.when(i + behind >= 0, i + behind)) == v, F.lit(False))
+    marked = F.transform(x, lambda v, i: F.when(~same(v, i), i))
+    return F.when(root_of(a) == root_of(b), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda v: v.isNotNull()))
 
 
 def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,53 +71,62 @@ def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
     return add_tree(df.withColumn("_text", text_of(df, text_col)), "_text", "").drop("_text", "leaves")
 
 
-def with_next(df: DataFrame, key: str) -> DataFrame:
-    """Add bucket and own (a neighbourhood's rows are together; guests have own = false), so that the next row
-    by key is in the same neighbourhood. Neighbourhoods are ranges of keys with about ROWS rows.
+def ordered(keys: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """``keys`` as a written table with a gapless ``rank`` from 0 in the order of ``by``, and the number of rows.
 
-    The first row of each range is also a guest of the range before, the very first one of the last range.
+    Ranges of keys are sorted in parallel; a small table has each range's number of rows.
     """
-    n = df.count()
-    parts = min(MOST, max(1, -(-n // ROWS)))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, cuts, 100 * parts)).first()[0] or [])) if cuts and n else []
-    # a binary search of the bounds, which are at most MOST
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    array = F.array([F.lit(x).cast("long") for x in bounds]) if bounds else None
-    bucket = F.lit(0)
-    if array is not None:
-        test = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) <= F.col(key)), at + step).otherwise(at)
-        bucket = F.aggregate(F.array([F.lit(s) for s in steps]), F.lit(0), test)
-    df = df.withColumn("bucket", bucket)
-    least = sorted((r["bucket"], r["k"]) for r in df.groupBy("bucket").agg(F.min(key).alias("k")).collect())
-    if not least:
-        return df.withColumn("own", F.lit(True))
-    before = {k: least[i - 1][0] for i, (_, k) in enumerate(least)}
-    keys = sorted(before)
-    hosts = F.create_map([x for k in keys for x in (F.lit(k).cast("long"), F.lit(before[k]))])
-    host = F.try_element_at(hosts, F.col(key))
-    homes = F.filter(F.array(F.struct(F.col("bucket"), F.lit(True).alias("own")), F.struct(host.alias("bucket"), F.lit(False).alias("own"))), lambda s: s["bucket"].isNotNull())
-    return df.withColumn("_home", F.explode(homes)).withColumn("bucket", F.col("_home.bucket")).withColumn("own", F.col("_home.own")).drop("_home")
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = keys.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed, "order").withColumn("_part", F.shiftrightunsigned("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(before, "_part").withColumn("rank", local + F.col("_before")).drop("_at", "_part", "_before"), total
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text is the text with its last quarter (rounded down, in code points) replaced by the first
-    as many of the next row's, by id, then text; after the last row comes the first. A lone row is its own
-    next. Null texts are empty; a null id comes before all others.
+    as many of the next row's, by id, then a hash of the text; after the last row comes the first. A lone row is its own
+    next. Null texts are empty; a null id comes before all others. Equal rows follow each other, so all but the last have an equal
+    one as their next. No rows: no rows.
+
+    Distinct rows get a global rank in a narrow table, which deals the texts in neighbourhoods of ``ROWS`` ranks; the first row of
+    each is also a guest of the one before, the very first one of the last.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("key"), text_of(docs, text_col).alias("text"))
-    rows = with_next(rows, "key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
-    rows = add_tree(rows, "text", "")
-    order = Window.partitionBy("bucket").orderBy(F.col("own").desc(), "key", "text")
-    rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("next_leaves", F.lead("leaves").over(order)).where("own")
-    n = F.length("text")
-    k = F.floor(n / 4).cast("int")
-    edited = F.concat(F.left("text", n - k), F.left(F.coalesce("next", F.lit("")), k))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = text_of(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
+    ranks, n = ordered(rows.groupBy("key", "h").count(), ["key", "h"])
+    last = max(0, (n - 1) // ROWS)
+    own = F.expr(f"rank div {ROWS}")
+    guest = F.when(F.col("rank") == 0, F.lit(last)).when(F.col("rank") % ROWS == 0, own - 1)
+    # a key's copies are the same row: one goes on, with their number
+    once = rows.join(ranks, ["key", "h"])
+    repeated = ranks.where("count > 1").select("key", "h").limit(1).count()
+    if repeated:
+        once = once.groupBy("key", "h").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("count").alias("count"), F.first("rank").alias("rank"))
+    homes = F.filter(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own")), F.struct(guest.cast("long").alias("bucket"), F.lit(False).alias("own"))), lambda s: s["bucket"].isNotNull())
+    dealt = once.select("id", "text", "count", "rank", F.explode(homes).alias("home")).select("id", "text", "count", "rank", "home.*").repartition(parts, "bucket")
+    dealt = add_tree(dealt, "text", "")
+    order = Window.partitionBy("bucket").orderBy(F.col("own").desc(), "rank")
+    following = F.struct(F.lead("text").over(order).alias("text"), F.lead("leaves").over(order).alias("leaves"), F.lit(1).cast("long").alias("times"))
+    rows = dealt.withColumn("other", following).where("own")
+    if repeated:
+        copy = F.struct(F.col("text"), F.col("leaves"), (F.col("count") - 1).alias("times"))
+        rows = rows.withColumn("other", F.explode(F.filter(F.array("other", copy), lambda s: s["times"] > 0)))
+    chars = F.length("text")
+    k = F.floor(chars / 4).cast("int")
+    edited = F.concat(F.left("text", chars - k), F.left(F.coalesce("other.text", F.lit("")), k))
     rows = add_tree(rows.withColumn("edited", edited), "edited", "edited_")
+    if repeated:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("other.times"))))
     return rows.select(
-        "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        "id", chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("other.leaves")).alias("near_next"),
     )

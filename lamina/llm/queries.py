@@ -112,7 +112,7 @@ def _tree(text: str, name: str) -> str:
     """CTE ``name``: doc_id, fp and leaves of the texts of a relation ``text``."""
     return f"""
 {name}0 AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda p:
-    list_transform(string_split(regexp_replace(p, '([.!?;,|]|n )', concat('\\1', chr(10)), 'g'), chr(10)), lambda c: sha256(c))) AS cl FROM {text}),
+    list_transform(string_split(regexp_replace(p, '([.!?;,|]|[bfjnrvzBFJNRVZ] )', concat('\\1', chr(10)), 'g'), chr(10)), lambda c: sha256(c))) AS cl FROM {text}),
 {name}1 AS (SELECT doc_id, cl, list_transform(cl, lambda c: sha256(array_to_string(c, '.'))) AS pa FROM {name}0),
 {name}2 AS (SELECT *, list_transform(string_split(replace(replace(array_to_string(pa, ' '), ' 0', concat(chr(10), '0')),
     concat(' ', sha256(sha256(''))), concat(chr(10), sha256(sha256('')))), chr(10)), lambda s: sha256(s)) AS se FROM {name}1),

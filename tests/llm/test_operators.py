@@ -418,8 +418,8 @@ def test_tree_fingerprints(spark, docs, none):
     got = merkle.edit_fingerprints(docs).collect()
     rows = documents()
     assert len(got) == len(rows) and merkle.edit_fingerprints(none).count() == 0
-    key = lambda r: (-(1 << 63) if r[0] is None else r[0], (r[1] or "").encode())
-    order = sorted(rows, key=key)
+    signed = lambda t: (xxhash.xxh64_intdigest(t, 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1] or "")))
     want = []
     for r, nxt in zip(order, [*order[1:], order[0]], strict=True):
         t, n = r[1] or "", nxt[1] or ""
@@ -433,6 +433,11 @@ def test_tree_fingerprints(spark, docs, none):
     pair = merkle.add_tree(merkle.add_tree(pair, "p", "p_"), "q", "q_")
     f, g = pair.p_fingerprint, pair.q_fingerprint
     assert [list(r[0]) for r in pair.select(merkle.differing(f, g)).collect()] == [[1], []]
+    moved = spark.createDataFrame([("a\nb\nc\nd", "a\nc\nb\nd"), ("a\nb\nb", "a\nb"), ("a\nc", "a\nb\nc"), ("a\nb\nc", "a\nb\nx\nc")], "p string, q string")
+    moved = merkle.add_tree(merkle.add_tree(moved, "p", "p_"), "q", "q_")
+    assert [list(r[0]) for r in moved.select(merkle.differing(moved.p_fingerprint, moved.q_fingerprint)).collect()] == [[1, 2], [], [], []]
+    fewer = docs.where("doc_id > 3").dropDuplicates(["doc_id", "text"])
+    assert merkle.edit_fingerprints(fewer).count() == fewer.count()
     alone = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
     assert merkle.edit_fingerprints(alone).first()["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert dict(merkle.fingerprints(docs.limit(1)).dtypes)["fingerprint"] == "string"
