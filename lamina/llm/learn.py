@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, text_of
+from lamina.llm.common import batch_of, map_arrow, materialise, text_of, texts_in
 
 
 def held_out(id_col: Column) -> Column:
@@ -28,19 +28,49 @@ def labelled_ids(labels: DataFrame, label: str, each: int, id_col: str = "doc_id
     return parts[0].unionByName(parts[1])
 
 
-def sampled(df: DataFrame, ids: list[tuple[int, int]], fn: Callable[[str], bytes], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, bytes]]:
-    """(id, label, fn(text)) of the documents in a bounded list of ids, computed on the executors."""
-    spark = df.sparkSession
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("data", pa.binary())])
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, each: int, chars: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """A bounded sample (id, y, lang, text) of whole labelled texts, as a written table.
+
+    At most ``each`` rows of either label, and of those as many, in hash order of their ids, as hold ``chars`` characters together:
+    the rows and the bytes that a model is fitted on are bounded, and no text is cut. Of rows with one id the one with the
+    least text hash is taken. The documents are read once.
+    """
+    spark = docs.sparkSession
+    few = labelled_ids(labels, label, each, id_col).collect()  # two columns of at most 2 x ``each`` rows
+    lang = docs[lang_col].cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
+    text = text_of(docs, text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.struct(F.xxhash64(text).alias("h"), lang.alias("lang"), text.alias("text")).alias("row"))
+    rows = rows.join(F.broadcast(spark.createDataFrame(few, "id long, y int")), "id").groupBy("id", "y").agg(F.min("row").alias("row"))
+    found = materialise(rows.select("id", "y", "row.lang", "row.text"), "labelled")
+    left, keep = {0: chars, 1: chars}, []
+    for r in sorted(found.select("id", "y", F.length("text").alias("n"), F.xxhash64("id", F.lit(17)).alias("h")).collect(), key=lambda r: (r["h"], r["id"])):
+        if left[r["y"]] >= r["n"]:
+            left[r["y"]] -= r["n"]
+            keep.append((r["id"],))
+    return found.join(F.broadcast(spark.createDataFrame(keep, "id long")), "id")
+
+
+def mapped(found: DataFrame, fn: Callable[[str], bytes]) -> list[tuple[int, int, str | None, bytes]]:
+    """(id, label, lang, fn(text)) of a bounded sample, computed on the executors, in order of ids."""
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("lang", pa.string()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of(schema, id=b.column(0), y=b.column(1), data=[fn(t) for t in b.column(2).to_pylist()])
+            for at, texts in texts_in(b.column(3), step=100):
+                s = slice(at, at + len(texts))
+                yield batch_of(schema, id=b.column(0)[s], y=b.column(1)[s], lang=b.column(2)[s], data=[fn(t) for t in texts])
+
+    got = map_arrow(found.select("id", "y", "lang", "text"), run, "id long, y int, lang string, data binary").collect()
+    return sorted(((r["id"], r["y"], r["lang"], bytes(r["data"])) for r in got), key=lambda r: r[0])
+
 
-    few = spark.createDataFrame(ids, "id long, y int")  # as many rows as the sample's bound
-    rows = df.select(df[id_col].cast("long").alias("id"), text_of(df, text_col).alias("text")).join(F.broadcast(few), "id")
-    got = map_arrow(rows.select("id", "y", "text"), run, "id long, y int, data binary").collect()
-    return sorted((r["id"], r["y"], bytes(r["data"])) for r in got)
+def folds_of(y: np.ndarray, folds: int, seed: int = 9) -> np.ndarray:
+    """A fold for each row, either class spread evenly."""
+    out = np.zeros(len(y), int)
+    for k in (0, 1):
+        at = np.nonzero(y == k)[0]
+        out[np.random.default_rng(seed).permutation(at)] = np.arange(len(at)) % folds
+    return out
 
 
 class Logistic:

@@ -20,7 +20,7 @@ from lamina.llm.common import materialise, text_of
 CLAUSE = r"([.!?;,|]|[bfjnrvzBFJNRVZ] )"
 SHORT = 8
 #: Rows of a neighbourhood.
-ROWS = 500
+ROWS = 64
 _BLANK = "cd372fb85148700fa88095e3492d3f9f5beb43e555e5ff26d95f5a6adc36f8e6"  # node of a paragraph whose only clause is empty
 
 

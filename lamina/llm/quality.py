@@ -17,23 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import batch_of, map_arrow, text_of, texts_in
-from lamina.llm.learn import Logistic, held_out, labelled_ids, sampled
+from lamina.llm.learn import Logistic, held_out, labelled_texts, mapped
 
-#: Labelled rows of each class, at most: half of them build the dictionaries, half calibrate.
-SAMPLE = 3000
-PIECE, PIECES = 2048, 8
+#: Labelled rows of each class, at most, and the characters that they hold together; half of the rows build the dictionaries, half calibrate.
+SAMPLE, CHARS = 3000, 1 << 24
+PIECE = 2048
 DICTIONARY, LEVEL = 65536, 3
 
 
-def pieces_of(text: str) -> bytes:
-    """At most PIECES pieces of a text, spread over all of it, for building a dictionary."""
-    data = text.encode("utf-8", "surrogatepass")
-    n = -(-len(data) // PIECE)
-    if n > PIECES:
-        data = b"".join(data[int(i * (len(data) - PIECE) / (PIECES - 1)) :][:PIECE] for i in range(PIECES))
-    return data
-
-
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
     """A dictionary of the texts; with too few for the trainer, their plain content."""
     parts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
@@ -70,14 +61,15 @@ class QualityModel:
     curve: Logistic
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> QualityModel:
-    """Fit on at most ``sample`` labelled rows of each class, never on held-out rows. No labels: score 0.5."""
-    ids = [(r["id"], r["y"]) for r in labelled_ids(labels, label, sample, id_col).collect()]
-    rng = np.random.default_rng(5)
-    order = rng.permutation(len(ids))
-    build, fit = [ids[i] for i in order[::2]], [ids[i] for i in order[1::2]]
-    texts = sampled(docs, build, pieces_of, id_col, text_col)
-    good, bad = (build_dictionary([t for _, y, t in texts if y == k]) for k in (1, 0))
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", chars: int = CHARS) -> QualityModel:
+    """Fit on whole labelled texts, at most ``sample`` rows and ``chars`` characters of each class, never on held-out rows.
+
+    No labels: score 0.5.
+    """
+    found = labelled_texts(docs, labels, label, sample, chars, id_col, text_col)
+    half = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2))
+    texts = mapped(found.where(half == 0), lambda t: t.encode("utf-8", "surrogatepass"))
+    good, bad = (build_dictionary([t for _, y, _, t in texts if y == k]) for k in (1, 0))
     made: list[Sizes] = []
 
     def features(text: str) -> bytes:
@@ -85,10 +77,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
             made.append(Sizes(good, bad))
         return np.array(made[0](text)).tobytes()
 
-    made_rows = sampled(docs, fit, features, id_col, text_col)
-    x = np.array([np.frombuffer(f) for _, _, f in made_rows]).reshape(-1, 9)
-    curve = Logistic(x, np.array([y for _, y, _ in made_rows], float))
-    return QualityModel(good, bad, curve)
+    rows = mapped(found.where(half == 1), features)
+    x = np.array([np.frombuffer(f) for *_, f in rows]).reshape(-1, 9)
+    return QualityModel(good, bad, Logistic(x, np.array([r[1] for r in rows], float)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

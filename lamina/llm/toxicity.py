@@ -3,8 +3,9 @@
 Words are hashed, and hashes that several training rows share have a row of an embedding table; all others
 share the zero row. Filters of widths one to three slide over the words, each filter's largest response
 over the whole text is kept, and a logistic layer gives the score. Training is Adam with
-hand-written gradients on a bounded labelled sample. Scores are calibrated on other rows; for each language a
-threshold is set there, with a common one for the rest.
+hand-written gradients on a bounded labelled sample, some words left out at random in each step. Networks that have not seen a third of the
+rows score it; those scores fit the calibration curve and each language's threshold, with a common one for the
+rest, so no label is kept from the network that is used.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import batch_of, map_arrow, text_of, texts_in
-from lamina.llm.learn import Logistic, held_out, labelled_ids, sampled
+from lamina.llm.learn import Logistic, folds_of, held_out, labelled_texts, mapped
 
-#: Labelled rows of each class, at most; a quarter of them calibrates.
-SAMPLE = 3000
+#: Labelled rows of each class, at most, and the characters that they hold together.
+SAMPLE, CHARS = 3000, 1 << 24
 DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 #: Training rows that must hold a word before it has an embedding, and the most words that have one.
 SEEN, WORDS = 3, 1 << 16
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+STEPS, BATCH, RATE, FOLDS = 400, 64, 0.01, 3
+#: Share of words left out in a step, weight decay, and the embeddings' share of the rate and pull to their start (over the rows).
+DROP, DECAY, EMB_RATE, PRIOR = 0.2, 0.001, 0.5, 1.0
 #: Words whose responses are held at once when scoring.
 CHUNK = 1 << 16
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»“”‘’…–—"
@@ -67,18 +70,28 @@ class Rows(dict):
         return np.fromiter(map(self.__getitem__, text.lower().split()), np.int32)
 
 
-def vocabulary(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that at least SEEN rows share, and how much more often toxic rows have them (log odds)."""
-    flat = [np.unique(d) for d in docs]
-    pairs = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+def squeeze(rows: np.ndarray) -> np.ndarray:
+    """Without the words of longer stretches of unknown words that no window of known ones reaches: each response stays."""
+    zero = rows == 0
+    most = max(WIDTHS)
+    if len(rows) <= most:
+        return rows
+    keep = np.ones(len(rows), bool)
+    keep[most:] = ~np.logical_and.reduce([zero[most - i : len(rows) - i] for i in range(most + 1)])
+    return rows[keep]
+
+
+def evidence(docs: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """For each word (1 to n) the signed root of its likelihood ratio statistic: how surely toxic rows have it more often."""
+    flat = [np.unique(d[d > 0]) for d in docs]
+    rows = np.concatenate(flat) if flat else np.zeros(0, int)
     bad = np.concatenate([np.full(len(f), k) for f, k in zip(flat, y, strict=True)]) if flat else np.zeros(0)
-    known, index, count = np.unique(pairs, return_inverse=True, return_counts=True)
-    hits = np.bincount(index, weights=bad, minlength=len(known))
-    keep = np.nonzero(count >= SEEN)[0]
-    keep = np.sort(keep[np.argsort(-count[keep], kind="stable")][:WORDS])
-    a, b = hits[keep], (count - hits)[keep]
+    count, hits = np.bincount(rows, minlength=n + 1)[1:], np.bincount(rows, weights=bad, minlength=n + 1)[1:]
     na, nb = max(y.sum(), 1), max((1 - y).sum(), 1)
-    return known[keep], np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
+    p = np.clip(count / (na + nb), 1e-12, 1 - 1e-12)
+    term = lambda k, m, q: k * np.log(np.maximum(k, 1e-9) / (m * q))
+    g = term(hits, na, p) + term(na - hits, na, 1 - p) + term(count - hits, nb, p) + term(nb - count + hits, nb, 1 - p)
+    return np.sign(hits / na - (count - hits) / nb) * np.sqrt(np.maximum(2 * g, 0))
 
 
 def lay_out(pieces: list[np.ndarray], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +112,11 @@ class Net:
     out_bias: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
 
     @classmethod
-    def fresh(cls, odds: np.ndarray, seed: int = 3) -> Net:
-        """Random filters; the first embedding dimension starts as the words' log odds."""
+    def fresh(cls, found: np.ndarray, seed: int = 3) -> Net:
+        """Random filters; the first embedding dimension starts as the words' evidence beyond what chance gives."""
         rng = np.random.default_rng(seed)
-        emb = rng.normal(0, 0.1, (len(odds) + 1, DIM)).astype(np.float32)
-        emb[1:, 0] = np.clip(odds, -2, 4)
+        emb = rng.normal(0, 0.1, (len(found) + 1, DIM)).astype(np.float32)
+        emb[1:, 0] = np.clip(np.sign(found) * np.maximum(np.abs(found) - 2.5, 0), -3, 6) / 2
         emb[0] = 0
         filters = [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         return cls(emb, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.2, len(WIDTHS) * FILTERS).astype(np.float32))
@@ -162,15 +175,11 @@ class Net:
         gap = np.zeros(max(WIDTHS) + 1, np.int32)
         counts = [max(1, len(d)) for d in docs]
         flat, cuts = lay_out([np.concatenate([d, gap]) for d in docs], counts)
-        inside = np.concatenate([np.arange(a, a + n) for a, n in zip(cuts[::2], counts, strict=True)])
-        owner = np.repeat(np.arange(len(docs)), counts)
         at, feats = [], []
         for k in range(len(WIDTHS)):
             r = self.responses(flat, k)
-            best = np.maximum.reduceat(r, cuts, axis=0)[::2]
-            spots = np.empty(best.shape, np.int64)  # docs x filters: where the largest response is, first of ties
-            spot, which = np.nonzero(r[inside] == best[owner])
-            spots[owner[spot[::-1]], which[::-1]] = inside[spot[::-1]]
+            # docs x filters: where the largest response is, first of ties
+            spots = np.stack([a + r[a:b].argmax(axis=0) for a, b in cuts.reshape(-1, 2)])
             at.append(spots)
             feats.append(np.maximum(r[spots, np.arange(FILTERS)] + self.bias[k], 0))
         h = np.hstack(feats)
@@ -192,27 +201,31 @@ class Net:
         return [d_emb, *d_filters, *d_bias, h.T @ g, np.array([g.sum()], np.float32)]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, odds: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Net:
-    net = Net.fresh(odds, seed)
+def fit(docs: list[np.ndarray], y: np.ndarray, found: np.ndarray, steps: int = STEPS, seed: int = 3) -> Net:
+    net = Net.fresh(found, seed)
     if not len(docs):
         net.out[:] = 0
         return net
     rng = np.random.default_rng(seed)
-    params = net.params()
+    params, start = net.params(), net.emb.copy()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     # both classes weigh alike
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
-    step = 0
-    for epoch in range(epochs):
-        rate = RATE * (0.5 if epoch > 0.6 * epochs else 1)
-        order = rng.permutation(len(docs))
-        for a in range(0, len(order), BATCH):
-            some = order[a : a + BATCH]
-            step += 1
-            for p, g, mm, vv in zip(params, net.gradients([docs[i] for i in some], y[some], weight[some]), m, v, strict=True):
-                mm += 0.1 * (g - mm)
-                vv += 0.01 * (g * g - vv)
-                p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-7)
+    order = np.zeros(0, int)
+    for step in range(1, steps + 1):
+        while len(order) < BATCH:
+            order = np.append(order, rng.permutation(len(docs)))
+        some, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (0.5 if step > 0.6 * steps else 1)
+        seen = [np.where(rng.random(len(docs[i])) < DROP, 0, docs[i]) for i in some]
+        rows = np.unique(np.concatenate(seen))  # only embeddings of words in the step move
+        for j, (p, g, mm, vv) in enumerate(zip(params, net.gradients(seen, y[some], weight[some]), m, v, strict=True)):
+            at = slice(None) if j else rows
+            g = g[at] + (DECAY * p if j else PRIOR / len(docs) * (p[at] - start[at]))
+            mm[at] += 0.1 * (g - mm[at])
+            vv[at] += 0.01 * (g * g - vv[at])
+            p[at] -= (rate if j else rate * EMB_RATE) * (mm[at] / (1 - 0.9**step)) / (np.sqrt(vv[at] / (1 - 0.99**step)) + 1e-7)
+        net.emb[0] = 0
     return net
 
 
@@ -237,29 +250,42 @@ def threshold(scores: np.ndarray, y: np.ndarray, default: float) -> float:
     return float(np.median(cuts[f1 == f1.max()]))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", lang_col: str | None = "lang", default: float = 0.7) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows of each class, never on held-out rows. No labels: score 0.5.
+def learn(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], known: np.ndarray, default: float = 0.7) -> ToxicityModel:
+    """The model of known word hashes, from rows of word places and their labels; languages only choose thresholds."""
+    fold, logits = folds_of(y, FOLDS), np.zeros(len(y))
+    make = lambda at: fit([rows[i] for i in at], y[at], evidence([rows[i] for i in at], y[at], len(known)))
+    for k in range(FOLDS):
+        own = np.nonzero(fold == k)[0]
+        if len(own):
+            logits[own] = make(np.nonzero(fold != k)[0]).logits([rows[i] for i in own])
+    curve = Logistic(logits[:, None], y.astype(float), ridge=1e-3)
+    scores = curve(logits[:, None])
+    common = threshold(scores, y, default)
+    of = np.array([x or "" for x in langs])
+    own = {str(k): threshold(scores[of == k], y[of == k], common) for k in np.unique(of) if k}
+    return ToxicityModel(known, make(np.arange(len(y))), curve, own, common)
+
 
-    The language only chooses a threshold, which is set on calibration rows; it is no input of a score.
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", lang_col: str | None = "lang", default: float = 0.7, chars: int = CHARS) -> ToxicityModel:
+    """Fit on at most ``sample`` labelled rows and ``chars`` characters of each class, never on held-out rows. No labels: score 0.5.
+
+    Words are counted on the executors, and only the places of known words reach the driver. The language only chooses a
+    threshold; it is no input of a score.
     """
-    ids = [(r["id"], r["y"]) for r in labelled_ids(labels, label, sample, id_col).collect()]
-    found = sampled(docs, ids, lambda t: hashes_of(t).tobytes(), id_col, text_col)
-    hashed, y = [np.frombuffer(d, np.uint32) for _, _, d in found], np.array([y for _, y, _ in found])
-    order = np.random.default_rng(9).permutation(len(hashed))
-    cut = len(order) - len(order) // 4
-    train, tune = order[:cut], order[cut:]
-    known, odds = vocabulary([hashed[i] for i in train], y[train])
-    rows = [index_of(h, known) for h in hashed]
-    net = fit([rows[i] for i in train], y[train], odds)
-    curve = Logistic(net.logits([rows[i] for i in tune])[:, None], y[tune].astype(float), ridge=1e-3)
-    scores = curve(net.logits([rows[i] for i in tune])[:, None])
-    common, own = threshold(scores, y[tune], default), {}
-    if lang_col and lang_col in docs.columns and len(tune):
-        few = docs.sparkSession.createDataFrame([(int(found[i][0]),) for i in tune], "id long")
-        langs = {r["id"]: r["lang"] for r in docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang")).join(F.broadcast(few), "id").collect()}
-        of = np.array([langs.get(found[i][0]) or "" for i in tune])
-        own = {str(k): threshold(scores[of == k], y[tune][of == k], common) for k in np.unique(of) if k}
-    return ToxicityModel(known, net, curve, own, common)
+    found = labelled_texts(docs, labels, label, sample, chars, id_col, text_col, lang_col)
+    schema = pa.schema([("hash", pa.int64())])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in texts_in(b.column(0), step=100):
+                for t in texts:
+                    yield batch_of(schema, hash=np.unique(hashes_of(t)).astype(np.int64))
+
+    counts = map_arrow(found.select("text"), words, "hash long").groupBy("hash").count().where(F.col("count") >= SEEN)
+    top = counts.orderBy(F.col("count").desc(), "hash").limit(WORDS).collect()
+    known = np.sort(np.array([r["hash"] for r in top], np.uint32))
+    rows = mapped(found, lambda t: squeeze(index_of(hashes_of(t), known)).tobytes())
+    return learn([np.frombuffer(r[3], np.int32) for r in rows], np.array([r[1] for r in rows], int), [r[2] for r in rows], known, default)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
