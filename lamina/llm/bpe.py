@@ -15,15 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, materialise, text_of
+from lamina.llm.common import batch_of, map_arrow, text_of
 from lamina.llm.wordbpe import LEAF, WordEncoder, encoder
 
 #: A text of more characters is cut in halves; at least twice LEAF, so that a part without white space lies in a long run.
-PART = 2 * LEAF
+PART = 4 * LEAF
 _SPACE = " \t\n\x0b\x0c\r"
 _LONG_RUN = re.compile(rf"[^{_SPACE}]{{{LEAF},}}")
 
@@ -37,14 +38,15 @@ def _strings(names: list[str]):
     return form
 
 
-def _encoder(path: str, kind: str) -> WordEncoder:
-    if kind == "ids":
-        return encoder(path, kind, tuple)
+def _names(path: str) -> list[str]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-    return encoder(path, kind, _strings(names))
+    return [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+
+
+def _encoder(path: str, kind: str) -> WordEncoder:
+    return encoder(path, kind, tuple if kind == "ids" else _strings(_names(path)))
 
 
 def _cached(path: str, kind: str) -> WordEncoder:
@@ -71,16 +73,8 @@ class Ids:
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
 
-    def add(self, formed: list) -> None:
-        self.take(*self.pack(formed))
-
-    def take(self, n: int, ids: bytes, decoded: bytes) -> None:
-        self.parts.append(np.frombuffer(ids, np.int32))
-
-    @staticmethod
-    def pack(formed: list) -> tuple[int, bytes, bytes]:
-        ids = np.array([i for part in formed for i in part], np.int32)
-        return len(ids), ids.tobytes(), b""
+    def add(self, ids: np.ndarray) -> None:
+        self.parts.append(ids)
 
     def result(self) -> tuple:
         return (np.concatenate(self.parts).tolist() if self.parts else [],)
@@ -89,28 +83,36 @@ class Ids:
 class Digest:
     """Hashes the decimal ids and the decoded text of a whole text, part by part."""
 
-    def __init__(self) -> None:
-        self.n, self.ids, self.decoded = 0, hashlib.sha256(), hashlib.sha256()
+    def __init__(self, form) -> None:
+        self.form, self.n, self.ids, self.decoded = form, 0, hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formed: list) -> None:
-        self.take(*self.pack(formed))
+    def add(self, ids: np.ndarray) -> None:
+        if len(ids):
+            self.take([self.form(ids.tolist())])
 
-    def take(self, n: int, ids: bytes, decoded: bytes) -> None:
-        if n:
-            gap = b" " if self.n else b""
-            self.ids.update(gap + ids)
-            self.decoded.update(gap + decoded)
-            self.n += n
-
-    @staticmethod
-    def pack(formed: list) -> tuple[int, bytes, bytes]:
+    def take(self, formed: list) -> None:
         formed = [p for p in formed if p[0]]
-        return sum([p[0] for p in formed]), _bytes(" ".join([p[1] for p in formed])), _bytes(" ".join([p[2] for p in formed]))
+        if formed:
+            gap = " " if self.n else ""
+            self.ids.update(_bytes(gap + " ".join([p[1] for p in formed])))
+            self.decoded.update(_bytes(gap + " ".join([p[2] for p in formed])))
+            self.n += sum([p[0] for p in formed])
 
     def result(self) -> tuple:
         return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
 
 
+def to_binary(ids: list[int] | np.ndarray) -> bytes:
+    """Ids in two bytes each, where they fit, else in four; the first byte tells."""
+    ids = np.asarray(ids, np.int64)
+    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+    return kind[2].encode() + ids.astype(kind).tobytes()
+
+
+def from_binary(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int32)
+
+
 _OUT = {
     True: ("n_tokens long, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
     False: ("ids array<int>", [("ids", pa.list_(pa.int32()))]),
@@ -118,6 +120,9 @@ _OUT = {
 #: A part: a stretch of text (word null), or a leaf of the letters of a long word (``last`` ends the word), or a special token's id.
 _PART = [("key", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("word", pa.int64()), ("last", pa.bool_()), ("special", pa.int32())]
 _PART_SQL = "key long, seq long, text string, word long, last boolean, special int"
+#: An encoded part: ids, and for a stretch what comes before its first white space and after its last.
+_DONE = [("key", pa.int64()), ("seq", pa.int64()), ("head", pa.string()), ("tail", pa.string()), ("coded", pa.binary()), ("word", pa.int64()), ("last", pa.bool_())]
+_DONE_SQL = "key long, seq long, head string, tail string, coded binary, word long, last boolean"
 
 
 def parts_of(enc: WordEncoder, text: str) -> Iterator[tuple]:
@@ -145,39 +150,49 @@ def parts_of(enc: WordEncoder, text: str) -> Iterator[tuple]:
                 done = special.end()
 
 
+def _rows(schema: pa.Schema, ids: pa.Array, where: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    return batch_of(schema, id=ids.take(pa.array(where)), **dict(zip(schema.names[1:], zip(*rows, strict=True), strict=True)))
+
+
 def _cut(path: str, digest: bool):
-    """Short texts are encoded at once (seq null); long ones give their parts."""
-    names = [*_PART, *_OUT[digest][1]]
-    gather = Digest if digest else Ids
+    """Texts are numbered; a short one is encoded at once (seq null) and a long one gives its parts."""
+    out = _OUT[digest][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _cached(path, "strings" if digest else "ids")
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.field(0).type), *names])
+            ids = batch.column(0)
+            schema = pa.schema([("id", ids.type), *_PART, *out])
             for at in range(0, batch.num_rows, 256):
                 where, rows = [], []
                 for i, text in enumerate(batch.column(1).slice(at, 256).to_pylist(), at):
+                    key += 1
                     if len(text) <= PART:
-                        got = gather()
-                        got.add(enc.parts(text))
                         where.append(i)
-                        rows.append((None, None, None, None, None, None, *got.result()))
+                        rows.append((key, None, None, None, None, None, *_short(enc, text, digest)))
                         continue
-                    key += 1
                     for seq, part in enumerate(parts_of(enc, text)):
                         where.append(i)
-                        rows.append((key, seq, *part, *[None] * (len(names) - len(_PART))))
-                        if len(rows) >= 1024:
-                            yield batch_of(schema, id=batch.column(0).take(pa.array(where)), **{n: c for (n, _), c in zip(names, zip(*rows, strict=True), strict=True)})
+                        rows.append((key, seq, *part, *[None] * len(out)))
+                        if len(rows) >= 256:
+                            yield _rows(schema, ids, where, rows)
                             where, rows = [], []
                 if rows:
-                    yield batch_of(schema, id=batch.column(0).take(pa.array(where)), **{n: c for (n, _), c in zip(names, zip(*rows, strict=True), strict=True)})
+                    yield _rows(schema, ids, where, rows)
 
     return run
 
 
+def _short(enc: WordEncoder, text: str, digest: bool) -> tuple:
+    if digest:
+        got = Digest(enc.form)
+        got.take(enc.parts(text))
+        return got.result()
+    return ([i for p in enc.parts(text) for i in p],)
+
+
 def split_part(text: str) -> tuple[str, str | None, str | None]:
     """(before the first white space, between, after the last one); the last two are None where there is none."""
     a = next((m.start() for m in re.finditer(f"[{_SPACE}]", text)), None)
@@ -187,73 +202,77 @@ def split_part(text: str) -> tuple[str, str | None, str | None]:
     return text[:a], text[a : b + 1], text[b + 1 :]
 
 
-_DONE = [("key", pa.int64()), ("seq", pa.int64()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("word", pa.int64()), ("last", pa.bool_())]
-_DONE_SQL = "key long, seq long, head string, tail string, n long, a binary, b binary, word long, last boolean"
-
-
 def _leaves(path: str, digest: bool):
     """Encode each part: a stretch but for its outermost pieces of words, a leaf as letters of an unfinished word."""
-    gather = Digest if digest else Ids
+    out = _OUT[digest][1]
+
+    def encode(enc: WordEncoder, seq, text, word, last, special) -> tuple:
+        if seq is None:
+            return None, None, None
+        if special is not None:
+            return None, None, to_binary([special])
+        if word is not None:
+            return None, None, to_binary(enc.bpe.tree(text, last))
+        head, middle, tail = split_part(text)
+        return head, tail, to_binary([i for p in enc.parts(middle or "") for i in p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _cached(path, "strings" if digest else "ids")
+        enc = _cached(path, "ids")
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.field(0).type), *_DONE])
+            schema = pa.schema([("id", batch.schema.field(0).type), *_DONE, *out])
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                rows = []
-                for key, seq, text, word, last, special in zip(*(c.to_pylist() for c in some.columns[1:]), strict=True):
-                    if special is not None:
-                        rows.append((key, seq, None, None, 1, np.array([special], np.int32).tobytes(), None, word, last))
-                    elif word is not None:
-                        ids = enc.bpe.tree(text, last)
-                        rows.append((key, seq, None, None, len(ids), np.array(ids, np.int32).tobytes(), None, word, last))
-                    else:
-                        head, middle, tail = split_part(text)
-                        rows.append((key, seq, head, tail, *gather.pack(enc.parts(middle or "")), None, None))
-                yield batch_of(schema, id=some.column(0), **{n: c for (n, _), c in zip(_DONE, zip(*rows, strict=True), strict=True)})
+                key, seq, text, word, last, special = some.columns[1:7]
+                made = [encode(enc, *row) for row in zip(*(c.to_pylist() for c in (seq, text, word, last, special)), strict=True)]
+                head, tail, coded = (list(c) for c in zip(*made, strict=True))
+                yield batch_of(schema, id=some.column(0), key=key, seq=seq, head=head, tail=tail, coded=coded, word=word, last=last, **{n: c for (n, _), c in zip(out, some.columns[7:], strict=True)})
 
     return run
 
 
 def _joins(path: str, digest: bool):
     """Join the parts of each text, which come in order; one text's open word and one part are held at a time."""
-    gather = Digest if digest else Ids
+    out = _OUT[digest][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _cached(path, "strings" if digest else "ids")
-        now, got, window, leaves, owner = None, gather(), "", [], None
+        enc = _cached(path, "ids")
+        form = _strings(_names(path)) if digest else None
+        now, got, window, leaves, owner = None, None, "", [], None
 
         def close_window() -> None:
             nonlocal window
             if window:
-                got.add(enc.parts(window))
+                got.add(np.array([i for p in enc.parts(window) for i in p], np.int32))
             window = ""
 
+        def finish() -> pa.RecordBatch:
+            close_window()
+            return batch_of(pa.schema([("id", owner.type), *out]), id=owner, **{n: [v] for (n, _), v in zip(out, got.result(), strict=True)})
+
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.field(0).type), *_OUT[digest][1]])
-            finish = lambda: batch_of(schema, id=owner, **{n: [v] for (n, _), v in zip(_OUT[digest][1], got.result(), strict=True)})
-            for i in range(batch.num_rows):
-                key, seq, head, tail, n, a, b, word, last = (batch.column(c)[i].as_py() for c in range(1, 10))
+            schema = pa.schema([("id", batch.schema.field(0).type), *out])
+            short = batch.filter(pc.is_null(batch.column(2)))
+            if short.num_rows:
+                yield batch_of(schema, id=short.column(0), **{n: c for (n, _), c in zip(out, short.columns[8:], strict=True)})
+            for i in np.nonzero(pc.is_valid(batch.column(2)).to_numpy(zero_copy_only=False))[0].tolist():
+                key, _, head, tail, coded, word, last = (batch.column(c)[i].as_py() for c in range(1, 8))
                 if key != now:
                     if now is not None:
-                        close_window()
                         yield finish()
-                    now, got, leaves, owner = key, gather(), [], batch.column(0).slice(i, 1)
+                    now, got, leaves, owner = key, Digest(form) if digest else Ids(), [], batch.column(0).slice(i, 1)
                 if word is None:
                     window += head
                     if tail is not None:
                         close_window()
-                        got.take(n, a, b)
+                        got.add(from_binary(coded))
                         window = tail
                     continue
                 close_window()
-                leaves.append(np.frombuffer(a, np.int32).tolist())
+                leaves.append(from_binary(coded).tolist())
                 if last:
-                    got.add([enc.form(enc.bpe.join_all(leaves))])
+                    got.add(np.array(enc.bpe.join_all(leaves), np.int32))
                     leaves = []
         if now is not None:
-            close_window()
             yield finish()
 
     return run
@@ -268,14 +287,12 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     other columns play no part. No rows: no rows. The input is read once.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    out, names = _OUT[digest][0], [n for n, _ in _OUT[digest][1]]
+    out = _OUT[digest][0]
     rows = df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("text"))
-    cut = materialise(map_arrow(rows, _cut(path, digest), f"id {kind}, {_PART_SQL}, {out}"), "parts")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut.where("seq is not null").select("id", *[n for n, _ in _PART]).repartition(n, "key", "seq")
-    done = map_arrow(parts, _leaves(path, digest), f"id {kind}, {_DONE_SQL}").repartition(n, "key").sortWithinPartitions("key", "seq")
-    joined = map_arrow(done, _joins(path, digest), f"id {kind}, {out}")
-    return cut.where("seq is null").select("id", *names).unionByName(joined)
+    cut = map_arrow(rows, _cut(path, digest), f"id {kind}, {_PART_SQL}, {out}").repartition(n, "key", "seq")
+    done = map_arrow(cut, _leaves(path, digest), f"id {kind}, {_DONE_SQL}, {out}").repartition(n, "key").sortWithinPartitions("key", "seq")
+    return map_arrow(done, _joins(path, digest), f"id {kind}, {out}")
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
