@@ -133,5 +133,15 @@ SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e.t) AS edited_sha256, a.f
 FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN a c ON c.doc_id = e.nid
 """
 
+_REPEATS = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM d),
+k AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS words, n FROM u),
+x AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY words) AS first FROM k WHERE pos <= n - 12),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM x, range(13) r(j) WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 #: DuckDB SQL over the same tables, where SQL can express the result.
-ORACLE_SQL: dict[str, str] = {"op1_nearest": _COSINE, "op5_merkle": _MERKLE}
+ORACLE_SQL: dict[str, str] = {"op1_nearest": _COSINE, "op5_merkle": _MERKLE, "op6_substring_dedup": _REPEATS}

@@ -6,7 +6,7 @@ pair. A name is a hash of what it stands for, so it is the same in every documen
 except near their ends. For each symbol the rounds also keep the stretch of words that decided it; a
 symbol whose stretch lies in a window stands in every copy of that window. A window that holds no such symbol
 is its own symbol. So a window can only be repeated if all its symbols are shared by two documents,
-and only those windows are looked up themselves.
+and only those windows are looked up themselves, by 128 bits made of two independent hashes of each of their words.
 
 Documents travel in packed batches, written once. Keys go to the task that owns them as sorted arrays,
 one for each batch, and a bit for each key comes back: a key is sent once for each batch however many documents
@@ -15,7 +15,6 @@ hold it, so no group of copies gathers in a task.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import batch_of, map_arrow, materialise, mix64, text_of, word_lists
@@ -177,31 +176,50 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
+class _Others(_Hashes):
+    """A second hash of words, by another function."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 0x5EED)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hashes, _others = _Hashes(), _Others()
 
 
-def hash_words(text: bytes) -> np.ndarray:
-    parts = [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
+def hash_words(text: bytes, hashes: _Hashes = _hashes) -> np.ndarray:
+    parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
     """The task that owns a key; from other bits of its hash than those that sort it."""
-    return (mix64(keys ^ _B) % np.uint64(owners)).astype(np.int64)
+    return (mix64(keys[:, 0] ^ _B) % np.uint64(owners)).astype(np.int64)
+
+
+def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys (rows of 64-bit words), and where in that order a new one begins."""
+    order = np.lexsort(keys.T[::-1])
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]).any(axis=1)
+    return order, new
 
 
 def distinct_keys(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, each with its least and largest document, and each row's place among them."""
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], docs[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    order, new = sorted_keys(keys)
+    d = docs[order]
     at = np.nonzero(new)[0]
-    place = np.empty(len(k), np.int64)
+    place = np.empty(len(d), np.int64)
     place[order] = np.cumsum(new) - 1
     low = np.minimum.reduceat(d, at) if len(at) else d[:0]
     high = np.maximum.reduceat(d, at) if len(at) else d[:0]
-    return k[at], low, high, place
+    return keys[order[at]], low, high, place
 
 
 _SENT = pa.schema([("owner", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("least", pa.binary())])
@@ -232,16 +250,13 @@ def received(keys: np.ndarray, owners: int, bits: dict[int, bytes]) -> np.ndarra
     return out
 
 
-def _answer(smaller: bool):
+def _answer(smaller: bool, width: int):
     """For each sent key: whether another batch has a smaller document (or, else, has the key at all)."""
 
     def solve(owner: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        sizes = [len(k) // 8 for _, k, _ in rows]
-        keys = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
+        sizes = [len(k) // (8 * width) for _, k, _ in rows]
+        k = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64).reshape(-1, width)
+        order, new = sorted_keys(k)
         at = np.nonzero(new)[0]
         n = np.diff(np.append(at, len(k)))
         yes = np.empty(len(k), bool)
@@ -269,22 +284,16 @@ def _answer(smaller: bool):
     return run
 
 
-def exchange(sent: DataFrame, smaller: bool) -> DataFrame:
-    """(batch, owners, bits) for each batch: one bit for each key that it sent."""
+def exchange(sent: DataFrame, smaller: bool, width: int) -> DataFrame:
+    """(batch, owners, bits) for each batch: one bit for each key, of ``width`` 64-bit words, that it sent."""
     spark = sent.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sent.repartition(parts, "owner").sortWithinPartitions("owner")
-    bits = map_arrow(dealt, _answer(smaller), "owner long, batch long, bits binary")
+    bits = map_arrow(dealt, _answer(smaller, width), "owner long, batch long, bits binary")
     # a batch has at most one row for each owner, and not more than its keys
     return bits.groupBy("batch").agg(F.collect_list(F.struct("owner", "bits")).alias("got"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of stages whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _PACKED = pa.schema([("batch", pa.int64()), ("bytes", pa.int64()), ("ids", pa.binary()), ("sums", pa.binary()), ("texts", pa.binary()), ("rest", pa.binary())])
 #: Stands for no id: such documents neither lose words nor are a source.
 _NONE = np.iinfo(np.int64).max
@@ -336,9 +345,8 @@ def load(ids: np.ndarray, texts: list[bytes], skip: np.ndarray) -> Batch:
 
 
 def sum_keys(sums: bytes) -> np.ndarray:
-    """A 64-bit key of each text's 128-bit sum."""
-    two = np.frombuffer(sums, np.uint64).reshape(-1, 2)
-    return pair_name(two[:, 0], two[:, 1])
+    """The 128 bits of each text's sum as a key."""
+    return np.frombuffer(sums, np.uint64).reshape(-1, 2)
 
 
 def _bits(got) -> dict[int, bytes]:
@@ -371,7 +379,7 @@ def _send_seeds(owners: int):
             for batch, ids, sums, texts, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 i = np.frombuffer(ids, np.int64)
                 got = load(i, texts_of(texts, len(i)), copies(i, sums, owners, copy))
-                yield from send(batch, np.unique(got.seeds()[0]), None, owners)
+                yield from send(batch, np.unique(got.seeds()[0])[:, None], None, owners)
 
     return run
 
@@ -379,16 +387,22 @@ def _send_seeds(owners: int):
 def _seed_places(got: Batch, owners: int, seed):
     """The batch's seeds and whether two documents share each."""
     seeds = got.seeds()
-    keys, low, high, place = distinct_keys(seeds[0], got.doc_of(seeds[1]))
+    keys, low, high, place = distinct_keys(seeds[0][:, None], got.doc_of(seeds[1]))
     return seeds, (received(keys, owners, _bits(seed)) | (low < high))[place]
 
 
-def _windows(got: Batch, owners: int, seed):
-    """Candidate windows of the batch: starts, then distinct keys, least documents and places."""
+def _windows(got: Batch, texts: list[bytes], owners: int, seed):
+    """Candidate windows of the batch: starts, then distinct 128-bit keys, least documents and places."""
     (_, _, windows, of), shared = _seed_places(got, owners, seed)
     starts = windows[shared[of]]
-    docs = got.ids[got.doc_of(starts)]
-    return starts, docs, *distinct_keys(window_hashes(got.words)[starts], docs)
+    place = got.doc_of(starts)
+    docs = got.ids[place]
+    # the second hash is made for documents with candidates only
+    other = np.zeros_like(got.words)
+    for i in np.unique(place):
+        other[got.starts[i] : got.ends[i]] = hash_words(texts[got.index[i]], _others)
+    keys = np.stack([window_hashes(got.words)[starts], window_hashes(other)[starts]], axis=1) if len(starts) else np.zeros((0, 2), np.uint64)
+    return starts, docs, *distinct_keys(keys, docs)
 
 
 def _send_windows(owners: int):
@@ -396,8 +410,9 @@ def _send_windows(owners: int):
         for b in batches:
             for batch, ids, sums, texts, copy, seed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 i = np.frombuffer(ids, np.int64)
-                got = load(i, texts_of(texts, len(i)), copies(i, sums, owners, copy))
-                _, _, keys, low, _, _ = _windows(got, owners, seed)
+                docs = texts_of(texts, len(i))
+                got = load(i, docs, copies(i, sums, owners, copy))
+                _, _, keys, low, _, _ = _windows(got, docs, owners, seed)
                 yield from send(batch, keys, low, owners)
 
     return run
@@ -411,7 +426,7 @@ def _finish(owners: int, digest: bool):
                 docs = texts_of(texts, len(i))
                 copied = copies(i, sums, owners, copy)
                 got = load(i, docs, copied)
-                starts, of, keys, low, _, place = _windows(got, owners, seed)
+                starts, of, keys, low, _, place = _windows(got, docs, owners, seed)
                 hit = starts[received(keys, owners, _bits(window))[place] | (low[place] < of)]
                 cover = np.zeros(len(got.words) + 1, np.int32)
                 np.add.at(cover, hit, 1)
@@ -451,7 +466,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Windows are judged on the input. Null and blank texts have no words. Documents without an id lose
     nothing and are no source. Rows with one id are no source for each other.
     """
-    spark = df.sparkSession
     keep = [id_col] if keep is None else keep
     rows = df.select(df[id_col].cast("long").alias("id"), text_of(df, text_col).alias("text"), F.struct(*[df[c] for c in keep]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -461,16 +475,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = int(max(64, total >> 23))
     wire, back = "owner long, batch long, keys binary, least binary", "got"
 
-    def ask(sent: DataFrame, name: str, smaller: bool) -> DataFrame:
-        answers = materialise(exchange(sent, smaller).select("batch", F.col(back).alias(name)), name)
-        release(spark)
-        return answers
+    def ask(sent: DataFrame, name: str, smaller: bool, width: int) -> DataFrame:
+        return materialise(exchange(sent, smaller, width).select("batch", F.col(back).alias(name)), name)
 
-    copy = ask(map_arrow(packed.select("batch", "ids", "sums"), _send_sums(owners), wire), "copy", True)
+    copy = ask(map_arrow(packed.select("batch", "ids", "sums"), _send_sums(owners), wire), "copy", True, 2)
     with_copy = packed.join(copy, "batch", "left")
-    seed = ask(map_arrow(with_copy.select("batch", "ids", "sums", "texts", "copy"), _send_seeds(owners), wire), "seed", False)
+    seed = ask(map_arrow(with_copy.select("batch", "ids", "sums", "texts", "copy"), _send_seeds(owners), wire), "seed", False, 1)
     with_seed = with_copy.join(seed, "batch", "left")
-    window = ask(map_arrow(with_seed.select("batch", "ids", "sums", "texts", "copy", "seed"), _send_windows(owners), wire), "window", True)
+    window = ask(map_arrow(with_seed.select("batch", "ids", "sums", "texts", "copy", "seed"), _send_windows(owners), wire), "window", True, 2)
     every = with_seed.join(window, "batch", "left").select("ids", "sums", "texts", "rest", "copy", "seed", "window")
     done = map_arrow(every, _finish(owners, digest), f"row {kind}, n_words long, n_removed long, kept string")
     return done.select(*[F.col("row").getField(c).alias(c) for c in keep], "n_words", "n_removed", "kept")

@@ -300,13 +300,23 @@ def links(fps: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
     return map_arrow(dealt, _forest(radius), "u string, v string")
 
 
-def _with_least(edges: DataFrame, least: DataFrame, salt: int) -> DataFrame:
-    """Edges (u, v) with m of ``least`` (u, m). A hub's edges are dealt over ``salt`` copies of its one row."""
-    copies = least.withColumn("s", F.explode(F.array([F.lit(i) for i in range(salt)])))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)).cast("int")).join(copies, ["u", "s"]).drop("s")
+def join_hot(rows: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``one``, which has one row for each ``key``. The rows of a frequent key are dealt by ``by`` over as
+    many copies of its one row as its count asks for. ``counts`` has the keys' counts, if they are known.
+
+    A key is frequent with a quarter of what a task should have, so there are at most four for each task.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(key).count() if counts is None else counts
+    room = max(500, (counts.agg(F.sum("count")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    often = counts.where(F.col("count") > room).select(key, F.ceil(F.col("count") / room).cast("int").alias("_n"))
+    salted = lambda df: df.join(F.broadcast(often), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    left = salted(rows).withColumn("_s", F.pmod(F.xxhash64(by), F.col("_n").cast("long")).cast("int")).drop("_n")
+    right = salted(one).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left.join(right, [key, "_s"]).drop("_s")
 
 
-def components(edges: DataFrame, limit: int = 60, salt: int = 8) -> DataFrame:
+def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v); root is the least node reachable.
 
     Large-star and small-star rounds; each round is a written table. Ends when a round changes nothing.
@@ -316,10 +326,10 @@ def components(edges: DataFrame, limit: int = 60, salt: int = 8) -> DataFrame:
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both, least, salt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = join_hot(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "low")
         mins = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(low, mins, salt).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = join_hot(low, mins, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = materialise(small.where("u <> v").distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
@@ -343,7 +353,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return map_arrow(df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("text")), run, f"id {kind}, fp string")
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42, radius: int = 4, exact: bool = True, salt: int = 8) -> DataFrame:
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42, radius: int = 4, exact: bool = True) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the least id reachable over links.
 
     Texts are lower-cased (A-Z), words are runs other than space and tab to carriage return. Fewer
@@ -358,11 +368,10 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tables = plan_tables(distinct, 64 * words, radius) if exact else sample_tables(distinct, 64 * words, radius)
     labels = components(links(firsts, tables, radius))
     joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = materialise(joined, "roots")
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(joined.join(heads, "root").select("fp", "component_id"), "named")
-    # one fingerprint can hold a third of the rows: its rows are dealt over ``salt`` copies of its name
-    salts = named.withColumn("s", F.explode(F.array([F.lit(i) for i in range(salt)])))
-    return rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int")).join(salts, ["fp", "s"]).select("id", "fp", "component_id")
+    named = materialise(join_hot(joined, heads, "root", "fp").select("fp", "component_id"), "named")
+    return join_hot(rows, named, "fp", "id").select("id", "fp", "component_id")
 
 
 def shingle_set(text: str, k: int, seed: int) -> np.ndarray:
@@ -423,7 +432,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) of names whose sets are alike."""
-    joined = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("left")), "u")
+    pairs = materialise(pairs, "pairs")
+    joined = join_hot(pairs, sets.select(F.col("name").alias("u"), F.col("shingles").alias("left")), "u", "v")
     joined = joined.join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("right")), "v")
     return map_arrow(joined.select("u", "v", "left", "right"), _verify, "u string, v string")
 
@@ -437,9 +447,10 @@ def _rooted(places: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leader_pairs(places: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """(u, v): for each name the leader, of another component, that most of its buckets have; ``turn`` changes the leaders."""
-    rows = _rooted(places, labels)
+    rows = places if labels is None else materialise(_rooted(places, labels), "rooted")
+    rows = _rooted(rows, None) if labels is None else rows
     leaders = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("u"), F.col("root").alias("top"))).alias("l")).select("bucket", "l.u", "l.top")
-    often = rows.join(leaders, "bucket").where("root <> top").groupBy(F.col("name").alias("v"), "u").count()
+    often = join_hot(rows, leaders, "bucket", "name").where("root <> top").groupBy(F.col("name").alias("v"), "u").count()
     return often.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
 
 
@@ -488,9 +499,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest_links(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) of alike names that share a bucket of ``places`` (bucket, name) and lie in different components."""
-    rows = _rooted(places, labels)
+    rows = materialise(_rooted(places, labels), "rooted")
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
-    rows = rows.join(mixed.select("bucket", F.ceil(F.col("c") / SET_BLOCK).cast("int").alias("s")), "bucket")
+    rows = join_hot(rows, mixed.select("bucket", F.ceil(F.col("c") / SET_BLOCK).cast("int").alias("s")), "bucket", "name")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("name"), F.col("s")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     # block pairs as in ``links``
     pair = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
@@ -509,8 +520,8 @@ def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> D
     rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, bands array<long>"), "sketches")
     firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "distinct")
     spread = firsts.select("name", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "name")
-    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    places = materialise(spread.join(shared, "bucket"), "places")
+    shared = materialise(spread.groupBy("bucket").count().where("count > 1"), "buckets")
+    places = materialise(join_hot(spread, shared.select("bucket"), "bucket", "name", shared), "places")
     wanted = places.select("name").distinct().join(firsts, "name").select("name", F.col("first").alias("key"))
     texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
     sets = materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
@@ -519,10 +530,10 @@ def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> D
         near = near.unionByName(materialise(_alike_pairs(_leader_pairs(places, components(near), i), sets), "near"))
     more = materialise(_rest_links(places, components(near), sets), "more")
     labels = components(near.unionByName(more))
-    joined = firsts.select("name", "first").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    joined = materialise(_rooted(firsts.select("name", "first"), labels), "roots")
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     copies = rows.groupBy("id").count()
-    return joined.join(heads, "root").select(F.col("first").alias("id"), "name", "component_id").join(copies, "id")
+    return join_hot(joined, heads, "root", "name").select(F.col("first").alias("id"), "name", "component_id").join(copies, "id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -530,7 +541,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts are linked exactly if their sets of five-word shingles have a Jaccard likeness of 0.8 or more; a
     pair at 0.8 is proposed with a chance of 0.9999, a likelier one with more, whatever the number of texts.
-    Null and blank texts are one group. Equal rows count as copies.
+    Null and blank texts are one group. Rows with one id and text are copies; of those whose other columns differ the one with
+    the least hash of all columns stays. No rows: no rows.
     """
     low = -(1 << 63)
     keyed = docs.select(F.struct(F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h")).alias("key"), text_of(docs, text_col).alias("text"))
@@ -539,5 +551,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(low)).alias("k"), F.xxhash64(text_of(docs, text_col)).alias("h"))
     kept = tagged.join(heads.select("k", "h"), ["k", "h"], "left_semi")
     if heads.where("count > 1").limit(1).count():
-        kept = kept.groupBy("k", "h").agg(F.first("row").alias("row"))
+        kept = kept.groupBy("k", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return kept.select("row.*")
