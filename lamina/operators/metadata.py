@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lamina.functions.pixel import first_of
 
-MODELS = {77: "dp1 Merrill", 78: "dp2/dp3 Merrill", 83: "dp0 Quattro", 80: "dp1 Quattro", 81: "dp2 Quattro", 82: "dp3 Quattro", 15: "sd Quattro", 16: "sd Quattro H"}
-UNKNOWN_MODEL = "Digital Camera"
+_MAKER = "SIGMA"
+MODELS = {k: f"{_MAKER} {v}" for k, v in {77: "dp1 Merrill", 78: "dp2/dp3 Merrill", 83: "dp0 Quattro", 80: "dp1 Quattro", 81: "dp2 Quattro", 82: "dp3 Quattro", 15: "sd Quattro", 16: "sd Quattro H"}.items()}
+UNKNOWN_MODEL = f"{_MAKER} Digital Camera"
 WHITE_BALANCE = {1: "Auto", 2: "Sunlight", 3: "Shadow", 4: "Overcast", 5: "Incandescent", 6: "Florescent", 7: "Flash", 8: "Custom", 11: "ColorTemp", 12: "AutoLSP"}
 
 

@@ -9,6 +9,7 @@ import argparse
 import logging
 import time
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     return df.select(
         F.col("path").alias("image_id"), "layout", "width", "height", "header_columns", "header_rows",
         F.coalesce(gain, lit(levels.FALLBACK_GAIN)).alias("gain"), F.coalesce(layers, lit(mx.SRGB_TO_XYZ)).alias("layers"), max_raw.alias("max_raw"),
-        dark.alias("dark"), clipped("active_area").alias("active"), metadata.denoise_class(F.col("version"), F.col("model")).alias("denoise_class"),
+        dark.alias("dark"), clipped("active_area").alias("active"), "active_area", "keep", metadata.denoise_class(F.col("version"), F.col("model")).alias("denoise_class"),
     )
 
 
@@ -153,10 +154,37 @@ def preprocess_all(pixels: DataFrame, cal: DataFrame, top: DataFrame | None = No
     return done, per, full
 
 
-def develop_all(pixels: DataFrame, cal: DataFrame, options: Options = Options(), top: DataFrame | None = None, size: tuple[int, int] | None = None, top_size: tuple[int, int] | None = None, cube: tuple[int, list] | None = None, bad: DataFrame | None = None) -> DataFrame:
-    """(image_id, y, x, r, g, b) in 16 bits for every file, each with its own levels, matrix and crop.
-
-    The median, denoising and the expansion of a top plane need the images' common size.
+def _denoised(pixels: DataFrame, cal: DataFrame, high: bool = False) -> DataFrame:
+    """Each file denoised by its own class; there are three."""
+    classes = [r[0] for r in cal.select("denoise_class").distinct().collect()]
+    of = lambda c: pixels.join(cal.where(F.col("denoise_class").eqNullSafe(F.lit(c))).select("image_id"), "image_id", "left_semi")
+    return reduce(DataFrame.unionByName, [denoise.denoise(of(c), c or "STD", high=high) for c in classes]) if classes else pixels
+
+
+def _window(cal: DataFrame, size: tuple[int, int]) -> F.Column:
+    """The rectangle that a file keeps at a size: its active area scaled to it, else the centre of the header's size, else null."""
+    w, h = (F.lit(v).cast("long") for v in size)
+    active = F.when(F.col("active_area").isNotNull() & F.col("keep").isNotNull(), geometry.clip_rect(_rect(cal, "active_area"), _rect(cal, "keep"), (w, h)))
+    known = (F.col("header_columns") > 0) & (F.col("header_rows") > 0) & (F.col("header_columns") <= w) & (F.col("header_rows") <= h)
+    x0, y0 = F.expr(f"({size[0]} - header_columns) div 2"), F.expr(f"({size[1]} - header_rows) div 2")
+    centre = F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.col("header_columns") - 1).cast("long").alias("x1"), (y0 + F.col("header_rows") - 1).cast("long").alias("y1"))
+    return F.coalesce(active, F.when(known, centre))
+
+
+def develop_all(
+    pixels: DataFrame,
+    cal: DataFrame,
+    options: Options = Options(),
+    top: DataFrame | None = None,
+    size: tuple[int, int] | None = None,
+    top_size: tuple[int, int] | None = None,
+    cube: tuple[int, list] | None = None,
+    bad: DataFrame | None = None,
+) -> DataFrame:
+    """(image_id, y, x, r, g, b) in 16 bits for every file, each with its own levels, matrix, denoising class and crop.
+
+    The median, denoising, the expansion of a top plane and the crop need the images' common ``size``; without it they are left out.
+    The median is written inside each file's active area. An expanded image is cropped at its expanded size.
     """
     done, per, full = preprocess_all(pixels, cal, top)
     if bad is not None:
@@ -169,16 +197,18 @@ def develop_all(pixels: DataFrame, cal: DataFrame, options: Options = Options(),
             done = denoise.denoise(done, "F23", high=True)
     elif size:
         luma, u, v = px.opponent_std(F.col("b"), F.col("m"), F.col("t"))
-        yuv = neighbourhood.median_area(done.select("image_id", "y", "x", luma.alias("luma"), u.alias("u"), v.alias("v")), "v", *size)
+        yuv = done.select("image_id", "y", "x", luma.alias("luma"), u.alias("u"), v.alias("v")).join(per.select("image_id", "active"), "image_id")
+        yuv = neighbourhood.median_area(yuv, "v", *size, F.col("active"))
         done = yuv.select("image_id", "y", "x", *[c.alias(n) for c, n in zip(px.opponent_std_inverse(F.col("luma"), F.col("u"), F.col("v")), "bmt", strict=True)])
         if options.denoise:
-            done = denoise.denoise(done)
+            done = _denoised(done, cal)
     m = metadata.product([F.lit(x) for x in mx.XYZ_TO_SRGB], [F.get("layers", F.lit(i)) for i in range(9)])
     matrix = [m[i] * F.get("gain", F.lit(i % 3)) for i in range(9)]
-    shown = done.join(per.select("image_id", "bias", "top_b", "top_m", "top_t", "active", F.array(*matrix).alias("matrix")), "image_id")
-    if options.crop and not top_size:
-        inside = F.col("active").isNull() | (F.col("x").between(F.col("active.x0"), F.col("active.x1")) & F.col("y").between(F.col("active.y0"), F.col("active.y1")))
-        shown = shown.where(inside).withColumns({"x": F.col("x") - F.coalesce("active.x0", F.lit(0)), "y": F.col("y") - F.coalesce("active.y0", F.lit(0))})
+    final = top_size or size
+    kept = _window(per, final) if options.crop and final else F.lit(None).cast(_RECT)
+    shown = done.join(per.select("image_id", "bias", "top_b", "top_m", "top_t", kept.alias("kept"), F.array(*matrix).alias("matrix")), "image_id")
+    inside = F.col("kept").isNull() | (F.col("x").between(F.col("kept.x0"), F.col("kept.x1")) & F.col("y").between(F.col("kept.y0"), F.col("kept.y1")))
+    shown = shown.where(inside).withColumns({"x": F.col("x") - F.coalesce("kept.x0", F.lit(0)), "y": F.col("y") - F.coalesce("kept.y0", F.lit(0))})
     rgb = px.to_linear_srgb((F.col("b"), F.col("m"), F.col("t")), [F.get("matrix", F.lit(i)) for i in range(9)], F.col("bias"), (F.col("top_b"), F.col("top_m"), F.col("top_t")))
     out = px.develop(tuple(c / 65535.0 for c in rgb), options.stops, options.tone, mx.GAMMAS[mx.space_name(options.colour_space)], cube)
     return shown.select("image_id", "y", "x", *[px.to_uint16(c).alias(n) for c, n in zip(out, "rgb", strict=True)])
@@ -194,17 +224,30 @@ def preprocessed_map(pixels: DataFrame, cal: DataFrame, iso_scale: float = 1.0,
     return joined.select("image_id", "y", "x", *[px.table_lookup(v, table).alias(n) for v, n in zip(px.apply_matrix([F.get("matrix", F.lit(i)) for i in range(9)], *unit), "rgb", strict=True)])
 
 
-def top_map(top: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, y, x, r, g, b): the top plane as grey, black where it has no pixel."""
-    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    places = top.select("image_id").distinct().select("image_id", axis(height).alias("y")).select("image_id", "y", axis(width).alias("x"))
+def top_map(top: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, y, x, r, g, b): the top plane as grey, black where it has no pixel; ``sizes`` has each file's width and height."""
+    axis = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+    places = sizes.where("width > 0 and height > 0").select("image_id", "width", axis("height").alias("y")).select("image_id", "y", axis("width").alias("x"))
     joined = places.join(top.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
     return joined.select("image_id", "y", "x", *[F.coalesce("v", F.lit(0).cast("long")).alias(c) for c in "rgb"])
 
 
-def convert(spark: SparkSession, source: str, target: str, kind: str, options: Options = Options()) -> DataFrame:
-    """Convert every container below ``source`` to ``kind`` (tiff, jpeg, ppm, meta) below ``target``; returns what was written."""
+def file_names(paths: DataFrame) -> DataFrame:
+    """(image_id, name): the last part of each path; of paths that end alike all have a hash of the whole path added."""
+    named = paths.select("image_id").distinct().withColumn("last", F.element_at(F.split("image_id", "/"), -1))
+    alike = named.groupBy("last").agg((F.count(F.lit(1)) > 1).alias("alike"))
+    tagged = F.concat_ws("-", "last", F.left(F.sha2("image_id", 256), F.lit(12)))
+    return named.join(alike, "last").select("image_id", F.when(F.col("alike"), tagged).otherwise(F.col("last")).alias("name"))
+
+
+def convert(spark: SparkSession, source: str, target: str, kind: str, options: Options = Options(), cube: tuple[int, list] | None = None) -> DataFrame:
+    """Convert every container below ``source`` to ``kind`` (tiff, jpeg, ppm, meta) below ``target``; returns what was written.
+
+    Files are told apart by their whole paths. The log tone curve needs a cube.
+    """
     began = time.time()
+    if kind != "meta" and not (options.unprocessed or options.top_only) and cube is None and options.tone.lower() not in ("none", "aces"):
+        LOG.warning("no cube for the tone curve %r: the aces curve is used", options.tone)
     files = container.scan(spark, source)
     if kind == "meta":
         lines = text.metadata_lines(container.headers(files), container.metadata_rows(files), container.property_rows(files))
@@ -213,8 +256,8 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
     strips = container.decode_strips(container.plane_rows(files))
     pixels = container.strips_to_pixels(strips).withColumnRenamed("path", "image_id")
     if options.top_only:
-        shape = container.plane_rows(files).where("plane = 2").agg(F.max("columns"), F.max("rows")).first()
-        shown = top_map(container.top_pixels(strips).withColumnRenamed("path", "image_id"), shape[0], shape[1])
+        sizes = container.plane_rows(files).where("plane = 2").select(F.col("path").alias("image_id"), F.col("columns").alias("width"), F.col("rows").alias("height"))
+        shown = top_map(container.top_pixels(strips).withColumnRenamed("path", "image_id"), sizes)
     elif options.unprocessed:
         shown = pixels.select("image_id", "y", "x", F.col("b").alias("r"), F.col("m").alias("g"), F.col("t").alias("b"))
     else:
@@ -230,15 +273,25 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
             own, ids = same.drop("top_width", "top_height"), same.select("image_id")
             quattro = r["layout"] == "quattro"
             of = lambda d: d.join(ids, "image_id", "left_semi")  # noqa: E731, B023
-            parts.append(develop_all(of(pixels), own, options, of(top) if quattro else None, (r["width"], r["height"]), (r["top_width"], r["top_height"]) if quattro else None, bad=of(bad)))
+            parts.append(develop_all(of(pixels), own, options, of(top) if quattro else None, (r["width"], r["height"]), (r["top_width"], r["top_height"]) if quattro else None, cube, of(bad)))
         if not parts:
             raise ValueError("no raster that can be read")
         shown = reduce(DataFrame.unionByName, parts)
     if kind == "jpeg":
         shown = shown.withColumns({c: F.call_function("div", F.col(c), F.lit(257).cast("long")) for c in "rgb"})
-    named = shown.withColumn("image_id", F.element_at(F.split("image_id", "/"), -1))
+    named = shown.join(file_names(files.select(F.col("path").alias("image_id"))), "image_id")
     LOG.info("planned in %.2f s", time.time() - began)
-    return images.write_images(named, target, kind, quality=options.quality)
+    return images.write_images(named, target, kind, quality=options.quality, name="name")
+
+
+def read_cube(text: str) -> tuple[int, list[tuple[float, float, float]]]:
+    """(side, values with red changing fastest) of a .cube file's text."""
+    rows = [line.split() for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
+    sides = [int(r[1]) for r in rows if r[0] == "LUT_3D_SIZE"]
+    values = [tuple(map(float, r)) for r in rows if len(r) == 3 and r[0][0] in "-.0123456789"]
+    if len(sides) != 1 or len(values) != sides[0] ** 3:
+        raise ValueError("not a three-dimensional cube")
+    return sides[0], values  # type: ignore[return-value]
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -248,16 +301,17 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--kind", default="tiff", choices=("tiff", "jpeg", "ppm", "meta"))
     for flag, name, kind, default in (("--cs", "colour_space", str, "sRGB"), ("--wb", "white_balance", str, "Auto"), ("--tm", "tone", str, "agx"), ("--quality", "quality", int, 98), ("--ev", "stops", float, 0.0)):
         p.add_argument(flag, dest=name, type=kind, default=default)
+    p.add_argument("--cube", help="a .cube file for the log tone curve")
     for flag, name in (("--no-denoise", "denoise"), ("--no-crop", "crop")):
         p.add_argument(flag, dest=name, action="store_false")
     for flag, name in (("--unprocessed", "unprocessed"), ("--top", "top_only"), ("-v", "verbose")):
         p.add_argument(flag, dest=name, action="store_true")
     a = vars(p.parse_args(argv))
-    source, target, kind = a.pop("source"), a.pop("target"), a.pop("kind")
+    source, target, kind, cube = (a.pop(k) for k in ("source", "target", "kind", "cube"))
     logging.basicConfig(level=logging.INFO if a["verbose"] else logging.WARNING)
     from lamina.session import session
 
-    convert(session(), source, target, kind, Options(**a)).show(truncate=False)
+    convert(session(), source, target, kind, Options(**a), read_cube(Path(cube).read_text()) if cube else None).show(truncate=False)
 
 
 if __name__ == "__main__":

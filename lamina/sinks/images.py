@@ -190,9 +190,11 @@ def dng(image: np.ndarray, preview: np.ndarray, layers: list[float], gain: list[
     return b"II*\0" + struct.pack("<I", 8) + main.pack(8) + even(shown) + b"".join(map(even, profiles)) + sub.pack(at) + b"".join(strips)
 
 
-def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id", quality: int = 98) -> DataFrame:
+def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id", quality: int = 98, name: str | None = None) -> DataFrame:
     """Write one file for each image below ``folder`` (a URI that every executor reaches); returns (image, file, bytes).
 
+    ``name`` is the column with the file's name, which must be the image's own; else the image's is used.
+
     ``kind`` is tiff, jpeg or ppm. An image is one group: its size is bounded by the sensor.
     """
     ship(pixels.sparkSession)
@@ -213,9 +215,9 @@ def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, s
             data = (f"P3\n{w} {h}\n65535\n" + "".join("%d %d %d \n" % tuple(p) for p in image.reshape(-1, 3).tolist())).encode()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
-        name = f"{pdf[group].iloc[0]}.{kind}"
-        with store.open_output_stream(f"{base}/{name}") as out:
+        file = f"{pdf[name or group].iloc[0]}.{kind}"
+        with store.open_output_stream(f"{base}/{file}") as out:
             out.write(data)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "file": [name], "bytes": [len(data)]})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "file": [file], "bytes": [len(data)]})
 
     return pixels.groupBy(group).applyInPandas(run, f"{group} {pixels.schema[group].dataType.simpleString()}, file string, bytes long")

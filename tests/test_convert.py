@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from encoder import container, list_entry, matrix_entry, metadata_section, property_section, true_section
 
+from pyspark.sql import functions as F
+
 from lamina.functions import matrix as mx
+from lamina.operators import neighbourhood
 from lamina.plans import convert as cv
 from lamina.plans.develop import Options
 from lamina.sources import container as ct
@@ -62,7 +65,7 @@ def test_preprocessed_and_top(spark, folder):
     shown = cv.preprocessed_map(pixels, cal)
     assert shown.count() == 2 * 12 * 16 and shown.where("r < 0 or r > 65535").count() == 0
     top = spark.createDataFrame([("p", 0, 1, 7)], "image_id string, y long, x long, v long")
-    grey = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in cv.top_map(top, 3, 2).collect()}
+    grey = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in cv.top_map(top, spark.createDataFrame([("p", 3, 2)], "image_id string, width long, height long")).collect()}
     assert len(grey) == 6 and grey[0, 1] == (7, 7, 7) and grey[1, 2] == (0, 0, 0)
 
 
@@ -71,6 +74,56 @@ def test_top_plane_development(spark):
     top = np.full((8, 12), 2500)
     pixels = spark.createDataFrame([("q", y, x, int(planes[0][y, x]), int(planes[1][y, x]), 0) for y in range(4) for x in range(6)], "image_id string, y long, x long, b long, m long, t long")
     tops = spark.createDataFrame([("q", y, x, int(top[y, x])) for y in range(8) for x in range(12)], "image_id string, y long, x long, v long")
-    cal = spark.createDataFrame([("q", [1.0, 1.0, 1.0], list(mx.SRGB_TO_XYZ), [4095] * 3, [], None)], f"image_id string, gain array<double>, layers array<double>, max_raw array<bigint>, dark array<{cv._RECT}>, active {cv._RECT}")
+    cal = spark.createDataFrame([("q", [1.0, 1.0, 1.0], list(mx.SRGB_TO_XYZ), [4095] * 3, [], None, None, None, 0, 0)], f"image_id string, gain array<double>, layers array<double>, max_raw array<bigint>, dark array<{cv._RECT}>, active {cv._RECT}, active_area array<bigint>, keep array<bigint>, header_columns bigint, header_rows bigint")
     out = cv.develop_all(pixels, cal, Options(denoise=False, tone="none"), tops, (6, 4), (12, 8)).collect()
     assert len(out) == 96 and len({(r["r"], r["g"], r["b"]) for r in out}) == 1
+
+
+def test_equal_names_and_own_classes(spark, folder, tmp_path):
+    """Files of one name in two folders stay two images; each is denoised by its own class and cropped to its own area."""
+    import shutil
+
+    for sub, name in (("one", "a"), ("two", "b")):
+        (tmp_path / "in" / sub).mkdir(parents=True)
+        shutil.copy(folder / name, tmp_path / "in" / sub / "x.raw")
+    files = ct.scan(spark, str(tmp_path / "in" / "*"))
+    names = [r["name"] for r in cv.file_names(files.select(F.col("path").alias("image_id"))).collect()]
+    assert len(set(names)) == 2 and all(n.startswith("x.raw-") for n in names)
+    written = cv.convert(spark, str(tmp_path / "in" / "*"), f"file://{tmp_path}/out", "ppm", Options(tone="none", denoise=False)).collect()
+    assert len({r["file"] for r in written}) == 2
+    pixels = ct.strips_to_pixels(ct.decode_strips(ct.plane_rows(files))).withColumnRenamed("path", "image_id")
+    cal = cv.calibrations(files).withColumn("denoise_class", F.when(F.col("image_id").contains("/one/"), "F20").otherwise("STD"))
+    both = {(r["image_id"], r["y"], r["x"]): r["r"] for r in cv.develop_all(pixels, cal, Options(tone="none"), size=(16, 12)).collect()}
+    assert len(both) == 2 * 12 * 10
+    for part in ("/one/", "/two/"):
+        alone = cv.develop_all(pixels.where(F.col("image_id").contains(part)), cal.where(F.col("image_id").contains(part)), Options(tone="none"), size=(16, 12)).collect()
+        assert all(both[r["image_id"], r["y"], r["x"]] == r["r"] for r in alone)
+
+
+def test_median_inside_own_area(spark):
+    rng = np.random.default_rng(4)
+    grids = {k: rng.integers(0, 99, (7, 9)) for k in "pq"}
+    rows = [(k, y, x, int(g[y, x])) for k, g in grids.items() for y in range(7) for x in range(9)]
+    areas = {"p": (2, 1, 5, 4), "q": None}
+    df = spark.createDataFrame(rows, "image_id string, y long, x long, v long").join(spark.createDataFrame([(k, a) for k, a in areas.items()], f"image_id string, active {cv._RECT}"), "image_id")
+    for r in neighbourhood.median_area(df, "v", 9, 7, F.col("active")).collect():
+        g, a = grids[r["image_id"]], areas[r["image_id"]] or (0, 0, 8, 6)
+        inside = a[0] <= r["x"] <= a[2] and a[1] <= r["y"] <= a[3]
+        wide = np.pad(g, 1, mode="edge")[r["y"] : r["y"] + 3, r["x"] : r["x"] + 3]
+        assert r["v"] == (np.median(wide) if inside else g[r["y"], r["x"]])
+
+
+def test_tiles_equal_whole_images(spark):
+    rng = np.random.default_rng(5)
+    g = rng.integers(0, 4000, (23, 31))
+    df = spark.createDataFrame([("p", y, x, int(g[y, x])) for y in range(23) for x in range(31)], "image_id string, y long, x long, v long")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(neighbourhood.median3(df, "v", 31, 23, tile=8)) == rows(neighbourhood.median3(df, "v", 31, 23))
+    assert rows(neighbourhood.bicubic(df, ["v"], (31, 23), (50, 46), tile=8)) == rows(neighbourhood.bicubic(df, ["v"], (31, 23), (50, 46)))
+
+
+def test_cube_files():
+    side, values = cv.read_cube("# c\nTITLE \"t\"\nLUT_3D_SIZE 2\n" + "\n".join(f"{i} 0 0.5" for i in range(8)))
+    assert side == 2 and len(values) == 8 and values[3] == (3.0, 0.0, 0.5)
+    with pytest.raises(ValueError):
+        cv.read_cube("LUT_3D_SIZE 3\n0 0 0")
