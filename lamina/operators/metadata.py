@@ -101,30 +101,50 @@ def is_true_engine(entries: DataFrame) -> DataFrame:
 
 
 def max_raw(entries: DataFrame) -> DataFrame:
-    """(path, value array of three): from the image depth, else the engine's saturation levels, else 4095."""
-    engine = is_true_engine(entries).withColumnRenamed("value", "_e")
-    depth = scalar(entries, "ImageDepth").withColumnRenamed("value", "_d")
-    raw, sat = [vector(entries, n, 3, "i64").withColumnRenamed("value", c) for n, c in (("RawSaturationLevel", "_r"), ("SaturationLevel", "_s"))]
-    joined = engine.join(depth, "path", "left").join(raw, "path", "left").join(sat, "path", "left")
-    top = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_d").cast("int")) - 1
-    value = F.when(F.col("_d").isNotNull(), F.array(top, top, top)).when(F.col("_e"), F.col("_r")).otherwise(F.col("_s"))
-    return joined.select("path", F.coalesce(value, F.array([F.lit(4095).cast("long")] * 3)).alias("value"))
+    """(path, value array of three): from the image depth, else the engine's saturation levels, else 4095. One pass."""
+    e = F.col("e")
+    has = lambda n: F.exists(e, lambda x: (x["kind"] == "props") & x["name"].isin(n, f"DP1_{n}"))
+    depth = F.get(numbers_in(e, "ImageDepth", 1), F.lit(0))
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")) - 1
+    engine = has("WhiteBalanceColorCorrections") & has("WhiteBalanceGains")
+    value = F.when(depth.isNotNull(), F.array(top, top, top)).when(engine, numbers_in(e, "RawSaturationLevel", 3)).otherwise(numbers_in(e, "SaturationLevel", 3))
+    return gather(entries).select("path", F.coalesce(value, F.array([F.lit(4095).cast("long")] * 3)).alias("value"))
 
 
 def rect(entries: DataFrame, name: str) -> DataFrame:
     return vector(entries, name, 4, "i64")
 
 
-def neutral_of(raw: list[Column]) -> list[Column]:
-    """The raw values of a neutral grey under a raw-to-XYZ matrix: its inverse (or the identity) times the white point."""
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def neutral_array(raw: Column) -> Column:
+    """The raw values of a neutral grey under a raw-to-XYZ matrix (nine in an array): its inverse (or the identity) times the white point."""
     from lamina.functions.matrix import NEUTRAL_XYZ
 
     # the adjugate, each element by the four places of its 2x2 minor; its first column gives the determinant
     minors = ["48-57", "27-18", "15-24", "56-38", "08-26", "23-05", "37-46", "16-07", "04-13"]
-    adjugate = [raw[int(x[0])] * raw[int(x[1])] - raw[int(x[3])] * raw[int(x[4])] for x in minors]
-    det = sum((raw[k] * adjugate[3 * k] for k in range(3)), F.lit(0.0))
-    inv = [F.when(F.abs(det) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise(x / det) for i, x in enumerate(adjugate)]
-    return [sum((inv[3 * i + k] * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]
+    at = lambda v, i: F.get(v, F.lit(i))
+
+    def solve(m: Column) -> Column:
+        adjugate = F.array(*[at(m, int(x[0])) * at(m, int(x[1])) - at(m, int(x[3])) * at(m, int(x[4])) for x in minors])
+
+        def divide(a: Column) -> Column:
+            det = sum((at(m, k) * at(a, 3 * k) for k in range(3)), F.lit(0.0))
+            inverse = lambda d, i: F.when(F.abs(d) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise(at(a, i) / d)
+            return _let(det, lambda d: F.array(*[sum((inverse(d, 3 * i + k) * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]))
+
+        return _let(adjugate, divide)
+
+    return _let(raw, solve)
+
+
+def neutral_of(raw: list[Column]) -> list[Column]:
+    """The same of nine columns."""
+    value = neutral_array(F.array(*raw))
+    return [F.get(value, F.lit(i)) for i in range(3)]
 
 
 def gather(entries: DataFrame) -> DataFrame:
@@ -139,41 +159,45 @@ def entry_in(e: Column, kind: str, name: Column | str) -> Column:
     return F.get(F.filter(e, lambda x: (x["kind"] == kind) & (x["name"] == name)), F.lit(0))
 
 
-def numbers_in(e: Column, name: Column | str, n: int, field: str = "i64") -> Column:
-    """The values of a matrix if it has ``n`` elements of the wanted type, else null."""
-    v = entry_in(e, "matrix", name)[field]
-    return F.when(F.size(v) == n, v)
+def numbers_in(e: Column, name: Column | str, n: int, field: str = "i64", sizes: list[int] | None = None) -> Column:
+    """The values of a matrix if it has ``n`` elements of the wanted type, and the sides if they are given, else null."""
+    return _let(entry_in(e, "matrix", name), lambda x: F.when((F.size(x[field]) == n) & _sides(x, sizes), x[field]))
+
+
+def _sides(x: Column, sizes: list[int] | None) -> Column:
+    return F.lit(True) if sizes is None else F.transform(x["dims"], lambda d: d["size"].cast("int")) == F.array(*[F.lit(s) for s in sizes])
 
 
 def preset_in(e: Column, lists: tuple[str, ...], preset: Column, n: int) -> Column:
-    """The values of a preset's matrix by the first list that leads to one; a missing Daylight means Sunlight."""
+    """The values of a preset's matrix (three in a row, or three by three) by the first list that leads to one; a missing Daylight
+    means Sunlight."""
 
     def one(name: str) -> Column:
-        props = entry_in(e, "props", name)["props"]
-        item = lambda p: F.get(F.filter(props, lambda x: x["name"] == p), F.lit(0))["value"]
-        return numbers_in(e, F.coalesce(item(preset), F.when(preset == "Daylight", item(F.lit("Sunlight")))), n, "f64")
+        item = lambda props, p: F.get(F.filter(props, lambda x: x["name"] == p), F.lit(0))["value"]
+        found = _let(entry_in(e, "props", name)["props"], lambda props: F.coalesce(item(props, preset), F.when(preset == "Daylight", item(props, F.lit("Sunlight")))))
+        return _let(found, lambda m: numbers_in(e, m, n, "f64", [3, 3] if n == 9 else [n]))
 
     return first_of(*map(one, lists))
 
 
 def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
     """(path, value array of three): the preset's gains, from one of three places, times the sensor, temperature
-    and aperture factors that are there."""
-    sources = [preset_matrix(entries, n, preset, [3]).withColumnRenamed("value", f"_g{i}") for i, n in enumerate(("WhiteBalanceGains", "DP1_WhiteBalanceGains"))]
-    ill = preset_matrix(entries, "WhiteBalanceIlluminants", preset, [3, 3]).withColumnRenamed("value", "_i")
-    cor = preset_matrix(entries, "WhiteBalanceCorrections", preset, [3, 3]).withColumnRenamed("value", "_c")
-    df = entries.select("path").distinct()
-    for s in [*sources, ill, cor]:
-        df = df.join(s, "path", "left")
-    at = lambda c, i: F.get(F.col(c), F.lit(i))
-    raw = [sum((at("_c", 3 * i + k) * at("_i", 3 * k + j) for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)]
-    neutral = neutral_of(raw)
-    legacy = F.when(F.col("_i").isNotNull() & F.col("_c").isNotNull(), F.array(*[1.0 / x for x in neutral]))
-    df = df.withColumn("value", F.coalesce("_g0", "_g1", legacy)).where("value is not null")
-    for i, n in enumerate(("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact")):
-        df = df.join(vector(entries, n, 3).withColumnRenamed("value", f"_f{i}"), "path", "left")
-        df = df.withColumn("value", F.when(F.col(f"_f{i}").isNull(), F.col("value")).otherwise(F.zip_with("value", f"_f{i}", lambda a, b: a * b)))
-    return df.select("path", "value")
+    and aperture factors that are there. One pass over the entries."""
+    e, wanted = F.col("e"), F.lit(preset)
+    gains = preset_in(e, ("WhiteBalanceGains", "DP1_WhiteBalanceGains"), wanted, 3)
+    legacy = F.transform(neutral_array(_legacy_raw(e, wanted)), lambda x: 1.0 / x)
+    value = F.coalesce(gains, legacy)
+    for name in ("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact"):
+        value = F.zip_with(value, F.coalesce(numbers_in(e, name, 3, "f64"), F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
+    return gather(entries).select("path", value.alias("value")).where("value is not null")
+
+
+def _legacy_raw(e: Column, preset: Column) -> Column:
+    """The preset's correction times its illuminant, as nine in an array; null without either."""
+    nine = lambda v: [F.get(v, F.lit(i)) for i in range(9)]
+    ill, cor = (preset_in(e, (n,), preset, 9) for n in ("WhiteBalanceIlluminants", "WhiteBalanceCorrections"))
+    both = F.struct(cor.alias("c"), ill.alias("i"))
+    return _let(both, lambda x: F.when(x["c"].isNotNull() & x["i"].isNotNull(), F.array(*product(nine(x["c"]), nine(x["i"])))))
 
 
 def product(a: list[Column], b: list[Column]) -> list[Column]:
@@ -184,20 +208,17 @@ def product(a: list[Column], b: list[Column]) -> list[Column]:
 def layers_to_xyz(entries: DataFrame, preset: str) -> DataFrame:
     """(path, value array of nine): sRGB's matrix times the preset's colour correction.
 
-    Without a correction, the illuminant matrix with its own correction, scaled to a neutral white.
+    Without a correction, the illuminant matrix with its own correction, scaled to a neutral white. One pass over the entries.
     """
     from lamina.functions.matrix import SRGB_TO_XYZ
 
-    df = entries.select("path").distinct()
-    for i, n in enumerate(("WhiteBalanceColorCorrections", "DP1_WhiteBalanceColorCorrections", "WhiteBalanceIlluminants", "WhiteBalanceCorrections")):
-        df = df.join(preset_matrix(entries, n, preset, [3, 3]).withColumnRenamed("value", f"_m{i}"), "path", "left")
-    nine = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(9)]
-    df = df.withColumn("_cc", F.coalesce("_m0", "_m1")).withColumn("_raw", F.when(F.col("_m2").isNotNull() & F.col("_m3").isNotNull(), F.array(*product(nine("_m3"), nine("_m2")))))
-    raw = nine("_raw")
-    neutral = neutral_of(raw)
-    legacy = F.array(*[raw[i] * neutral[i % 3] for i in range(9)])
-    modern = F.array(*product([F.lit(x) for x in SRGB_TO_XYZ], nine("_cc")))
-    return df.select("path", F.when(F.col("_cc").isNotNull(), modern).when(F.col("_raw").isNotNull(), legacy).alias("value")).where("value is not null")
+    e, wanted = F.col("e"), F.lit(preset)
+    nine = lambda v: [F.get(v, F.lit(i)) for i in range(9)]
+    correction = preset_in(e, ("WhiteBalanceColorCorrections", "DP1_WhiteBalanceColorCorrections"), wanted, 9)
+    modern = _let(correction, lambda c: F.when(c.isNotNull(), F.array(*product([F.lit(x) for x in SRGB_TO_XYZ], nine(c)))))
+    scaled = lambda m: _let(neutral_array(m), lambda n: F.array(*[F.get(m, F.lit(i)) * F.get(n, F.lit(i % 3)) for i in range(9)]))
+    legacy = _let(_legacy_raw(e, wanted), lambda m: F.when(m.isNotNull(), scaled(m)))
+    return gather(entries).select("path", F.coalesce(modern, legacy).alias("value")).where("value is not null")
 
 
 def denoise_class(version: Column, model: Column) -> Column:
@@ -209,16 +230,15 @@ def camera_info(header: DataFrame, properties: DataFrame, entries: DataFrame) ->
     """One row for each file: model, serial, preset, with defaults."""
     model = property_named(properties, "CAMMODEL").withColumnRenamed("value", "_model")
     serial = property_named(properties, "CAMSERIAL").withColumnRenamed("value", "serial")
-    ids = scalar(entries, "CAMERAID").withColumnRenamed("value", "_id")
-    wb = scalar(entries, "WhiteBalance").withColumnRenamed("value", "_wb")
-    df = header.join(model, "path", "left").join(serial, "path", "left").join(ids, "path", "left").join(wb, "path", "left")
+    one = lambda n: F.get(numbers_in(F.col("e"), n, 1), F.lit(0))
+    codes = gather(entries).select("path", one("CAMERAID").alias("_id"), one("WhiteBalance").alias("_wb"))
+    df = header.join(model, "path", "left").join(serial, "path", "left").join(codes, "path", "left")
     return df.select("path", F.coalesce("_model", camera_model(F.col("_id"))).alias("model"), F.coalesce("serial", F.lit("")).alias("serial"), white_balance(F.col("_wb"), F.col("white_balance")).alias("white_balance"))
 
 
 def exif_info(entries: DataFrame) -> DataFrame:
-    """One row for each file: exposure time (the inverse of the shutter value, if positive), aperture, ISO as 16 bits."""
-    df = entries.select("path").distinct()
-    for name in ("CaptureShutter", "CaptureAperture", "CaptureISO"):
-        df = df.join(scalar(entries, name, "f64").withColumnRenamed("value", name), "path", "left")
-    shutter = F.when(F.col("CaptureShutter") > 0, 1.0 / F.col("CaptureShutter"))
-    return df.select("path", shutter.alias("exposure"), F.col("CaptureAperture").alias("aperture"), F.floor("CaptureISO").cast("long").bitwiseAND(F.lit(65535).cast("long")).alias("iso"))
+    """One row for each file: exposure time (the inverse of the shutter value, if positive), aperture, ISO as 16 bits. One pass."""
+    one = lambda n: F.get(numbers_in(F.col("e"), n, 1, "f64"), F.lit(0))
+    shutter = F.when(one("CaptureShutter") > 0, 1.0 / one("CaptureShutter"))
+    iso = F.floor(one("CaptureISO")).cast("long").bitwiseAND(F.lit(65535).cast("long"))
+    return gather(entries).select("path", shutter.alias("exposure"), one("CaptureAperture").alias("aperture"), iso.alias("iso"))

@@ -50,11 +50,11 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     df = df.withColumns({k: metadata.preset_in(e, names, F.col("wanted"), n) for k, (names, n) in presets.items()})
     nine = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(9)]
     df = df.withColumn("raw", F.when(F.col("illuminant").isNotNull() & F.col("own_correction").isNotNull(), F.array(*metadata.product(nine("own_correction"), nine("illuminant")))))
-    df = df.withColumn("neutral", F.when(F.col("raw").isNotNull(), F.array(*metadata.neutral_of(nine("raw")))))
+    df = df.withColumn("neutral", F.when(F.col("raw").isNotNull(), metadata.neutral_array(F.col("raw"))))
     gain = F.coalesce("gains", F.transform("neutral", lambda x: 1.0 / x))
     for factor in ("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact"):
         f = metadata.numbers_in(e, factor, 3, "f64")
-        gain = F.when(f.isNull(), gain).otherwise(F.zip_with(gain, f, lambda a, b: a * b))
+        gain = F.zip_with(gain, F.coalesce(f, F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
     modern = F.array(*metadata.product([F.lit(x) for x in mx.SRGB_TO_XYZ], nine("correction")))
     legacy = F.array(*[F.get("raw", F.lit(i)) * F.get("neutral", F.lit(i % 3)) for i in range(9)])
     layers = F.when(F.col("correction").isNotNull(), modern).when(F.col("raw").isNotNull(), legacy)

@@ -253,14 +253,14 @@ def flagship_develop(spark, sf_dir):
 def _bad_sources(spark, sf_dir) -> list[DataFrame]:
     e = table(spark, sf_dir, "events", "event_id")
     word = F.shiftleft(F.col("event_id") * 7 % 200, 20).bitwiseOR(F.shiftleft(F.col("event_id") * 13 % 200, 8))
-    packed = badpixels.unpack_packed(e.where("event_id % 5 = 0").select(F.col("event_id").alias("pos"), word.alias("value")), 10, 20)
+    packed = badpixels.unpack_packed(e.select(F.col("event_id").alias("pos"), word.alias("value")), 10, 20)
     triples = badpixels.unpack_triples(e.select(F.col("event_id").alias("pos"), (F.col("event_id") * 31 % 190).alias("value")))
     grid = badpixels.highlight_grid(spark, (3, 5), (17, 23), 160, 160)
     return [badpixels.tagged(n, d) for n, d in (("packed", packed), ("f20", triples), ("highlight", grid))]
 
 
 _BAD_SQL = """src AS (
-  SELECT 'packed' AS source, 0 AS priority, event_id AS pos, event_id * 7 % 200 - 20 AS y, event_id * 13 % 200 - 10 AS x FROM events WHERE event_id % 5 = 0
+  SELECT 'packed' AS source, 0 AS priority, event_id AS pos, event_id * 7 % 200 - 20 AS y, event_id * 13 % 200 - 10 AS x FROM events
   UNION ALL SELECT 'f20', 1, event_id // 3, max(event_id * 31 % 190) FILTER (event_id % 3 = 0), max(event_id * 31 % 190) FILTER (event_id % 3 = 1) FROM events GROUP BY event_id // 3
   UNION ALL SELECT 'highlight', 3, r * 1048576 + c, r, c FROM range(5, 160, 23) a(r), range(3, 160, 17) b(c)),
 ins AS (SELECT *, coalesce(x BETWEEN 0 AND 159 AND y BETWEEN 0 AND 159, false) AS inside FROM src)"""
@@ -318,8 +318,11 @@ def median_area(spark, sf_dir):
 
 
 def _taps_sql(n_in: int, n_out: int, name: str, a: float = -0.5, centre: float = 0.0) -> str:
-    rows = ", ".join(f"({s}, {d}, CAST({w!r} AS DOUBLE))" for s, d, w in neighbourhood._axis(n_in, n_out, a, centre))
-    return f"{name}(s, d, w) AS (VALUES {rows})"
+    """Taps of one axis from the kernel's formula: source, destination, weight."""
+    x = "abs(k - f)"
+    weight = f"CASE WHEN {x} <= 1 THEN ({a} + 2) * {x} * {x} * {x} - ({a} + 3) * {x} * {x} + 1 WHEN {x} < 2 THEN {a} * {x} * {x} * {x} - 5 * {a} * {x} * {x} + 8 * {a} * {x} - 4 * {a} ELSE 0 END"
+    places = f"SELECT d, k, CAST(floor(p) AS BIGINT) AS base, p - floor(p) AS f FROM (SELECT d, CAST((d + 0.5) * {n_in} / {n_out} - {centre} AS DOUBLE) AS p FROM range({n_out}) r(d)), range(-1, 3) q(k)"
+    return f"{name} AS (SELECT greatest(0, least({n_in - 1}, base + k)) AS s, d, CAST({weight} AS DOUBLE) AS w FROM ({places}))"
 
 
 def _bicubic_sql(src: str, cols: str, n: int, final: str, a: float = -0.5, centre: float = 0.0) -> str:
@@ -389,32 +392,14 @@ def pack12(spark, sf_dir):
 
 @query("""WITH RECURSIVE k AS (SELECT 0 AS i, (CAST(12345 AS BIGINT) * 1597 + 51749) % 244944 AS key UNION ALL SELECT i + 1, (key * 1597 + 51749) % 244944 FROM k WHERE i < 99),
 t AS (SELECT i, key, (key * 301593171 >> 24) & 4294967295 AS t FROM k)
-SELECT event_id, xor(event_id * 3 % 256, (((((key * 256 - t) & 4294967295) >> 1) + t) & 4294967295) >> 17 & 255) AS value FROM events JOIN t ON t.i = event_id""")
+SELECT event_id, xor(event_id * 3 % 256, (((((key * 256 - t) & 4294967295) >> 1) + t) & 4294967295) >> 17 & 255) AS value FROM events JOIN t ON t.i = event_id % 100""")
 def camf_type2(spark, sf_dir):
-    rows = table(spark, sf_dir, "events", "event_id").where("event_id < 100").select("event_id", (F.col("event_id") * 3 % 256).alias("value"))
-    return sequences.xor_stream(rows, "event_id", "value", 12345, 100)
+    """Streams of 100 bytes, each with the same key."""
+    rows = table(spark, sf_dir, "events", "event_id").select("event_id", (F.col("event_id") % 100).alias("place"), (F.col("event_id") * 3 % 256).alias("value"))
+    return sequences.xor_stream(rows, "place", "value", 12345, 100).select("event_id", "value")
 
 
 # Algebra and lookups.
-@query("""WITH a AS (SELECT n_nationkey // 9 AS g, n_nationkey % 9 // 3 AS i, n_nationkey % 3 AS j, CAST(n_nationkey AS BIGINT) AS v FROM nation WHERE n_nationkey < 18)
-SELECT l.i, r.j, CAST(sum(l.v * r.v) AS BIGINT) AS v FROM a l JOIN a r ON l.g = 0 AND r.g = 1 AND l.j = r.i GROUP BY 1, 2""")
-def matmul(spark, sf_dir):
-    n = table(spark, sf_dir, "nation", "n_nationkey").where("n_nationkey < 18")
-    a = n.selectExpr("n_nationkey div 9 as g", "(n_nationkey % 9) div 3 as i", "n_nationkey % 3 as j", "cast(n_nationkey as bigint) as v")
-    left, right = a.where("g = 0").select("i", F.col("j").alias("k"), F.col("v").alias("a")), a.where("g = 1").select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-    return left.join(right, "k").groupBy(F.col("i").cast("long").alias("i"), F.col("j")).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-
-
-_INV = [2.0, 1.0, 0.5, -1.0, 3.0, 0.25, 0.75, -0.5, 1.5]
-
-
-@query("SELECT i, v FROM (VALUES " + ", ".join(f"({i}, round(CAST({v!r} AS DOUBLE), 9))" for i, v in enumerate(mx.inverse(_INV))) + ") t(i, v)")
-def inverse3(spark, sf_dir):
-    import numpy as np
-
-    return spark.createDataFrame(list(enumerate(np.linalg.inv(np.array(_INV).reshape(3, 3)).ravel().tolist())), "i int, v double").select("i", F.round("v", 9).alias("v"))
-
-
 @query("""SELECT event_id, CASE event_id % 14 WHEN 13 THEN 'Auto' ELSE coalesce((SELECT p FROM (VALUES (1, 'Auto'), (2, 'Sunlight'), (3, 'Shadow'), (4, 'Overcast'), (5, 'Incandescent'), (6, 'Florescent'),
  (7, 'Flash'), (8, 'Custom'), (11, 'ColorTemp'), (12, 'AutoLSP')) t(k, p) WHERE k = event_id % 14), 'Auto') END AS preset FROM events""")
 def wb_lookup(spark, sf_dir):
@@ -422,7 +407,8 @@ def wb_lookup(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id").select("event_id", metadata.white_balance(code).alias("preset"))
 
 
-@query("SELECT event_id, coalesce(m, 'Digital Camera') AS model FROM events LEFT JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in metadata.MODELS.items()) + ") t(k, m) ON k = event_id % 90")
+@query("""SELECT event_id, coalesce(m, 'SIGMA Digital Camera') AS model FROM events LEFT JOIN (VALUES (77, 'SIGMA dp1 Merrill'), (78, 'SIGMA dp2/dp3 Merrill'), (83, 'SIGMA dp0 Quattro'),
+ (80, 'SIGMA dp1 Quattro'), (81, 'SIGMA dp2 Quattro'), (82, 'SIGMA dp3 Quattro'), (15, 'SIGMA sd Quattro'), (16, 'SIGMA sd Quattro H')) t(k, m) ON k = event_id % 90""")
 def camera_lookup(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id").select("event_id", metadata.camera_model(F.col("event_id") % 90).alias("model"))
 
@@ -467,16 +453,14 @@ _WY = f"CASE q WHEN 0 THEN {_pair_sql('dy', 0, 3)} WHEN 3 THEN {_pair_sql('dy',
 @query(f"""WITH {_NEAR}, wide AS (SELECT g, target, {', '.join(f'max({c}) FILTER (q = {q}) AS {c}{q}' for q in range(4) for c in ('dx', 'dy'))} FROM near GROUP BY 1, 2),
 w AS (SELECT near.g, near.target, idx, ({_WX}) * ({_WY}) AS weight FROM near JOIN wide USING (g, target)),
 codes AS (SELECT s_suppkey AS idx, ch, cell, s_suppkey * (ch + 3) * (cell + 7) % 100 AS code FROM supplier, range(3) a(ch), range(2) b(cell))
-SELECT target, ch AS channel, cell, round(sum(weight * (0.9 + 0.01 * code)), 3) AS gain FROM w JOIN codes USING (idx) WHERE target % 7 = 0 GROUP BY 1, 2, 3""")
+SELECT g, target, ch AS channel, cell, round(CAST(CAST(sum(weight * (0.9 + 0.01 * code)) AS FLOAT) AS DOUBLE), 3) AS gain FROM w JOIN codes USING (idx) GROUP BY 1, 2, 3, 4""")
 def gain_merge(spark, sf_dir):
     keys = ["g", "target"]
-    w = gain.quadrant_weights(_near(spark, sf_dir).where("target % 7 = 0"), keys)
+    w = gain.quadrant_weights(_near(spark, sf_dir), keys)
     pick = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("channel"), F.lit(j).cast("long").alias("cell")) for i in range(3) for j in range(2)])).alias("p")
     codes = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("idx"), pick).select("idx", "p.*")
     codes = codes.withColumns({"code": F.col("idx") * (F.col("channel") + 3) * (F.col("cell") + 7) % 100, "least": F.lit(0.9), "step": F.lit(0.01)})
-    joined = w.join(codes, "idx")
-    value = F.sum(F.col("weight") * (F.col("least") + F.col("step") * F.col("code")))
-    return joined.groupBy("target", "channel", "cell").agg(F.round(value, 3).alias("gain"))
+    return gain.merge_gain(w, codes, [*keys], []).withColumn("gain", F.round(F.col("gain").cast("double"), 3))
 
 
 # Geometry.

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, b, m, t: three consecutive vectors of 64 values make an 8x8 image of three layers.
-
-    The layers meet as arrays, one row a vector, and become pixels after the shuffle.
-    """
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, b, m, t: three consecutive vectors of 64 values make the three layers of an 8x8 image, as arrays."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     level = F.transform("embedding", lambda e: F.greatest(F.lit(0).cast("long"), F.floor(e.cast("double") * 4096) + 2200))
     rows = v.select(F.expr("vec_id div 3").alias("image_id"), (F.col("vec_id") % 3).alias("c"), level.alias("v"))
     layer = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
     whole = rows.groupBy("image_id").agg(layer(0).alias("b"), layer(1).alias("m"), layer(2).alias("t"))
-    whole = whole.where("b is not null and m is not null and t is not null")
-    pixels = whole.select("image_id", F.posexplode(F.arrays_zip("b", "m", "t")).alias("pos", "p"))
+    return whole.where("b is not null and m is not null and t is not null")
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, y, x, b, m, t: the images' pixels. The layers meet as arrays and become pixels after the shuffle."""
+    pixels = planes(spark, sf_dir).select("image_id", F.posexplode(F.arrays_zip("b", "m", "t")).alias("pos", "p"))
     return pixels.select("image_id", F.expr("pos div 8").alias("y"), (F.col("pos") % 8).cast("long").alias("x"), "p.b", "p.m", "p.t")
 
 

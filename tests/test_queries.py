@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from lamina.queries import ORACLE_SQL, QUERIES
+from lamina import container_queries, queries
+
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | container_queries.ORACLE_SQL, queries.QUERIES | container_queries.QUERIES
 
 SF = "/root/testdata/sf0.001"
 
