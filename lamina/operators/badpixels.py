@@ -86,22 +86,60 @@ def source_counts(sources: list[DataFrame], width: int, height: int) -> DataFram
     return marked.groupBy("source").agg(count(F.col("inside") & F.col("first")).alias("kept"), count(F.col("inside") & ~F.col("first")).alias("duplicates"), count(~F.col("inside")).alias("outside"))
 
 
+def regions(spots: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Groups of places (y, x): two places that are at most ``reach`` apart in both directions are in one group."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, (y, x) in enumerate((spots // reach).tolist()):
+        cells.setdefault((y, x), []).append(i)
+    at, seen, out = spots.tolist(), np.zeros(len(spots), bool), []
+    for start in range(len(spots)):
+        if seen[start]:
+            continue
+        seen[start], group, todo = True, [], [start]
+        while todo:
+            i = todo.pop()
+            group.append(i)
+            y, x = at[i]
+            for cy in (y // reach - 1, y // reach, y // reach + 1):
+                for cx in (x // reach - 1, x // reach, x // reach + 1):
+                    for j in cells.get((cy, cx), ()):
+                        if not seen[j] and abs(at[j][0] - y) <= reach and abs(at[j][1] - x) <= reach:
+                            seen[j] = True
+                            todo.append(j)
+        out.append(spots[group])
+    return out
+
+
 def fast_march(values: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndarray:
     """Fill masked pixels from the border inwards, each by a weighted mean of known pixels within ``radius``.
 
     Weights are the direction of the front, the distance and the level difference, after Telea's published
-    method, with first-order extrapolation along the image gradient.
+    method, with first-order extrapolation along the image gradient. Regions that read nothing of each other are
+    filled on their own, each in a box a little larger than itself; results are the same.
     """
+    out = values.astype(float).copy()
+    known = ~mask.astype(bool)
+    low, high = (out[known].min(), out[known].max()) if known.any() else (0.0, 0.0)
+    margin = radius + 2
+    for spots in regions(np.argwhere(mask), radius + 1) if mask.any() else ():
+        (y0, x0), (y1, x1) = np.maximum(spots.min(axis=0) - margin, 0), spots.max(axis=0) + margin + 1
+        own = np.zeros_like(known[y0:y1, x0:x1])
+        own[spots[:, 0] - y0, spots[:, 1] - x0] = True
+        out[y0:y1, x0:x1] = _march(out[y0:y1, x0:x1], own, known[y0:y1, x0:x1].copy(), radius, low, high)
+    return out
+
+
+def _march(values: np.ndarray, mask: np.ndarray, known: np.ndarray, radius: int, low: float, high: float) -> np.ndarray:
+    """Fill ``mask``; results stay between ``low`` and ``high``."""
     import heapq
 
     out = values.astype(float).copy()
     h, w = out.shape
-    known = ~mask.astype(bool)
-    time = np.where(known, 0.0, np.inf)
+    time = np.where(mask, np.inf, 0.0)
     heap: list[tuple[float, int, int]] = []
     around = ((-1, 0), (1, 0), (0, -1), (0, 1))
     for y, x in zip(*np.nonzero(mask), strict=True):
-        if any(0 <= y + dy < h and 0 <= x + dx < w and known[y + dy, x + dx] for dy, dx in around):
+        if any(0 <= y + dy < h and 0 <= x + dx < w and not mask[y + dy, x + dx] for dy, dx in around):
             time[y, x] = 1.0
             heapq.heappush(heap, (1.0, int(y), int(x)))
 
@@ -125,7 +163,7 @@ def fast_march(values: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndar
         _, y, x = heapq.heappop(heap)
         if known[y, x]:
             continue
-        gty, gtx = slope(np.where(np.isfinite(time), time, 0), y, x, np.isfinite(time))
+        gty, gtx = slope(time, y, x, np.isfinite(time))
         total = weight = 0.0
         for j in range(max(0, y - radius), min(h, y + radius + 1)):
             for i in range(max(0, x - radius), min(w, x + radius + 1)):
@@ -136,7 +174,6 @@ def fast_march(values: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndar
                     gy, gx = slope(out, j, i, known)
                     total += wt * (out[j, i] + gy * (y - j) + gx * (x - i))
                     weight += wt
-        low, high = out[known].min() if known.any() else 0, out[known].max() if known.any() else 0
         out[y, x] = min(max(total / weight if weight else 0.0, low), high)
         known[y, x] = True
         for dy, dx in around:

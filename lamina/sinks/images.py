@@ -66,6 +66,57 @@ def _codes(bits: list[int], values: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _table(codes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    code, length = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for symbol, (c, n) in codes.items():
+        code[symbol], length[symbol] = c, n
+    return code, length
+
+
+def _sizes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each number's magnitude, and the number in that many bits, negatives in ones' complement."""
+    n = np.ceil(np.log2(np.abs(v) + 1)).astype(np.int64)
+    return n, np.where(v > 0, v, v + (1 << n) - 1)
+
+
+def _scan(blocks: np.ndarray, dc: dict, ac: dict, step: int = 1 << 14) -> bytes:
+    """Coded bytes of blocks (number, channel, 64 in zigzag order), a stretch of blocks at a time."""
+    (dc_code, dc_len), (ac_code, ac_len) = _table(dc), _table(ac)
+    first = np.diff(blocks[:, :, 0], axis=0, prepend=0)
+    out, left = [], np.zeros(0, np.uint8)
+    for at in range(0, len(blocks), step):
+        flat = blocks[at : at + step].reshape(-1, 64)
+        # a token is a code and its number; its place is block * 256 + 4 * position, zero runs come just before
+        size, bits = _sizes(first[at : at + step].ravel())
+        tokens = [(np.arange(len(flat)) * 256, dc_code[size] << size | bits, dc_len[size] + size)]
+        row, pos = np.nonzero(flat[:, 1:])
+        pos += 1
+        before = np.where(np.append(True, row[1:] != row[:-1]), 0, np.append(0, pos[:-1])) if len(row) else pos
+        run = pos - before - 1
+        size, bits = _sizes(flat[row, pos])
+        symbol = (run % 16) << 4 | size
+        tokens.append((row * 256 + pos * 4, ac_code[symbol] << size | bits, ac_len[symbol] + size))
+        many = run // 16
+        zeros = np.repeat(row * 256 + pos * 4 - 1, many)
+        tokens.append((zeros, np.full(len(zeros), ac_code[0xF0]), np.full(len(zeros), ac_len[0xF0])))
+        end = np.zeros(len(flat), np.int64)
+        np.maximum.at(end, row, pos)
+        short = np.nonzero(end < 63)[0]
+        tokens.append((short * 256 + 255, np.full(len(short), ac_code[0]), np.full(len(short), ac_len[0])))
+        place, value, length = (np.concatenate([t[i] for t in tokens]) for i in range(3))
+        order = np.argsort(place, kind="stable")
+        value, length = value[order], length[order]
+        token = np.repeat(np.arange(len(length)), length)
+        within = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+        new = np.append(left, ((value[token] >> (length[token] - 1 - within)) & 1).astype(np.uint8))
+        whole = len(new) // 8 * 8
+        out.append(np.packbits(new[:whole]).tobytes())
+        left = new[whole:]
+    if len(left):
+        out.append(np.packbits(np.append(left, np.ones(8 - len(left), np.uint8))).tobytes())
+    return b"".join(out).replace(b"\xff", b"\xff\0")
+
+
 def jpeg(image: np.ndarray, quality: int = 98) -> bytes:
     """Baseline JPEG of an 8-bit RGB image, no chroma subsampling."""
     if not 1 <= quality <= 100:
@@ -84,39 +135,7 @@ def jpeg(image: np.ndarray, quality: int = 98) -> bytes:
         blocks.append(np.rint(freq / tables[min(i, 1)]).astype(int)[:, _ZIGZAG])
     ac_bits, ac_values = _ac_table()
     dc, ac = _codes(_DC_BITS, _DC_VALUES), _codes(ac_bits, ac_values)
-    bits: list[str] = []
-    put = lambda code, n: bits.append(format(code, f"0{n}b")) if n else None
-
-    def number(v: int) -> tuple[int, int]:
-        n = abs(v).bit_length()
-        return (v if v > 0 else v + (1 << n) - 1), n
-
-    last = [0, 0, 0]
-    for n in range(len(blocks[0])):
-        for i in range(3):
-            block = blocks[i][n].tolist()
-            v, size = number(block[0] - last[i])
-            last[i] = block[0]
-            put(*dc[size])
-            put(v, size)
-            run = 0
-            end = max((j for j in range(1, 64) if block[j]), default=0)
-            for j in range(1, end + 1):
-                if not block[j]:
-                    run += 1
-                    continue
-                while run > 15:
-                    put(*ac[0xF0])
-                    run -= 16
-                v, size = number(block[j])
-                put(*ac[run << 4 | size])
-                put(v, size)
-                run = 0
-            if end < 63:
-                put(*ac[0])
-    text = "".join(bits)
-    text += "1" * (-len(text) % 8)
-    scan = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\0") if text else b""
+    scan = _scan(np.stack(blocks, axis=1), dc, ac)
     seg = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
     out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
     for i, t in enumerate(tables):
