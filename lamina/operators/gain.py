@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators import metadata
+
 NEAR_LIMITS = {1003: 200.0, 1004: 280.0, 1005: 226.0}
 DEFAULT_NEAR, DEFAULT_FOCAL = 280.0, 30.0
 
@@ -14,15 +16,21 @@ def lens_position(focal: Column, distance: Column) -> Column:
     return F.when(distance.isNull() | (distance == float("inf")), focal).otherwise(1.0 / (1.0 / focal - 1.0 / distance))
 
 
-def block_places(names: DataFrame, focal: Column, near: Column, fstops: list[float]) -> DataFrame:
-    """(block, bx, by) from list names ``...Props_<stop index>_INF|MOD`` or ``...Props_<aperture>_<lens position>``."""
+def block_place(name: Column, focal: Column, near: Column, stops: Column) -> tuple[Column, Column]:
+    """Where a block lies, from its list's name ``...Props_<stop index>_INF|MOD`` or ``...Props_<aperture>_<lens position>``; null for others."""
     indexed = r"^SpatialGainsProps_(\d+)_(INF|MOD)$"
     plain = r"^SpatialGainsProps_([0-9.]+)_([0-9.]+)$"
+    index = F.nullif(F.regexp_extract(name, indexed, 1), F.lit("")).cast("int")
+    where = F.regexp_extract(name, indexed, 2)
+    bx = F.coalesce(1.0 / F.get(stops, index), 1.0 / F.nullif(F.regexp_extract(name, plain, 1), F.lit("")).cast("double"))
+    by = F.when(where == "INF", focal).when(where == "MOD", lens_position(focal, near)).otherwise(F.nullif(F.regexp_extract(name, plain, 2), F.lit("")).cast("double"))
+    return bx, by
+
+
+def block_places(names: DataFrame, focal: Column, near: Column, fstops: list[float]) -> DataFrame:
+    """(block, bx, by) of the lists whose names say a place."""
     stops = F.array([F.lit(float(s)) for s in fstops]) if fstops else F.array().cast("array<double>")
-    index = F.nullif(F.regexp_extract("name", indexed, 1), F.lit("")).cast("int")
-    where = F.regexp_extract("name", indexed, 2)
-    bx = F.coalesce(1.0 / F.get(stops, index), 1.0 / F.nullif(F.regexp_extract("name", plain, 1), F.lit("")).cast("double"))
-    by = F.when(where == "INF", focal).when(where == "MOD", lens_position(focal, near)).otherwise(F.nullif(F.regexp_extract("name", plain, 2), F.lit("")).cast("double"))
+    bx, by = block_place(F.col("name"), focal, near, stops)
     return names.select(F.col("name").alias("block"), bx.alias("bx"), by.alias("by")).where("bx is not null and by is not null")
 
 
@@ -72,3 +80,64 @@ def gain_source(merged: DataFrame, preset: DataFrame, plain: DataFrame) -> DataF
     rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
     first = rows.groupBy("path").agg(F.min("_p").alias("_p"))
     return rows.join(first, ["path", "_p"]).select("path", "g.*")
+
+
+def _whole(e: Column, name: Column, sides: int, field: str) -> Column:
+    """A matrix with so many sides and numbers of the wanted type, or null."""
+    m = metadata.entry_in(e, "matrix", name)
+    return F.when((F.size(m["dims"]) == sides) & m[field].isNotNull(), m)
+
+
+def file_gains(entries: DataFrame, properties: DataFrame, preset: str) -> DataFrame:
+    """(path, channel, rows, columns, gains array<float>): the spatial gain of each file that has any.
+
+    First the calibration blocks around the shot's aperture and lens position, merged by weights; else the table of the preset; else
+    the plain one. Lookups are expressions over one array a file; only blocks and their cells become rows.
+    """
+    prop = lambda *names: metadata.property_named(properties, *names)
+    e = F.col("e")
+    number = lambda n, field: F.get(metadata.numbers_in(e, n, 1, field), F.lit(0))
+    df = metadata.gather(entries).join(prop("APERTURE", "Aperture").withColumnRenamed("value", "_a"), "path", "left").join(prop("FLENGTH").withColumnRenamed("value", "_f"), "path", "left")
+    near = F.lit(DEFAULT_NEAR)
+    for code, limit in NEAR_LIMITS.items():
+        near = F.when(number("LensInformation", "i64") == code, limit).otherwise(near)
+    df = df.withColumns({
+        "aperture": F.coalesce(number("CaptureAperture", "f64"), F.expr("try_cast(_a as double)")), "focal": F.coalesce(F.expr("try_cast(_f as double)"), F.lit(DEFAULT_FOCAL)),
+        "near": near, "distance": number("ObjectDistance", "f64") * 10.0, "stops": F.coalesce(metadata.entry_in(e, "matrix", "SpatialGain_Fstop")["f64"], F.array().cast("array<double>")),
+    })
+    item = lambda props, key: F.get(F.filter(props, lambda x: x["name"] == key), F.lit(0))["value"]
+    lists = F.filter(e, lambda x: (x["kind"] == "props") & x["name"].startswith("SpatialGainsProps_"))
+    blocks = df.where("aperture is not null").select("path", "e", "focal", "near", "stops", F.posexplode(lists).alias("idx", "b"))
+    bx, by = block_place(F.col("b.name"), F.col("focal"), F.col("near"), F.col("stops"))
+    channels = []
+    for k, c in enumerate("RGB"):
+        m = _whole(e, item(F.col("b.props"), f"GainsTable{c}"), 2, "i64")
+        side = lambda i, m=m: F.get(m["dims"], F.lit(i))["size"].cast("int")
+        text = lambda key, c=c: item(F.col("b.props"), f"{key}{c}")
+        # a number that can't be read counts as 0, one that is not there makes the block invalid
+        channels.append(F.struct(F.lit(k).cast("long").alias("channel"), side(0).alias("rows"), side(1).alias("columns"), m["i64"].alias("codes"), text("MinGains").alias("least"), text("Delta").alias("step")))
+    blocks = blocks.select("path", "idx", bx.alias("bx"), by.alias("by"), F.array(*channels).alias("channels")).where("bx is not null and by is not null")
+    blocks = blocks.where(F.forall("channels", lambda c: c["codes"].isNotNull() & c["least"].isNotNull() & c["step"].isNotNull()))
+    targets = df.where("aperture is not null").select("path", F.col("path").alias("target"), (1.0 / F.col("aperture")).alias("tx"), lens_position(F.col("focal"), F.col("distance")).alias("ty"))
+    weights = quadrant_weights(nearest_in_quadrants(targets, blocks.select("path", "idx", "bx", "by"), ["path"]), ["path", "target"])
+    parts = blocks.select("path", "idx", F.explode("channels").alias("c")).select("path", "idx", "c.*")
+    value = lambda name: F.coalesce(F.expr(f"try_cast({name} as double)"), F.lit(0.0)).alias(name)
+    codes = parts.select("path", "idx", "channel", value("least"), value("step"), F.posexplode("codes").alias("cell", "code"))
+    # the sides are those of the first quadrant's block; cells beyond them are not written
+    sides = weights.join(parts, ["path", "idx"]).groupBy("path", "channel").agg(F.min_by(F.struct("rows", "columns"), "q").alias("s")).select("path", "channel", "s.*").where("rows > 0 and columns > 0")
+    cells = merge_gain(weights, codes, ["path", "target"], ["path"]).join(sides, ["path", "channel"]).where("cell < rows * columns")
+    merged = cells.select("path", "channel", F.expr("cell div columns").cast("int").alias("r"), (F.col("cell") % F.col("columns")).cast("int").alias("c"), "gain")
+    table = item(metadata.entry_in(e, "props", "SpatialGainTables")["props"], preset)
+    other = [_cells(df.select("path", _whole(e, name, 3, "f64").alias("m"))) for name in (table, F.lit("SpatialGain"))]
+    found = gain_source(merged, *other)
+    row = F.struct("r", "c", "gain")
+    maps = found.groupBy("path", "channel").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("columns"), F.array_sort(F.collect_list(row)).alias("v"))
+    return maps.select("path", "channel", "rows", "columns", F.transform("v", lambda x: x["gain"].cast("float")).alias("gains"))
+
+
+def _cells(matrices: DataFrame) -> DataFrame:
+    """(path, channel, r, c, gain) of matrices ``m`` of rows x columns x channels."""
+    side = lambda i: F.get(F.col("m.dims"), F.lit(i))["size"].cast("int")
+    rows = matrices.where("m is not null").select("path", side(1).alias("_w"), side(2).alias("_n"), F.posexplode("m.f64").alias("at", "gain"))
+    place = rows.select("path", F.expr("at % _n").cast("long").alias("channel"), F.expr("at div _n div _w").cast("int").alias("r"), F.expr("at div _n % _w").cast("int").alias("c"), F.col("gain").cast("float").alias("gain"))
+    return place

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import matrix as mx
 from lamina.functions import pixel as px
-from lamina.operators import badpixels, denoise, geometry, levels, metadata, neighbourhood
+from lamina.operators import badpixels, denoise, gain, geometry, levels, metadata, neighbourhood
 from lamina.plans.develop import Options
 from lamina.sinks import images, text
 from lamina.sources import container
@@ -51,10 +51,10 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     nine = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(9)]
     df = df.withColumn("raw", F.when(F.col("illuminant").isNotNull() & F.col("own_correction").isNotNull(), F.array(*metadata.product(nine("own_correction"), nine("illuminant")))))
     df = df.withColumn("neutral", F.when(F.col("raw").isNotNull(), metadata.neutral_array(F.col("raw"))))
-    gain = F.coalesce("gains", F.transform("neutral", lambda x: 1.0 / x))
+    gains = F.coalesce("gains", F.transform("neutral", lambda x: 1.0 / x))
     for factor in ("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact"):
         f = metadata.numbers_in(e, factor, 3, "f64")
-        gain = F.zip_with(gain, F.coalesce(f, F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
+        gains = F.zip_with(gains, F.coalesce(f, F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
     modern = F.array(*metadata.product([F.lit(x) for x in mx.SRGB_TO_XYZ], nine("correction")))
     legacy = F.array(*[F.get("raw", F.lit(i)) * F.get("neutral", F.lit(i % 3)) for i in range(9)])
     layers = F.when(F.col("correction").isNotNull(), modern).when(F.col("raw").isNotNull(), legacy)
@@ -73,7 +73,7 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
     return df.select(
         F.col("path").alias("image_id"), "layout", "width", "height", "header_columns", "header_rows",
-        F.coalesce(gain, lit(levels.FALLBACK_GAIN)).alias("gain"), F.coalesce(layers, lit(mx.SRGB_TO_XYZ)).alias("layers"), max_raw.alias("max_raw"),
+        F.coalesce(gains, lit(levels.FALLBACK_GAIN)).alias("gain"), F.coalesce(layers, lit(mx.SRGB_TO_XYZ)).alias("layers"), max_raw.alias("max_raw"),
         dark.alias("dark"), clipped("active_area").alias("active"), "active_area", "keep", metadata.denoise_class(F.col("version"), F.col("model")).alias("denoise_class"),
     )
 
@@ -180,9 +180,12 @@ def develop_all(
     top_size: tuple[int, int] | None = None,
     cube: tuple[int, list] | None = None,
     bad: DataFrame | None = None,
+    linear: bool = False,
 ) -> DataFrame:
     """(image_id, y, x, r, g, b) in 16 bits for every file, each with its own levels, matrix, denoising class and crop.
 
+    With ``linear`` the values are linear sRGB, without exposure, tone and gamma.
+
     The median, denoising, the expansion of a top plane and the crop need the images' common ``size``; without it they are left out.
     The median is written inside each file's active area. An expanded image is cropped at its expanded size.
     """
@@ -210,6 +213,8 @@ def develop_all(
     inside = F.col("kept").isNull() | (F.col("x").between(F.col("kept.x0"), F.col("kept.x1")) & F.col("y").between(F.col("kept.y0"), F.col("kept.y1")))
     shown = shown.where(inside).withColumns({"x": F.col("x") - F.coalesce("kept.x0", F.lit(0)), "y": F.col("y") - F.coalesce("kept.y0", F.lit(0))})
     rgb = px.to_linear_srgb((F.col("b"), F.col("m"), F.col("t")), [F.get("matrix", F.lit(i)) for i in range(9)], F.col("bias"), (F.col("top_b"), F.col("top_m"), F.col("top_t")))
+    if linear:
+        return shown.select("image_id", "y", "x", *[c.cast("long").alias(n) for c, n in zip(rgb, "rgb", strict=True)])
     out = px.develop(tuple(c / 65535.0 for c in rgb), options.stops, options.tone, mx.GAMMAS[mx.space_name(options.colour_space)], cube)
     return shown.select("image_id", "y", "x", *[px.to_uint16(c).alias(n) for c, n in zip(out, "rgb", strict=True)])
 
@@ -240,8 +245,23 @@ def file_names(paths: DataFrame) -> DataFrame:
     return named.join(alike, "last").select("image_id", F.when(F.col("alike"), tagged).otherwise(F.col("last")).alias("name"))
 
 
+def dng_facts(files: DataFrame, cal: DataFrame, preset: str) -> DataFrame:
+    """What a DNG holds beside pixels, one row a file: name, layers, gain, model, area, exposure data and gain maps."""
+    entries, properties = container.metadata_rows(files), container.property_rows(files)
+    camera = metadata.camera_info(container.headers(files), properties, entries).toDF("image_id", "model", "serial", "preset").select("image_id", "model")
+    exif = metadata.exif_info(entries).withColumnRenamed("path", "image_id")
+    row = F.struct("channel", "rows", "columns", "gains")
+    maps = gain.file_gains(entries, properties, preset or "Auto").groupBy(F.col("path").alias("image_id")).agg(F.array_sort(F.collect_list(row)).alias("maps"))
+    a = [F.get("active_area", F.lit(i)) for i in range(4)]
+    area = F.when(F.col("active_area").isNotNull(), F.array(a[1], a[0], a[3] + 1, a[2] + 1)).alias("area")
+    df = cal.select("image_id", "layers", "gain", area).join(file_names(cal), "image_id")
+    for other in (camera, exif, maps):
+        df = df.join(other, "image_id", "left")
+    return df
+
+
 def convert(spark: SparkSession, source: str, target: str, kind: str, options: Options = Options(), cube: tuple[int, list] | None = None) -> DataFrame:
-    """Convert every container below ``source`` to ``kind`` (tiff, jpeg, ppm, meta) below ``target``; returns what was written.
+    """Convert every container below ``source`` to ``kind`` (dng, tiff, jpeg, ppm, meta) below ``target``; returns what was written.
 
     Files are told apart by their whole paths. The log tone curve needs a cube.
     """
@@ -273,12 +293,16 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
             own, ids = same.drop("top_width", "top_height"), same.select("image_id")
             quattro = r["layout"] == "quattro"
             of = lambda d: d.join(ids, "image_id", "left_semi")  # noqa: E731, B023
-            parts.append(develop_all(of(pixels), own, options, of(top) if quattro else None, (r["width"], r["height"]), (r["top_width"], r["top_height"]) if quattro else None, cube, of(bad)))
+            parts.append(develop_all(of(pixels), own, options, of(top) if quattro else None, (r["width"], r["height"]), (r["top_width"], r["top_height"]) if quattro else None, cube, of(bad), kind == "dng"))
         if not parts:
             raise ValueError("no raster that can be read")
         shown = reduce(DataFrame.unionByName, parts)
     if kind == "jpeg":
         shown = shown.withColumns({c: F.call_function("div", F.col(c), F.lit(257).cast("long")) for c in "rgb"})
+    if kind == "dng":
+        if options.unprocessed or options.top_only:
+            raise ValueError("a DNG holds developed pixels")
+        return images.write_dng(shown, dng_facts(files, cal, options.white_balance), target)
     named = shown.join(file_names(files.select(F.col("path").alias("image_id"))), "image_id")
     LOG.info("planned in %.2f s", time.time() - began)
     return images.write_images(named, target, kind, quality=options.quality, name="name")
@@ -298,7 +322,7 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("source")
     p.add_argument("target")
-    p.add_argument("--kind", default="tiff", choices=("tiff", "jpeg", "ppm", "meta"))
+    p.add_argument("--kind", default="tiff", choices=("dng", "tiff", "jpeg", "ppm", "meta"))
     for flag, name, kind, default in (("--cs", "colour_space", str, "sRGB"), ("--wb", "white_balance", str, "Auto"), ("--tm", "tone", str, "agx"), ("--quality", "quality", int, 98), ("--ev", "stops", float, 0.0)):
         p.add_argument(flag, dest=name, type=kind, default=default)
     p.add_argument("--cube", help="a .cube file for the log tone curve")

@@ -181,8 +181,11 @@ def gain_opcodes(maps: list[np.ndarray], area: tuple[int, int, int, int], rows:
     return out
 
 
-def dng(image: np.ndarray, preview: np.ndarray, layers: list[float], gain: list[float], model: str = "", black: float = 0.0, white: tuple[int, int, int] = (65535,) * 3, maps: list[np.ndarray] | None = None, baseline: float = 0.0) -> bytes:
-    """Linear DNG: directory 0 with an 8-bit preview, a sub-directory with the 16-bit raster, and profiles."""
+def dng(image: np.ndarray, preview: np.ndarray, layers: list[float], gain: list[float], model: str = "", black: float = 0.0, white: tuple[int, int, int] = (65535,) * 3, maps: list[np.ndarray] | None = None, baseline: float = 0.0, area: tuple[int, int, int, int] | None = None, exif: dict | None = None) -> bytes:
+    """Linear DNG: directory 0 with an 8-bit preview, a sub-directory with the 16-bit raster, and profiles.
+
+    ``area`` is the sensor's active area (top, left, bottom, right), to which gain maps relate. Exposure data goes to directory 0.
+    """
     rows, columns = image.shape[:2]
     strips = [image[a : a + STRIP_ROWS].astype("<u2").tobytes() for a in range(0, rows, STRIP_ROWS)]
     shown = preview.astype(np.uint8).tobytes()
@@ -191,10 +194,13 @@ def dng(image: np.ndarray, preview: np.ndarray, layers: list[float], gain: list[
     main.add(272, 2, model).add(50706, 1, bytes([1, 4, 0, 0])).add(50707, 1, bytes([1, 4, 0, 0])).add(50708, 2, model or "layered")
     main.add(50721, 10, _signed(mx.XYZ_TO_SRGB)).add(50723, 10, _signed(mx.calibration(gain))).add(50964, 10, _signed(mx.forward_camera(layers))).add(50778, 3, [21]).add(50728, 5, _rationals(mx.invert_components(gain)))
     main.add(50730, 10, _rationals([baseline])).add(50936, 2, PROFILES[0][0]).add(273, 4, [0]).add(330, 4, [0]).add(50933, 4, [0] * len(profiles))
+    for tag, kind, key in ((33434, 5, "exposure"), (33437, 5, "aperture"), (34855, 3, "iso")):
+        if exif and exif.get(key):
+            main.add(tag, kind, [int(exif[key]) & 0xFFFF] if kind == 3 else _rationals([exif[key]]))
     sub = Directory().add(254, 4, [0]).add(256, 4, [columns]).add(257, 4, [rows]).add(258, 3, [16] * 3).add(259, 3, [1]).add(262, 3, [34892]).add(277, 3, [3]).add(278, 4, [STRIP_ROWS]).add(284, 3, [1])
     sub.add(279, 4, [len(s) for s in strips]).add(273, 4, [0] * len(strips)).add(50714, 5, [(round(black * 65536), 65536)] * 3).add(50717, 4, list(white)).add(50829, 4, [0, 0, rows, columns])
     if maps:
-        sub.add(51009, 7, gain_opcodes(maps, (0, 0, rows, columns), rows, columns))
+        sub.add(51009, 7, gain_opcodes(maps, area or (0, 0, rows, columns), rows, columns))
     at = 8 + main.size()
     main.add(273, 4, [at])
     at += len(shown) + len(shown) % 2
@@ -209,6 +215,50 @@ def dng(image: np.ndarray, preview: np.ndarray, layers: list[float], gain: list[
     return b"II*\0" + struct.pack("<I", 8) + main.pack(8) + even(shown) + b"".join(map(even, profiles)) + sub.pack(at) + b"".join(strips)
 
 
+def block_preview(image: np.ndarray, most: int = 300) -> np.ndarray:
+    """8-bit preview of a 16-bit image: block means, colour matrix, sRGB curve, a clip that keeps the channels' proportions."""
+    k = max(1, -(-image.shape[1] // most))
+    h, w = image.shape[0] // k, image.shape[1] // k
+    mean = image[: h * k, : w * k].reshape(h, k, w, k, 3).mean(axis=(1, 3))
+    unit = np.clip(mean / 65535.0, 0, 1) @ np.reshape(mx.XYZ_TO_SRGB, (3, 3)).T
+    curve = np.where(unit <= 0.0031308, 12.92 * unit, 1.055 * np.power(np.maximum(unit, 0.0031308), 1 / 2.4) - 0.055) * 255.0
+    peak = curve.max(axis=2, keepdims=True)
+    return np.floor(np.maximum(curve * np.where(peak > 255, 255.0 / np.maximum(peak, 1), 1.0), 0) + 0.5).astype(np.uint8)
+
+
+def write_dng(pixels: DataFrame, facts: DataFrame, folder: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id") -> DataFrame:
+    """One linear DNG for each image; returns (image, file, bytes).
+
+    ``facts`` has one row for each image: name, layers, gain, model, area (top, left, bottom, right or null), exposure, aperture, iso and
+    maps, an array of (rows, columns, gains) by channel. They meet the pixels in one group, so no pixel carries them.
+    """
+    ship(pixels.sparkSession)
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        if pdf.empty or own.empty:
+            return pd.DataFrame({group: [], "file": [], "bytes": []})
+        f = own.iloc[0]
+        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        image = np.zeros((h, w, 3), np.int64)
+        image[pdf["y"], pdf["x"]] = pdf[list(values)].to_numpy()
+        maps = [np.array(m["gains"], np.float32).reshape(m["rows"], m["columns"]) for m in (f["maps"] if f["maps"] is not None else [])]
+        maps = [m for m in maps if min(m.shape) > 1]
+        exif = {k: float(f[k]) for k in ("exposure", "aperture", "iso") if pd.notna(f[k])}
+        # gain maps relate to the active area; without one they are left out
+        area = None if f["area"] is None else tuple(int(v) for v in f["area"])
+        data = dng(image, block_preview(image), [float(v) for v in f["layers"]], [float(v) for v in f["gain"]], f["model"] or "", maps=maps if area else None, area=area, exif=exif)
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        with store.open_output_stream(f"{base}/{f['name']}.dng") as out:
+            out.write(data)
+        return pd.DataFrame({group: [f[group]], "file": [f"{f['name']}.dng"], "bytes": [len(data)]})
+
+    kind = pixels.schema[group].dataType.simpleString()
+    return pixels.groupBy(group).cogroup(facts.groupBy(group)).applyInPandas(run, f"{group} {kind}, file string, bytes long")
+
+
 def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id", quality: int = 98, name: str | None = None) -> DataFrame:
     """Write one file for each image below ``folder`` (a URI that every executor reaches); returns (image, file, bytes).
 

@@ -7,7 +7,7 @@ from encoder import container, list_entry, matrix_entry, metadata_section, prope
 from pyspark.sql import functions as F
 
 from lamina.functions import matrix as mx
-from lamina.operators import neighbourhood
+from lamina.operators import gain, neighbourhood
 from lamina.plans import convert as cv
 from lamina.plans.develop import Options
 from lamina.sources import container as ct
@@ -127,3 +127,51 @@ def test_cube_files():
     assert side == 2 and len(values) == 8 and values[3] == (3.0, 0.0, 0.5)
     with pytest.raises(ValueError):
         cv.read_cube("LUT_3D_SIZE 3\n0 0 0")
+
+
+def spatial(aperture):
+    """Four blocks around f/4 at a lens position of 30.5, each of one code everywhere, and what they merge to."""
+    out, names = b"", []
+    for k, (stop, place) in enumerate(((2.8, 30.0), (5.6, 30.0), (2.8, 31.0), (5.6, 31.0))):
+        names.append((1 / stop, place))
+        props = []
+        for c, n in (("R", 6), ("G", 4), ("B", 4)):
+            props += [(f"GainsTable{c}", f"T{k}{c}"), (f"MinGains{c}", "0.5"), (f"Delta{c}", "0.25")]
+            out += matrix_entry(f"T{k}{c}", 1, [2, n // 2], [k + 1 + i for i in range(n)], "<u4")
+        out += list_entry(f"SpatialGainsProps_{stop}_{place}", props)
+    return out + matrix_entry("CaptureAperture", 3, [1], [aperture], "<f4") + matrix_entry("ObjectDistance", 3, [1], [183.0], "<f4"), names
+
+
+def test_dng_with_gain_maps(spark, tmp_path):
+    import struct
+
+    more, places = spatial(4.0)
+    planes = [np.full((12, 16), 100) + RNG.integers(0, 900, (12, 16)) for _ in range(3)]
+    (tmp_path / "in").mkdir()
+    for name, extra in (("g", more), ("n", b"")):
+        data = container([(b"SECp", property_section([("CAMMODEL", "M")])), (b"SECi", true_section(planes)), (b"SECc", metadata_section(entries([2.0, 1.0, 0.5]) + extra, 2))])
+        (tmp_path / "in" / name).write_bytes(data)
+    files = ct.scan(spark, str(tmp_path / "in"))
+    got = {r["channel"]: r for r in gain.file_gains(ct.metadata_rows(files), ct.property_rows(files), "Auto").collect()}
+    tx, ty = 1 / 4.0, 1 / (1 / 30.0 - 1 / 1830.0)
+    xs, ys = sorted({p[0] for p in places}), sorted({p[1] for p in places})
+    wx = {xs[1]: (tx - xs[0]) / (xs[1] - xs[0]), xs[0]: (xs[1] - tx) / (xs[1] - xs[0])}
+    wy = {ys[1]: (ty - ys[0]) / (ys[1] - ys[0]), ys[0]: (ys[1] - ty) / (ys[1] - ys[0])}
+    for channel, n in ((0, 6), (1, 4), (2, 4)):
+        want = [sum(wx[x] * wy[y] * (0.5 + 0.25 * (k + 1 + i)) for k, (x, y) in enumerate(places)) for i in range(n)]
+        assert np.allclose(got[channel]["gains"], want, rtol=1e-6) and (got[channel]["rows"], got[channel]["columns"]) == (2, n // 2)
+    rows = {r["file"]: r["bytes"] for r in cv.convert(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", "dng", Options(tone="none", denoise=False)).collect()}
+    assert set(rows) == {"g.dng", "n.dng"} and rows["g.dng"] > rows["n.dng"]
+    data = (tmp_path / "out" / "g.dng").read_bytes()
+
+    def tags(at):
+        n = struct.unpack_from("<H", data, at)[0]
+        return {t: (k, c, v) for t, k, c, v in (struct.unpack_from("<HHII", data, at + 2 + 12 * i) for i in range(n))}
+
+    main = tags(8)
+    sub = tags(main[330][2])
+    assert data[:4] == b"II*\0" and sub[256][2] == 12 and sub[257][2] == 10 and 33437 in main and 51009 in sub
+    at = sub[51009][2]
+    assert struct.unpack_from(">I", data, at)[0] == 3 and struct.unpack_from(">I", data, at + 4)[0] == 9
+    with pytest.raises(ValueError):
+        cv.convert(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", "dng", Options(unprocessed=True))
