@@ -242,6 +242,8 @@ def received(keys: np.ndarray, owners: int, bits: dict[int, bytes]) -> np.ndarra
     """The bits that came back, for the distinct sorted keys that were sent."""
     own = owner_of(keys, owners)
     out = np.zeros(len(keys), bool)
+    if not len(keys):
+        return out
     order = np.argsort(own, kind="stable")
     o = own[order]
     at = np.nonzero(np.append(True, o[1:] != o[:-1]))[0] if len(o) else np.zeros(0, int)

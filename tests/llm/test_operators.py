@@ -529,3 +529,109 @@ def test_chunked_pooling_equals_whole(monkeypatch):
 
 def test_tables_survive(spark, docs):
     assert materialise(docs, "t").count() == len(documents())
+
+
+def test_shards_against_plain_integers(spark):
+    """The whole query against a permutation written with Python's integers."""
+    from lamina.llm.queries import op7_sharding
+
+    mask64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask64
+        return x ^ x >> 31
+
+    rows = op7_sharding(spark, "/root/testdata/sf0.01").collect()
+    n = len(rows)
+    half = -(-(n - 1).bit_length() // 2)
+    keys = [mix(r + 42 * 1000003) for r in range(1, shard.ROUNDS + 1)]
+
+    def place(x):
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for k in keys:
+                left, right = right, left ^ (mix(right ^ k) & (1 << half) - 1)
+            x = left << half | right
+            if x < n:
+                return x
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert sorted(r["row_no"] for r in rows) == list(range(n))
+    for r in rows:
+        p = place(r["row_no"])
+        assert (r["shard"], r["slot"]) == (p % 16, p // 16) and r["law"] == "rows" and r["grown_shard"] is None
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]]))
+
+
+def test_network_against_loops():
+    """Responses, pooling and the logistic layer written as loops over words."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Net.fresh(rng.normal(size=30) * 4)
+    docs = [rng.integers(0, 31, n).astype(np.int32) for n in (0, 1, 2, 9, 40)]
+    for d, got in zip(docs, net.logits(docs), strict=True):
+        padded = [net.emb[i] for i in d] + [net.emb[0]] * 4
+        features = []
+        for w, f, bias in zip(toxicity.WIDTHS, net.filters, net.bias, strict=True):
+            best = np.max([sum(padded[a + j] @ f[j] for j in range(w)) for a in range(max(1, len(d)))], axis=0)
+            features += list(np.maximum(best + bias, 0))
+        assert abs(float(np.array(features) @ net.out + net.out_bias[0]) - got) < 1e-4
+
+
+def test_squeezed_rows_give_the_same_response():
+    rng = np.random.default_rng(5)
+    net = toxicity.Net.fresh(rng.normal(size=9) * 4)
+    for _ in range(20):
+        d = (rng.integers(1, 10, 60) * (rng.random(60) < 0.1)).astype(np.int32)
+        short = toxicity.squeeze(d)
+        assert len(short) < len(d) and np.allclose(net.logits([d]), net.logits([short]), atol=1e-5)
+
+
+def test_samples_are_whole_and_bounded(spark):
+    rows = [(i, "x" * (50 if i % 4 else 400), "en") for i in range(200)] + [(8, "another", "en")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, y int")
+    found = learn.labelled_texts(docs, labels, "y", 30, 1000, lang_col="lang").collect()
+    texts = {(i, t) for i, t, _ in rows}
+    assert all((r["id"], r["text"]) in texts and zlib.crc32(str(r["id"]).encode()) % 3 != 1 for r in found)
+    assert len({r["id"] for r in found}) == len(found)
+    for y in (0, 1):
+        some = [r["text"] for r in found if r["y"] == y]
+        assert 0 < len(some) <= 30 and sum(map(len, some)) <= 1000
+    # the size of the sample grows with its bounds up to every row that may be learnt from
+    every = learn.labelled_texts(docs, labels, "y", 1000, 1 << 20).count()
+    assert every == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
+
+
+def test_scores_are_the_compressed_sizes(spark):
+    """Quality scores against plain zstandard calls with the model's dictionaries."""
+    texts = ["good words in a row " * 9, "", "zz zq zz", "good bad " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.QualityModel(b"good words in a row " * 20, b"zz zq bad " * 20, learn.Logistic(np.random.default_rng(1).normal(size=(40, 9)), np.arange(40) % 2.0))
+    got = {r["id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+
+    def size(dictionary, data):
+        plain = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(plain.compress(data))
+
+    for i, t in enumerate(texts):
+        g, b, n = size(model.good, t.encode()), size(model.bad, t.encode()), len(t.encode())
+        d, r, s = (b - g) / max(g, b), min(g, b) / max(n, 1), np.log1p(n)
+        assert abs(got[i] - model.curve(np.array([[d, r, s, d * s, r * s, r * r, d * r, s * s, d * d * np.sign(d)]]))[0]) < 1e-12
+
+
+def test_sql_of_operators(spark):
+    """The registered queries against their SQL over whole tables."""
+    import duckdb
+
+    from lamina.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        mine = QUERIES[name](spark, "/root/testdata/sf0.001")
+        names = sorted(mine.columns)
+        theirs = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        tidy = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        assert sorted(map(tidy, theirs)) == sorted(tidy(r[n] for n in names) for r in mine.collect()), name

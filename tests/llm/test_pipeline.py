@@ -122,3 +122,50 @@ def test_run_gives_every_kept_document(spark, stages):
     got = {r["doc_id"] for r in stages["packing"].select("doc_id").collect()}
     assert got == {r["doc_id"] for r in stages["substring_dedup"].select("doc_id").collect()}
     assert c.ORACLE_SQL is None and [n for n, _ in c.STAGES] == ["quality", "toxicity", "near_dedup", "substring_dedup", "packing"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, copies, and columns whose names the operators use."""
+    random.seed(12)
+    line = lambda n: " ".join(f"w{random.randint(0, 900)}" for _ in range(n))
+    long, passage = line(20000), line(60)
+    texts = [None, "", " \n", "one", line(40), line(40) + " " + passage, passage + " " + line(30), long, long, line(300), None]
+    rows = [(i, t, None if i % 3 == 0 else "en", "src", None if t is None else len(t), i, "k", 0.5, "r", 3) for i, t in enumerate(texts)]
+    rows += [(None, texts[9], None, None, 7, 1, "k", 0.1, "r", 4), (None, None, None, None, None, None, None, None, None, None), rows[4], rows[4], (6, line(50), "zz", "s", 5, 2, "k", 0.9, "q", 5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, key string, score double, row string, batch long")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in c.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    docs, stage = odd_documents(spark), dict(c.STAGES)[name]
+    rows = stage(spark, docs, SF).collect()
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0
+    before = sorted(map(str, docs.collect()))
+    if name != "packing":
+        assert rows == [] or list(rows[0].asDict()) == docs.columns
+        assert empty.columns == docs.columns
+    if name in ("quality", "toxicity"):
+        # rows are judged one by one by their text (and language): equal ones share their fate, and nothing is changed
+        kept = sorted(map(str, rows))
+        assert set(kept) <= set(before) and all(kept.count(r) == before.count(r) for r in kept)
+    elif name == "near_dedup":
+        texts = [r["text"] for r in rows]
+        assert sum(not (t or "").strip() for t in texts) == 1 and texts.count(docs.where("doc_id = 7").first()["text"]) == 1
+        assert {r["doc_id"] for r in rows if r["text"] and len(r["text"].split()) == 300} == {None}
+    elif name == "substring_dedup":
+        assert len(rows) == len(before)
+        source = {(str(r["doc_id"]), str(r["row"]), str(r["n_chars"])): r["text"] for r in docs.collect()}
+        for r in rows:
+            if r["text"] is None:
+                assert r["doc_id"] in (0, 10, None)
+            elif r["doc_id"] is None or r["doc_id"] in (4, 5, 7):
+                assert r["text"] in source.values()
+            assert r["text"] is None or r["doc_id"] is None or r["n_chars"] == len(r["text"])
+        lost = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (6, 8) and r["row"] == "r"}
+        assert lost[8] == "" and len(lost[6].split()) == 30
+    else:
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.collect())
+        assert all(r["length"] == 1 for r in rows if r["doc_id"] in (0, 1, 2, 10))
+        slots = [(r["bucket"], r["batch"], r["slot"]) for r in rows]
+        assert len(set(slots)) == len(slots)
