@@ -1,7 +1,8 @@
 """The binary container as DataFrames: header, sections, properties, metadata entries, planes and pixels.
 
 Files come from Spark's own ``binaryFile`` reader, so any store that Spark reads will do; a file that is damaged
-gives no rows in the views that need the damaged part.
+gives no rows in the views that need the damaged part. The data source ``layered_raw`` reads by range where ``pyarrow.fs`` reaches
+the store: a header or a directory costs a few hundred bytes of a file, however large.
 """
 
 from __future__ import annotations
@@ -353,6 +354,8 @@ def top_pixels(strips: DataFrame) -> DataFrame:
     return top.select("path", F.col("y").cast("long").alias("y"), F.posexplode("v").alias("x", "v")).select("path", "y", F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
 
 
+_HEADER_FIELDS = ("identifier", "version", "unique_id", "mark_bits", "columns", "rows", "rotation", "white_balance", "color_mode", "ext_types", "ext_data")
+_ENTRY_FIELDS = ("kind", "name", "text", "props", "matrix_type", "dims", "f64", "i64")
 VIEWS = {"header": HEADER_SCHEMA, "sections": SECTION_SCHEMA, "properties": PROPERTY_SCHEMA, "metadata": ENTRY_SCHEMA}
 
 
@@ -370,6 +373,54 @@ class ContainerSource(DataSource):
         return ContainerReader(self.options)
 
 
+class Ranges:
+    """A file's bytes by range: what a view asks for is read, and counted, nothing else."""
+
+    def __init__(self, source) -> None:
+        self.source, self.size, self.fetched = source, source.size(), 0
+
+    def __call__(self, at: int, n: int) -> bytes:
+        if not 0 <= at <= self.size:
+            return b""
+        self.source.seek(at)
+        data = self.source.read(min(n, self.size - at))
+        self.fetched += len(data)
+        return data
+
+    def directory(self) -> list[tuple[int, int, bytes]]:
+        """The section directory: the last four bytes, its head, its rows."""
+        end = self(self.size - 4, 4)
+        at = struct.unpack("<I", end)[0]
+        head = self(at, 12)
+        if head[:4] != DIRECTORY:
+            raise ValueError("no section directory")
+        n = struct.unpack_from("<I", head, 8)[0]
+        rows = self(at + 12, 12 * n)
+        return [struct.unpack_from("<II4s", rows, 12 * i) for i in range(n)]
+
+    def first(self, kinds: tuple[bytes, ...]) -> bytes | None:
+        """The bytes of the first section of one of the types."""
+        return next((self(o, n) for o, n, t in self.directory() if t in kinds), None)
+
+
+def view_rows(view: str, path: str, read: Ranges) -> Iterator[tuple]:
+    """The rows of a view of one file, from the bytes that it needs; a damaged file gives none."""
+    try:
+        if view == "header":
+            h = header(read(0, HEADER_BYTES))
+            yield (path, *[h[k] for k in _HEADER_FIELDS])
+        elif view == "sections":
+            yield from [(path, i, o, n, t.decode("latin-1")) for i, (o, n, t) in enumerate(read.directory())]
+        elif view == "properties":
+            found = read.first(PROPERTIES)
+            yield from [(path, i, n, v) for i, (n, v) in enumerate(properties(found))] if found else []
+        else:
+            found = read.first(METADATA)
+            yield from [(path, i, *[e[k] for k in _ENTRY_FIELDS]) for i, e in enumerate(entries(found))] if found else []
+    except (ValueError, struct.error, IndexError):
+        return
+
+
 class ContainerReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.view = options["path"], options.get("view", "header")
@@ -387,22 +438,8 @@ class ContainerReader(DataSourceReader):
 
         whole, at = partition.value
         store = fs.FileSystem.from_uri(whole)[0] if "://" in whole else fs.LocalFileSystem()
-        data = store.open_input_file(at).read()
-        try:
-            if self.view == "header":
-                h = header(data)
-                yield (at, h["identifier"], h["version"], h["unique_id"], h["mark_bits"], h["columns"], h["rows"], h["rotation"], h["white_balance"], h["color_mode"], h["ext_types"], h["ext_data"])
-            elif self.view == "sections":
-                yield from ((at, i, o, n, t.decode("latin-1")) for i, (o, n, t) in enumerate(directory(data)))
-            elif self.view == "properties":
-                for _, s in sections_of(data, PROPERTIES)[:1]:
-                    yield from ((at, i, n, v) for i, (n, v) in enumerate(properties(s)))
-            else:
-                for _, s in sections_of(data, METADATA)[:1]:
-                    for i, e in enumerate(entries(s)):
-                        yield (at, i, e["kind"], e["name"], e["text"], e["props"], e["matrix_type"], e["dims"], e["f64"], e["i64"])
-        except (ValueError, struct.error, IndexError):
-            return
+        with store.open_input_file(at) as source:
+            yield from view_rows(self.view, at, Ranges(source))
 
 
 def register(spark: SparkSession) -> None:

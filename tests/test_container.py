@@ -149,3 +149,20 @@ def test_missing_codes_and_short_data():
     assert codec.category_diffs(bytes([0b11111111]), table, 2).tolist() == [0, 0]
     assert codec.short_table(table)[0b11000000] == (2, -1)
     assert codec.mapped_diffs(b"\x80", [(1 << 27) | 1, (1 << 27) | 0], [5, -7 & 0xFFFF], 3).tolist() == [5, -7, -7]
+
+
+def test_views_read_what_they_need(tmp_path):
+    from pyarrow import fs
+
+    from lamina.sources import container as ct
+
+    raster = true_section([np.full((64, 64), 900) + np.random.default_rng(1).integers(0, 900, (64, 64)) for _ in range(3)])
+    data = container([(b"SECp", property_section([("A", "b")])), (b"SECi", raster), (b"SECc", metadata_section(text_entry("Note", "x"), 2))])
+    (tmp_path / "f").write_bytes(data)
+    fetched = {}
+    for view in ct.VIEWS:
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "f")) as source:
+            read = ct.Ranges(source)
+            assert list(ct.view_rows(view, "f", read))
+            fetched[view] = read.fetched
+    assert fetched["header"] == 616 and fetched["sections"] == 4 + 12 + 3 * 12 and max(fetched.values()) <= 616 < len(data) // 10
