@@ -171,6 +171,13 @@ def _window(cal: DataFrame, size: tuple[int, int]) -> F.Column:
     return F.coalesce(active, F.when(known, centre))
 
 
+def _cropped(pixels: DataFrame) -> DataFrame:
+    """The pixels inside their file's ``kept`` rectangle, moved to its corner; all where it is null."""
+    kept = F.col("kept")
+    inside = kept.isNull() | (F.col("x").between(kept["x0"], kept["x1"]) & F.col("y").between(kept["y0"], kept["y1"]))
+    return pixels.where(inside).withColumns({"x": F.col("x") - F.coalesce(kept["x0"], F.lit(0)), "y": F.col("y") - F.coalesce(kept["y0"], F.lit(0))})
+
+
 def develop_all(
     pixels: DataFrame,
     cal: DataFrame,
@@ -210,8 +217,7 @@ def develop_all(
     final = top_size or size
     kept = _window(per, final) if options.crop and final else F.lit(None).cast(_RECT)
     shown = done.join(per.select("image_id", "bias", "top_b", "top_m", "top_t", kept.alias("kept"), F.array(*matrix).alias("matrix")), "image_id")
-    inside = F.col("kept").isNull() | (F.col("x").between(F.col("kept.x0"), F.col("kept.x1")) & F.col("y").between(F.col("kept.y0"), F.col("kept.y1")))
-    shown = shown.where(inside).withColumns({"x": F.col("x") - F.coalesce("kept.x0", F.lit(0)), "y": F.col("y") - F.coalesce("kept.y0", F.lit(0))})
+    shown = _cropped(shown)
     rgb = px.to_linear_srgb((F.col("b"), F.col("m"), F.col("t")), [F.get("matrix", F.lit(i)) for i in range(9)], F.col("bias"), (F.col("top_b"), F.col("top_m"), F.col("top_t")))
     if linear:
         return shown.select("image_id", "y", "x", *[c.cast("long").alias(n) for c, n in zip(rgb, "rgb", strict=True)])
@@ -219,16 +225,29 @@ def develop_all(
     return shown.select("image_id", "y", "x", *[px.to_uint16(c).alias(n) for c, n in zip(out, "rgb", strict=True)])
 
 
-def preprocessed_map(pixels: DataFrame, cal: DataFrame, iso_scale: float = 1.0, size: int = 1024) -> DataFrame:
-    """(image_id, y, x, r, g, b): intermediate values through each file's matrix, scaled by ISO, and a sRGB table."""
+def preprocessed_map(pixels: DataFrame, cal: DataFrame, iso: DataFrame | None = None, size: int = 1024, cropped: bool = False) -> DataFrame:
+    """(image_id, y, x, r, g, b): intermediate values through each file's matrix, scaled by ISO, and a sRGB table.
+
+    ``iso`` has (image_id, scale), the shot's ISO over the sensor's; 1 where there is none. ``cropped`` keeps each file's active area.
+    """
     done, per, _ = preprocess_all(pixels, cal)
+    per = per.withColumn("scale", F.lit(1.0)) if iso is None else per.join(iso, "image_id", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
     m = metadata.product([F.lit(x) for x in mx.XYZ_TO_SRGB], [F.get("layers", F.lit(i)) for i in range(9)])
-    joined = done.join(per.select("image_id", "bias", "top_b", "top_m", "top_t", F.array(*[m[i] * F.get("gain", F.lit(i % 3)) * iso_scale for i in range(9)]).alias("matrix")), "image_id")
+    kept = F.col("active") if cropped else F.lit(None).cast(_RECT)
+    need = per.select("image_id", "bias", "top_b", "top_m", "top_t", kept.alias("kept"), F.array(*[m[i] * F.get("gain", F.lit(i % 3)) * F.col("scale") for i in range(9)]).alias("matrix"))
+    joined = _cropped(done.join(need, "image_id"))
     unit = [(F.col(c) - F.col("bias")) / (F.col(f"top_{c}") - F.col("bias")) for c in "bmt"]
     table = px.srgb_table(size, px.WHITE16)
     return joined.select("image_id", "y", "x", *[px.table_lookup(v, table).alias(n) for v, n in zip(px.apply_matrix([F.get("matrix", F.lit(i)) for i in range(9)], *unit), "rgb", strict=True)])
 
 
+def iso_scales(entries: DataFrame) -> DataFrame:
+    """(image_id, scale): the shot's ISO over the sensor's, where both are there."""
+    one = lambda n: F.get(metadata.numbers_in(F.col("e"), n, 1, "f64"), F.lit(0))
+    scale = F.when(one("SensorISO") > 0, one("CaptureISO") / one("SensorISO"))
+    return metadata.gather(entries).select(F.col("path").alias("image_id"), scale.alias("scale")).where("scale is not null")
+
+
 def top_map(top: DataFrame, sizes: DataFrame) -> DataFrame:
     """(image_id, y, x, r, g, b): the top plane as grey, black where it has no pixel; ``sizes`` has each file's width and height."""
     axis = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
@@ -245,19 +264,24 @@ def file_names(paths: DataFrame) -> DataFrame:
     return named.join(alike, "last").select("image_id", F.when(F.col("alike"), tagged).otherwise(F.col("last")).alias("name"))
 
 
-def dng_facts(files: DataFrame, cal: DataFrame, preset: str) -> DataFrame:
-    """What a DNG holds beside pixels, one row a file: name, layers, gain, model, area, exposure data and gain maps."""
+def image_facts(files: DataFrame) -> DataFrame:
+    """One row a file: image_id, the name of what is written of it, make, model, exposure data."""
     entries, properties = container.metadata_rows(files), container.property_rows(files)
     camera = metadata.camera_info(container.headers(files), properties, entries).toDF("image_id", "model", "serial", "preset").select("image_id", "model")
-    exif = metadata.exif_info(entries).withColumnRenamed("path", "image_id")
+    make = metadata.property_named(properties, "CAMMANUF").toDF("image_id", "make")
+    df = file_names(files.select(F.col("path").alias("image_id")))
+    for other in (camera, make, metadata.exif_info(entries).withColumnRenamed("path", "image_id")):
+        df = df.join(other, "image_id", "left")
+    return df
+
+
+def dng_facts(files: DataFrame, cal: DataFrame, preset: str) -> DataFrame:
+    """What a DNG holds beside pixels, one row a file: image_facts, layers, gain, area and gain maps."""
     row = F.struct("channel", "rows", "columns", "gains")
-    maps = gain.file_gains(entries, properties, preset or "Auto").groupBy(F.col("path").alias("image_id")).agg(F.array_sort(F.collect_list(row)).alias("maps"))
+    maps = gain.file_gains(container.metadata_rows(files), container.property_rows(files), preset or "Auto").groupBy(F.col("path").alias("image_id")).agg(F.array_sort(F.collect_list(row)).alias("maps"))
     a = [F.get("active_area", F.lit(i)) for i in range(4)]
     area = F.when(F.col("active_area").isNotNull(), F.array(a[1], a[0], a[3] + 1, a[2] + 1)).alias("area")
-    df = cal.select("image_id", "layers", "gain", area).join(file_names(cal), "image_id")
-    for other in (camera, exif, maps):
-        df = df.join(other, "image_id", "left")
-    return df
+    return cal.select("image_id", "layers", "gain", area).join(image_facts(files), "image_id").join(maps, "image_id", "left")
 
 
 def convert(spark: SparkSession, source: str, target: str, kind: str, options: Options = Options(), cube: tuple[int, list] | None = None) -> DataFrame:
@@ -266,7 +290,8 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
     Files are told apart by their whole paths. The log tone curve needs a cube.
     """
     began = time.time()
-    if kind != "meta" and not (options.unprocessed or options.top_only) and cube is None and options.tone.lower() not in ("none", "aces"):
+    plain = options.unprocessed or options.top_only or options.preprocessed
+    if kind != "meta" and not plain and cube is None and options.tone.lower() not in ("none", "aces"):
         LOG.warning("no cube for the tone curve %r: the aces curve is used", options.tone)
     files = container.scan(spark, source)
     if kind == "meta":
@@ -278,6 +303,9 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
     if options.top_only:
         sizes = container.plane_rows(files).where("plane = 2").select(F.col("path").alias("image_id"), F.col("columns").alias("width"), F.col("rows").alias("height"))
         shown = top_map(container.top_pixels(strips).withColumnRenamed("path", "image_id"), sizes)
+    elif options.preprocessed:
+        cal = calibrations(files, options.white_balance).cache()
+        shown = preprocessed_map(pixels, cal, iso_scales(container.metadata_rows(files)), cropped=options.crop)
     elif options.unprocessed:
         shown = pixels.select("image_id", "y", "x", F.col("b").alias("r"), F.col("m").alias("g"), F.col("t").alias("b"))
     else:
@@ -300,12 +328,11 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, options: O
     if kind == "jpeg":
         shown = shown.withColumns({c: F.call_function("div", F.col(c), F.lit(257).cast("long")) for c in "rgb"})
     if kind == "dng":
-        if options.unprocessed or options.top_only:
+        if plain:
             raise ValueError("a DNG holds developed pixels")
         return images.write_dng(shown, dng_facts(files, cal, options.white_balance), target)
-    named = shown.join(file_names(files.select(F.col("path").alias("image_id"))), "image_id")
     LOG.info("planned in %.2f s", time.time() - began)
-    return images.write_images(named, target, kind, quality=options.quality, name="name")
+    return images.write_images(shown, target, kind, quality=options.quality, facts=image_facts(files))
 
 
 def read_cube(text: str) -> tuple[int, list[tuple[float, float, float]]]:
@@ -328,7 +355,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--cube", help="a .cube file for the log tone curve")
     for flag, name in (("--no-denoise", "denoise"), ("--no-crop", "crop")):
         p.add_argument(flag, dest=name, action="store_false")
-    for flag, name in (("--unprocessed", "unprocessed"), ("--top", "top_only"), ("-v", "verbose")):
+    for flag, name in (("--unprocessed", "unprocessed"), ("--preprocessed", "preprocessed"), ("--top", "top_only"), ("-v", "verbose")):
         p.add_argument(flag, dest=name, action="store_true")
     a = vars(p.parse_args(argv))
     source, target, kind, cube = (a.pop(k) for k in ("source", "target", "kind", "cube"))

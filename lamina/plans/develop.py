@@ -23,12 +23,10 @@ class Options:
     denoise: bool = True
     stops: float = 0.0
     crop: bool = True
-    rescale: bool = True
-    compat: bool = True
     unprocessed: bool = False
+    preprocessed: bool = False
     top_only: bool = False
     verbose: bool = False
-    metadata_only: bool = False
 
     def __post_init__(self) -> None:
         if not 1 <= self.quality <= 100:

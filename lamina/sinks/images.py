@@ -245,10 +245,9 @@ def write_dng(pixels: DataFrame, facts: DataFrame, folder: str, values: tuple[st
         image[pdf["y"], pdf["x"]] = pdf[list(values)].to_numpy()
         maps = [np.array(m["gains"], np.float32).reshape(m["rows"], m["columns"]) for m in (f["maps"] if f["maps"] is not None else [])]
         maps = [m for m in maps if min(m.shape) > 1]
-        exif = {k: float(f[k]) for k in ("exposure", "aperture", "iso") if pd.notna(f[k])}
         # gain maps relate to the active area; without one they are left out
         area = None if f["area"] is None else tuple(int(v) for v in f["area"])
-        data = dng(image, block_preview(image), [float(v) for v in f["layers"]], [float(v) for v in f["gain"]], f["model"] or "", maps=maps if area else None, area=area, exif=exif)
+        data = dng(image, block_preview(image), [float(v) for v in f["layers"]], [float(v) for v in f["gain"]], f["model"] or "", maps=maps if area else None, area=area, exif=_exif(f))
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
         with store.open_output_stream(f"{base}/{f['name']}.dng") as out:
@@ -259,34 +258,41 @@ def write_dng(pixels: DataFrame, facts: DataFrame, folder: str, values: tuple[st
     return pixels.groupBy(group).cogroup(facts.groupBy(group)).applyInPandas(run, f"{group} {kind}, file string, bytes long")
 
 
-def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id", quality: int = 98, name: str | None = None) -> DataFrame:
-    """Write one file for each image below ``folder`` (a URI that every executor reaches); returns (image, file, bytes).
+def _exif(row: pd.Series) -> dict:
+    return {k: float(row[k]) for k in ("exposure", "aperture", "iso") if k in row and pd.notna(row[k])}
+
 
-    ``name`` is the column with the file's name, which must be the image's own; else the image's is used.
+def write_images(pixels: DataFrame, folder: str, kind: str, values: tuple[str, str, str] = ("r", "g", "b"), group: str = "image_id", quality: int = 98, facts: DataFrame | None = None) -> DataFrame:
+    """Write one file for each image below ``folder`` (a URI that every executor reaches); returns (image, file, bytes).
 
-    ``kind`` is tiff, jpeg or ppm. An image is one group: its size is bounded by the sensor.
+    ``kind`` is tiff, jpeg or ppm. An image is one group: its size is bounded by the sensor. ``facts``, if given, has one row for each
+    image: name (the file's, else the image's own), and for TIFF make, model, exposure, aperture and iso.
     """
     ship(pixels.sparkSession)
     if kind not in ("tiff", "jpeg", "ppm"):
         raise ValueError(f"unknown kind {kind}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(pdf: pd.DataFrame, own: pd.Series) -> pd.DataFrame:
         from pyarrow import fs
 
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
         image = np.zeros((h, w, 3), np.int64)
         image[pdf["y"], pdf["x"]] = pdf[list(values)].to_numpy()
         if kind == "tiff":
-            data = tiff16(image)
+            data = tiff16(image, own.get("make") or "", own.get("model") or "", _exif(own))
         elif kind == "jpeg":
             data = jpeg(image, quality)
         else:
             data = (f"P3\n{w} {h}\n65535\n" + "".join("%d %d %d \n" % tuple(p) for p in image.reshape(-1, 3).tolist())).encode()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
-        file = f"{pdf[name or group].iloc[0]}.{kind}"
+        file = f"{own.get('name') or pdf[group].iloc[0]}.{kind}"
         with store.open_output_stream(f"{base}/{file}") as out:
             out.write(data)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "file": [file], "bytes": [len(data)]})
 
-    return pixels.groupBy(group).applyInPandas(run, f"{group} {pixels.schema[group].dataType.simpleString()}, file string, bytes long")
+    schema = f"{group} {pixels.schema[group].dataType.simpleString()}, file string, bytes long"
+    if facts is None:
+        return pixels.groupBy(group).applyInPandas(lambda pdf: write(pdf, pd.Series(dtype=object)), schema)
+    none = pd.DataFrame({group: [], "file": [], "bytes": []})
+    return pixels.groupBy(group).cogroup(facts.groupBy(group)).applyInPandas(lambda pdf, own: none if pdf.empty else write(pdf, own.iloc[0] if len(own) else pd.Series(dtype=object)), schema)

@@ -49,12 +49,12 @@ def test_bad_pixels_from_metadata(spark, folder):
     assert got == {(5, 6), (4, 7), (3, 3), (8, 3), (9, 4), (9, 6)}
 
 
-@pytest.mark.parametrize(("kind", "options"), [("ppm", Options(tone="none", denoise=False)), ("tiff", Options(unprocessed=True)), ("jpeg", Options(quality=80)), ("meta", Options())])
+@pytest.mark.parametrize(("kind", "options"), [("ppm", Options(tone="none", denoise=False)), ("tiff", Options(unprocessed=True)), ("ppm", Options(preprocessed=True)), ("jpeg", Options(quality=80)), ("meta", Options())])
 def test_convert(spark, folder, tmp_path, kind, options):
     target = f"file://{tmp_path}/{kind}"
     rows = cv.convert(spark, str(folder), target, kind, options).collect()
     assert len(rows) == 2 and all(r["bytes"] > 0 for r in rows)
-    if kind == "ppm":
+    if kind == "ppm":  # both are cropped to the active area
         assert (tmp_path / "ppm" / "a.ppm").read_text().split("\n")[1] == "12 10"
 
 
@@ -175,3 +175,18 @@ def test_dng_with_gain_maps(spark, tmp_path):
     assert struct.unpack_from(">I", data, at)[0] == 3 and struct.unpack_from(">I", data, at + 4)[0] == 9
     with pytest.raises(ValueError):
         cv.convert(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", "dng", Options(unprocessed=True))
+
+
+def test_exposure_data_in_tiff(spark, tmp_path):
+    planes = [np.full((12, 16), 100) + RNG.integers(0, 900, (12, 16)) for _ in range(3)]
+    more = matrix_entry("CaptureAperture", 3, [1], [4.0], "<f4") + matrix_entry("CaptureISO", 3, [1], [400.0], "<f4") + matrix_entry("SensorISO", 3, [1], [100.0], "<f4")
+    data = container([(b"SECp", property_section([("CAMMODEL", "Model X")])), (b"SECi", true_section(planes)), (b"SECc", metadata_section(entries([1.0, 1.0, 1.0]) + more, 2))])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t").write_bytes(data)
+    files = ct.scan(spark, str(tmp_path / "in"))
+    assert [r["scale"] for r in cv.iso_scales(ct.metadata_rows(files)).collect()] == [4.0]
+    cv.convert(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", "tiff", Options(unprocessed=True)).collect()
+    written = (tmp_path / "out" / "t.tiff").read_bytes()
+    n = int.from_bytes(written[8:10], "little")
+    tags = {int.from_bytes(written[10 + 12 * i : 12 + 12 * i], "little") for i in range(n)}
+    assert 34665 in tags and b"Model X" in written
