@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import matrix as mx
-from lamina.operators import metadata
+from lamina.operators import gain, metadata
+from lamina.plans import convert
 from lamina.session import ship
 from lamina.sinks import container as writer
 from lamina.sources import container
@@ -403,3 +404,59 @@ def colour_spaces(spark, sf_dir):
     """The matrix from XYZ and the gamma of a named space; unknown names mean sRGB."""
     names = ["sRGB", "AdobeRGB", "none", "ProPhotoRGB", "other"]
     return _algebra(spark, sf_dir, lambda k, s: (mx.xyz_to_space(names[k % 5])[0], mx.GAMMAS[mx.space_name(names[k % 5])]), ["first", "gamma"])
+
+
+# Whole files' calibration, the top plane's map, spatial gain.
+_GAIN0 = "(1.0 + i % 8 / 8.0) * CASE WHEN i % 2 = 0 THEN 1.5 ELSE 1.0 END"
+_MAX0 = "CASE WHEN i % 4 = 0 THEN 1023 WHEN i % 4 = 2 THEN 4095 WHEN i % 4 = 3 THEN 8191 WHEN i % 3 <> 0 THEN 3000 + i % 9 ELSE 4000 + i % 9 END"
+
+
+@query(f"""WITH {_IMG} SELECT path, 'true' AS layout, 8 AS width, 8 AS height, CASE WHEN i % 4 < 3 THEN 64 + i % 10 END AS header_columns, {_GAIN0} AS gain0, {_MAX0} AS max0,
+CASE WHEN i % 3 <> 0 THEN round(0.4124564::DOUBLE + 0.1804375::DOUBLE * (i % 2), 9) ELSE 0.4124564::DOUBLE END AS layer0, CASE WHEN i % 4 = 3 THEN 'F23' WHEN i % 5 = 0 THEN 'F20' ELSE 'STD' END AS kind FROM img""", width="BIGINT", height="BIGINT")
+def file_calibrations(spark, sf_dir):
+    """One row a file, all lookups in one pass; what is missing takes the fallback."""
+    first = lambda c: F.get(c, F.lit(0))
+    return convert.calibrations(files(spark, sf_dir)).select(
+        F.col("image_id").alias("path"), "layout", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "header_columns",
+        first("gain").alias("gain0"), first("max_raw").alias("max0"), F.round(first("layers"), 9).alias("layer0"), F.col("denoise_class").alias("kind"),
+    )
+
+
+@query(f"""WITH {RASTER_SQL}, s AS (SELECT DISTINCT image_id FROM raster), g AS (SELECT image_id, y, x FROM s, range(9) a(y), range(10) b(x))
+SELECT g.image_id, g.y, g.x, coalesce(t, 0) AS r, coalesce(t, 0) AS g, coalesce(t, 0) AS b FROM g LEFT JOIN raster USING (image_id, y, x)""")
+def top_plane_map(spark, sf_dir):
+    """A plane as grey, black where the image is larger than it."""
+    whole = planes(spark, sf_dir)
+    top = whole.select("image_id", F.posexplode("t").alias("at", "v")).select("image_id", F.expr("cast(at div 8 as bigint)").alias("y"), (F.col("at") % 8).cast("long").alias("x"), "v")
+    return convert.top_map(top, whole.select("image_id", F.lit(10).alias("width"), F.lit(9).alias("height")))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 10.0 + event_id % 50 ELSE 1.0 / (1.0 / (10.0 + event_id % 50) - 1.0 / (1000.0 + event_id % 500)) END, 9) AS place FROM events", place="DOUBLE")
+def lens_place(spark, sf_dir):
+    """The image distance of a thin lens, the focal length at infinity."""
+    e = F.col("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    return events.select("event_id", F.round(gain.lens_position(10.0 + e % 50, F.when(e % 7 != 0, 1000.0 + e % 500)), 9).alias("place"))
+
+
+_LISTS = "CASE s_suppkey % 4 WHEN 0 THEN 'SpatialGainsProps_' || s_suppkey % 5 || '_INF' WHEN 1 THEN 'SpatialGainsProps_' || s_suppkey % 5 || '_MOD' WHEN 2 THEN 'SpatialGainsProps_5.6_3' || s_suppkey % 5 || '.5' ELSE 'Other_' || s_suppkey END"
+
+
+@query(f"""WITH n AS (SELECT s_suppkey AS k, {_LISTS} AS name FROM supplier)
+SELECT name AS block, round(1.0 / CASE WHEN k % 4 = 2 THEN 5.6 ELSE [2.0, 2.8, 4.0, 8.0][k % 5 + 1] END, 9) AS bx,
+round(CASE k % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 1.0 / (1.0 / 30.0 - 1.0 / 280.0) ELSE 30.5 + k % 5 END, 9) AS b_y FROM n WHERE k % 4 = 2 OR (k % 4 < 2 AND k % 5 < 4)""", bx="DOUBLE", b_y="DOUBLE")
+def gain_block_places(spark, sf_dir):
+    """Where calibration blocks lie, by the names of their lists; other lists and unknown stops give none."""
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_LISTS).alias("name"))
+    found = gain.block_places(names, F.lit(30.0), F.lit(280.0), [2.0, 2.8, 4.0, 8.0])
+    return found.select("block", F.round("bx", 9).alias("bx"), F.round("by", 9).alias("b_y"))
+
+
+@query("""WITH s AS (SELECT s_suppkey % 20 AS path, s_suppkey AS k FROM supplier), t AS (SELECT path, k, CASE WHEN path % 4 = 0 THEN 0 WHEN path % 3 = 0 THEN 1 ELSE 2 END AS first FROM s)
+SELECT path, k % 3 AS channel, k AS r, 0 AS c, CAST(first * 1000 + k AS DOUBLE) AS gain FROM t""", c="BIGINT")
+def gain_sources(spark, sf_dir):
+    """The first of three sources that a file has."""
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((k % 20).alias("path"), k)
+    of = lambda d, i: d.select("path", (k % 3).alias("channel"), k.alias("r"), F.lit(0).cast("long").alias("c"), (k + 1000 * i).cast("double").alias("gain"))
+    return gain.gain_source(of(s.where("path % 4 = 0"), 0), of(s.where("path % 3 = 0"), 1), of(s, 2))

@@ -115,7 +115,7 @@ def rect(entries: DataFrame, name: str) -> DataFrame:
     return vector(entries, name, 4, "i64")
 
 
-def _let(value: Column, fn) -> Column:
+def let(value: Column, fn) -> Column:
     """``fn`` of a value that is computed once, however often ``fn`` names it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
@@ -134,11 +134,11 @@ def neutral_array(raw: Column) -> Column:
         def divide(a: Column) -> Column:
             det = sum((at(m, k) * at(a, 3 * k) for k in range(3)), F.lit(0.0))
             inverse = lambda d, i: F.when(F.abs(d) < 1e-10, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise(at(a, i) / d)
-            return _let(det, lambda d: F.array(*[sum((inverse(d, 3 * i + k) * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]))
+            return let(det, lambda d: F.array(*[sum((inverse(d, 3 * i + k) * NEUTRAL_XYZ[k] for k in range(3)), F.lit(0.0)) for i in range(3)]))
 
-        return _let(adjugate, divide)
+        return let(adjugate, divide)
 
-    return _let(raw, solve)
+    return let(raw, solve)
 
 
 def neutral_of(raw: list[Column]) -> list[Column]:
@@ -161,7 +161,7 @@ def entry_in(e: Column, kind: str, name: Column | str) -> Column:
 
 def numbers_in(e: Column, name: Column | str, n: int, field: str = "i64", sizes: list[int] | None = None) -> Column:
     """The values of a matrix if it has ``n`` elements of the wanted type, and the sides if they are given, else null."""
-    return _let(entry_in(e, "matrix", name), lambda x: F.when((F.size(x[field]) == n) & _sides(x, sizes), x[field]))
+    return let(entry_in(e, "matrix", name), lambda x: F.when((F.size(x[field]) == n) & _sides(x, sizes), x[field]))
 
 
 def _sides(x: Column, sizes: list[int] | None) -> Column:
@@ -174,22 +174,28 @@ def preset_in(e: Column, lists: tuple[str, ...], preset: Column, n: int) -> Colu
 
     def one(name: str) -> Column:
         item = lambda props, p: F.get(F.filter(props, lambda x: x["name"] == p), F.lit(0))["value"]
-        found = _let(entry_in(e, "props", name)["props"], lambda props: F.coalesce(item(props, preset), F.when(preset == "Daylight", item(props, F.lit("Sunlight")))))
-        return _let(found, lambda m: numbers_in(e, m, n, "f64", [3, 3] if n == 9 else [n]))
+        found = let(entry_in(e, "props", name)["props"], lambda props: F.coalesce(item(props, preset), F.when(preset == "Daylight", item(props, F.lit("Sunlight")))))
+        return let(found, lambda m: numbers_in(e, m, n, "f64", [3, 3] if n == 9 else [n]))
 
     return first_of(*map(one, lists))
 
 
-def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
-    """(path, value array of three): the preset's gains, from one of three places, times the sensor, temperature
-    and aperture factors that are there. One pass over the entries."""
-    e, wanted = F.col("e"), F.lit(preset)
-    gains = preset_in(e, ("WhiteBalanceGains", "DP1_WhiteBalanceGains"), wanted, 3)
-    legacy = F.transform(neutral_array(_legacy_raw(e, wanted)), lambda x: 1.0 / x)
-    value = F.coalesce(gains, legacy)
+def gains_in(e: Column, preset: Column) -> Column:
+    """A preset's gains from one of three places in a gathered array, times the sensor, temperature and aperture factors that are there."""
+
+    def of(p: Column) -> Column:
+        legacy = F.transform(neutral_array(_legacy_raw(e, p)), lambda x: 1.0 / x)
+        return F.coalesce(preset_in(e, ("WhiteBalanceGains", "DP1_WhiteBalanceGains"), p, 3), legacy)
+
+    value = let(preset, of)
     for name in ("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact"):
         value = F.zip_with(value, F.coalesce(numbers_in(e, name, 3, "f64"), F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
-    return gather(entries).select("path", value.alias("value")).where("value is not null")
+    return value
+
+
+def white_balance_gain(entries: DataFrame, preset: str) -> DataFrame:
+    """(path, value array of three): ``gains_in`` of each file, in one pass over the entries."""
+    return gather(entries).select("path", gains_in(F.col("e"), F.lit(preset)).alias("value")).where("value is not null")
 
 
 def _legacy_raw(e: Column, preset: Column) -> Column:
@@ -197,7 +203,7 @@ def _legacy_raw(e: Column, preset: Column) -> Column:
     nine = lambda v: [F.get(v, F.lit(i)) for i in range(9)]
     ill, cor = (preset_in(e, (n,), preset, 9) for n in ("WhiteBalanceIlluminants", "WhiteBalanceCorrections"))
     both = F.struct(cor.alias("c"), ill.alias("i"))
-    return _let(both, lambda x: F.when(x["c"].isNotNull() & x["i"].isNotNull(), F.array(*product(nine(x["c"]), nine(x["i"])))))
+    return let(both, lambda x: F.when(x["c"].isNotNull() & x["i"].isNotNull(), F.array(*product(nine(x["c"]), nine(x["i"])))))
 
 
 def product(a: list[Column], b: list[Column]) -> list[Column]:
@@ -205,20 +211,27 @@ def product(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)]
 
 
-def layers_to_xyz(entries: DataFrame, preset: str) -> DataFrame:
-    """(path, value array of nine): sRGB's matrix times the preset's colour correction.
+def layers_in(e: Column, preset: Column) -> Column:
+    """sRGB's matrix times the preset's colour correction, as nine in an array.
 
-    Without a correction, the illuminant matrix with its own correction, scaled to a neutral white. One pass over the entries.
+    Without a correction, the illuminant matrix with its own correction, scaled to a neutral white.
     """
     from lamina.functions.matrix import SRGB_TO_XYZ
 
-    e, wanted = F.col("e"), F.lit(preset)
     nine = lambda v: [F.get(v, F.lit(i)) for i in range(9)]
-    correction = preset_in(e, ("WhiteBalanceColorCorrections", "DP1_WhiteBalanceColorCorrections"), wanted, 9)
-    modern = _let(correction, lambda c: F.when(c.isNotNull(), F.array(*product([F.lit(x) for x in SRGB_TO_XYZ], nine(c)))))
-    scaled = lambda m: _let(neutral_array(m), lambda n: F.array(*[F.get(m, F.lit(i)) * F.get(n, F.lit(i % 3)) for i in range(9)]))
-    legacy = _let(_legacy_raw(e, wanted), lambda m: F.when(m.isNotNull(), scaled(m)))
-    return gather(entries).select("path", F.coalesce(modern, legacy).alias("value")).where("value is not null")
+    scaled = lambda m: let(neutral_array(m), lambda n: F.array(*[F.get(m, F.lit(i)) * F.get(n, F.lit(i % 3)) for i in range(9)]))
+
+    def of(p: Column) -> Column:
+        correction = preset_in(e, ("WhiteBalanceColorCorrections", "DP1_WhiteBalanceColorCorrections"), p, 9)
+        modern = let(correction, lambda c: F.when(c.isNotNull(), F.array(*product([F.lit(x) for x in SRGB_TO_XYZ], nine(c)))))
+        return F.coalesce(modern, let(_legacy_raw(e, p), lambda m: F.when(m.isNotNull(), scaled(m))))
+
+    return let(preset, of)
+
+
+def layers_to_xyz(entries: DataFrame, preset: str) -> DataFrame:
+    """(path, value array of nine): ``layers_in`` of each file, in one pass over the entries."""
+    return gather(entries).select("path", layers_in(F.col("e"), F.lit(preset)).alias("value")).where("value is not null")
 
 
 def denoise_class(version: Column, model: Column) -> Column:

@@ -45,25 +45,15 @@ def calibrations(files: DataFrame, preset: str = "Auto") -> DataFrame:
     wanted = F.lit(preset) if preset else metadata.white_balance(one("WhiteBalance"), F.col("white_balance"))
     df = df.withColumns({"wanted": wanted, "camera": one("CAMERAID"), "depth": one("ImageDepth")})
     df = df.withColumns({n: metadata.numbers_in(e, k, 4) for n, k in (("keep", "KeepImageArea"), ("active_area", "ActiveImageArea"), ("top_dark", "DarkShieldTop"), ("bottom_dark", "DarkShieldBottom"), ("side", "DarkShieldColRange"))})
-    both = lambda n: (n, f"DP1_{n}")
-    presets = {"gains": (both("WhiteBalanceGains"), 3), "correction": (both("WhiteBalanceColorCorrections"), 9), "illuminant": (("WhiteBalanceIlluminants",), 9), "own_correction": (("WhiteBalanceCorrections",), 9)}
-    df = df.withColumns({k: metadata.preset_in(e, names, F.col("wanted"), n) for k, (names, n) in presets.items()})
-    nine = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(9)]
-    df = df.withColumn("raw", F.when(F.col("illuminant").isNotNull() & F.col("own_correction").isNotNull(), F.array(*metadata.product(nine("own_correction"), nine("illuminant")))))
-    df = df.withColumn("neutral", F.when(F.col("raw").isNotNull(), metadata.neutral_array(F.col("raw"))))
-    gains = F.coalesce("gains", F.transform("neutral", lambda x: 1.0 / x))
-    for factor in ("SensorAdjustmentGainFact", "TempGainFact", "FNumberGainFact"):
-        f = metadata.numbers_in(e, factor, 3, "f64")
-        gains = F.zip_with(gains, F.coalesce(f, F.array(*[F.lit(1.0)] * 3)), lambda a, b: a * b)
-    modern = F.array(*metadata.product([F.lit(x) for x in mx.SRGB_TO_XYZ], nine("correction")))
-    legacy = F.array(*[F.get("raw", F.lit(i)) * F.get("neutral", F.lit(i % 3)) for i in range(9)])
-    layers = F.when(F.col("correction").isNotNull(), modern).when(F.col("raw").isNotNull(), legacy)
-    has = lambda n: F.exists(e, lambda x: (x["kind"] == "props") & x["name"].isin(*both(n)))
+    gains, layers = metadata.gains_in(e, F.col("wanted")), metadata.layers_in(e, F.col("wanted"))
+    has = lambda n: F.exists(e, lambda x: (x["kind"] == "props") & x["name"].isin(n, f"DP1_{n}"))
     top = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth").cast("int")) - 1
     saturation = F.when(has("WhiteBalanceColorCorrections") & has("WhiteBalanceGains"), metadata.numbers_in(e, "RawSaturationLevel", 3)).otherwise(metadata.numbers_in(e, "SaturationLevel", 3))
     max_raw = F.coalesce(F.when(F.col("depth").isNotNull(), F.array(top, top, top)), saturation, F.array([F.lit(4095).cast("long")] * 3))
     size = (F.col("width"), F.col("height"))
-    clipped = lambda c: F.when(F.col(c).isNotNull() & F.col("keep").isNotNull(), geometry.clip_rect(_rect(df, c), _rect(df, "keep"), size))
+    four = lambda v: [F.get(v, F.lit(i)) for i in range(4)]
+    pair = lambda c: F.struct(F.col(c).alias("r"), F.col("keep").alias("k"))
+    clipped = lambda c: metadata.let(pair(c), lambda s: F.when(s["r"].isNotNull() & s["k"].isNotNull(), geometry.clip_rect(four(s["r"]), four(s["k"]), size)))
     keep_columns = F.get("keep", F.lit(2)) - F.get("keep", F.lit(0)) + 1
     scaled = lambda i: F.call_function("div", F.get("side", F.lit(i)) * F.col("width"), keep_columns)
     band = lambda i: F.when(F.col("side").isNotNull() & F.col("keep").isNotNull(), F.struct(scaled(i).alias("x0"), F.lit(0).cast("long").alias("y0"), scaled(i + 1).alias("x1"), (F.col("height") - 1).cast("long").alias("y1")))
