@@ -237,15 +237,6 @@ def plan_tables(distinct: int, bits: int, radius: int) -> list[list[int]]:
     return best[1]
 
 
-def sample_tables(distinct: int, bits: int, radius: int = 42, miss: float = 0.005, seed: int = 7) -> list[list[int]]:
-    """Tables keyed by random bits, for radii too wide for blocks: as many as let a pair at ``radius`` miss all with a chance of ``miss`` at most."""
-    want = min(12, bits - radius, max(0, math.floor(math.log2(max(distinct, 1) / 256))))
-    meet = math.comb(bits - radius, want) / math.comb(bits, want)
-    tables = math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, want, replace=False).tolist()) for _ in range(tables)]
-
-
 _ROW = pa.schema([("bucket", pa.int64()), ("fp", pa.string())])
 _EDGE = pa.schema([("u", pa.string()), ("v", pa.string())])
 
@@ -353,19 +344,18 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return map_arrow(df.select(F.col(id_col).alias("id"), text_of(df, text_col).alias("text")), run, f"id {kind}, fp string")
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42, radius: int = 4, exact: bool = True) -> DataFrame:
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, seed: int = 42, radius: int = 4) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the least id reachable over links.
 
     Texts are lower-cased (A-Z), words are runs other than space and tab to carriage return. Fewer
     words than ``shingle`` give one shingle, no words (null, empty, blank) the fingerprint zero, which
     links like any other. Repeated rows share a component. A null id takes part but is never a
-    component's id unless it has no other. ``exact`` compares every pair that can be within
-    ``radius``; otherwise keys of random bits are used, whose recall tests/llm states.
+    component's id unless it has no other. Every pair that can be within ``radius`` is compared. No rows: no rows.
     """
     rows = materialise(simhash(df, id_col, text_col, shingle, words, seed), "fingerprints")
     firsts = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     distinct = firsts.count()
-    tables = plan_tables(distinct, 64 * words, radius) if exact else sample_tables(distinct, 64 * words, radius)
+    tables = plan_tables(distinct, 64 * words, radius)
     labels = components(links(firsts, tables, radius))
     joined = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = materialise(joined, "roots")
