@@ -191,8 +191,8 @@ class _Others(_Hashes):
 _hashes, _others = _Hashes(), _Others()
 
 
-def hash_words(text: bytes, hashes: _Hashes = _hashes) -> np.ndarray:
-    parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
+def hash_words(text: bytes) -> np.ndarray:
+    parts = [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -399,10 +399,16 @@ def _windows(got: Batch, texts: list[bytes], owners: int, seed):
     starts = windows[shared[of]]
     place = got.doc_of(starts)
     docs = got.ids[place]
-    # the second hash is made for documents with candidates only
-    other = np.zeros_like(got.words)
+    # the second hash is made for the words of candidates only
+    cover = np.zeros(len(got.words) + 1, np.int32)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + WINDOW, -1)
+    needed, other = np.cumsum(cover[:-1]) > 0, np.zeros_like(got.words)
     for i in np.unique(place):
-        other[got.starts[i] : got.ends[i]] = hash_words(texts[got.index[i]], _others)
+        a, e = got.starts[i], got.ends[i]
+        words = [w for part in word_lists(texts[got.index[i]]) for w in part]
+        at = np.nonzero(needed[a:e])[0]
+        other[a + at] = np.fromiter(map(_others.__getitem__, map(words.__getitem__, at.tolist())), np.uint64, len(at))
     keys = np.stack([window_hashes(got.words)[starts], window_hashes(other)[starts]], axis=1) if len(starts) else np.zeros((0, 2), np.uint64)
     return starts, docs, *distinct_keys(keys, docs)
 

@@ -295,13 +295,18 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, by: str, counts: DataFra
     """``rows`` with ``one``, which has one row for each ``key``. The rows of a frequent key are dealt by ``by`` over as
     many copies of its one row as its count asks for. ``counts`` has the keys' counts, if they are known.
 
-    A key is frequent with a quarter of what a task should have, so there are at most four for each task.
+    A key is frequent with a quarter of what a task should have, so there are at most four for each task. Without any, this
+    is a plain join.
     """
     spark = rows.sparkSession
     counts = rows.groupBy(key).count() if counts is None else counts
-    room = max(500, (counts.agg(F.sum("count")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    often = counts.where(F.col("count") > room).select(key, F.ceil(F.col("count") / room).cast("int").alias("_n"))
-    salted = lambda df: df.join(F.broadcast(often), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    room = max(500, (total or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if (most or 0) <= room:
+        return rows.join(one, key)
+    hot = counts.where(F.col("count") > room).select(key, F.ceil(F.col("count") / room).cast("int").alias("_n")).collect()
+    often = F.broadcast(spark.createDataFrame(hot, f"{key} {rows.schema[key].dataType.simpleString()}, _n int"))
+    salted = lambda df: df.join(often, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     left = salted(rows).withColumn("_s", F.pmod(F.xxhash64(by), F.col("_n").cast("long")).cast("int")).drop("_n")
     right = salted(one).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return left.join(right, [key, "_s"]).drop("_s")
