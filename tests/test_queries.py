@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lamina import container_queries, queries
@@ -22,7 +23,7 @@ def duck():
 def test_same_rows(spark, duck, name):
     a, b = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE_SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
-    rows = lambda d: sorted(tuple(None if v is None or v != v else float(v) if not isinstance(v, str) else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
+    rows = lambda d: [tuple(None if pd.isna(v) else float(v) if not isinstance(v, str) else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False)]
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(rows(a), key=key) == sorted(rows(b), key=key)
 
