@@ -7,8 +7,9 @@ planes of 64 pairs at once, and rows whose lanes have all passed the radius are
 block of a bucket returns a spanning forest of its links, never its pairs, and star contraction
 joins the forests into components.
 
-The likeness search of the pipeline proposes pairs by bands of minimum hashes and decides by the exact
-shingle sets.
+The likeness search of the pipeline compares 256-bit fingerprints of shingle sets in the same way, at a radius so wide
+that no likely pair is lost, in buckets of fingerprint bits and of bands of minimum hashes; the exact
+shingle sets decide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ LIKE = (4, 5)
 BANDS, BAND_ROWS = 24, 5
 #: Sets in a block of a bucket.
 SET_BLOCK = 1024
+#: 64-bit words in the fingerprint of a shingle set, and the bits in which those of two that are compared further may differ:
+#: a pair of sets with a likeness of 0.8 differs in more with a chance of 3e-11 at most (5 shingles against 4 of them).
+SET_WORDS, SET_RADIUS = 4, 92
+#: Bits in which fingerprints of sets with a likeness of 0.8 differ on average, and the part of such pairs that may share no bucket of bits.
+SET_BITS, SET_MISS = 39, 0.01
 #: Rounds in which texts meet leaders before all other pairs are compared.
 ROUNDS = 3
 #: Hashes gathered before they are counted.
@@ -237,6 +243,16 @@ def plan_tables(distinct: int, bits: int, radius: int) -> list[list[int]]:
     return best[1]
 
 
+def sample_tables(distinct: int, bits: int, differ: int, miss: float, seed: int = 7) -> list[list[int]]:
+    """Tables keyed by random bits, for radii too wide for blocks: buckets of at most a thousand on average, and as many tables as let two
+    fingerprints that differ in ``differ`` bits share no bucket with a chance of ``miss`` at most, whatever their number."""
+    want = min(bits - differ, max(0, math.floor(math.log2(max(distinct, 1) / 512))))
+    meet = math.comb(bits - differ, want) / math.comb(bits, want)
+    tables = math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(bits, want, replace=False).tolist()) for _ in range(tables)]
+
+
 _ROW = pa.schema([("bucket", pa.int64()), ("fp", pa.string())])
 _EDGE = pa.schema([("u", pa.string()), ("v", pa.string())])
 
@@ -386,16 +402,29 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(parts)]
 
 
+def set_fingerprint(shingles: np.ndarray, words: int = SET_WORDS) -> np.ndarray:
+    """The fingerprint of a set of shingle hashes, in 64-bit words; zero for the empty set."""
+    if not len(shingles):
+        return np.zeros(words, np.uint64)
+    counts = np.zeros((words, 64), np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        part = shingles[at : at + CHUNK]
+        for w in range(words):
+            counts[w] += bit_counts(mix64(part + np.uint64(w * _STEP % 2**64)) if w else part, np.zeros(1, np.int64))[0]
+    return np.packbits(2 * counts > len(shingles), axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _sketches(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, bands = [], []
+            names, prints, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, k, seed)
                 names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+                prints.append(set_fingerprint(found).tobytes())
                 bands.append(band_keys(found))
-            schema = pa.schema([("id", batch.schema.field(0).type), ("name", pa.string()), ("bands", pa.list_(pa.int64()))])
-            yield batch_of(schema, id=batch.column(0), name=names, bands=bands)
+            schema = pa.schema([("id", batch.schema.field(0).type), ("name", pa.string()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+            yield batch_of(schema, id=batch.column(0), name=names, fp=prints, bands=bands)
 
     return run
 
@@ -449,7 +478,7 @@ def _leader_pairs(places: DataFrame, labels: DataFrame | None, turn: int) -> Dat
     return often.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
 
 
-def block_links(names: list[str], roots: list[str], sides: list[bool], sets: list[np.ndarray]) -> list[tuple[str, str]]:
+def block_links(names: list[str], roots: list[int], sides: list[bool], sets: list[np.ndarray]) -> list[tuple[str, str]]:
     """Links between alike sets of different components, of two sides if there are two, that connect all such sets."""
     top, bottom = LIKE
     label = np.unique(roots, return_inverse=True)[1]
@@ -492,38 +521,132 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _rest_links(places: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) of alike names that share a bucket of ``places`` (bucket, name) and lie in different components."""
+_PLACE = [("bucket", pa.int64()), ("name", pa.string()), ("fp", pa.binary()), ("root", pa.int64())]
+
+
+def _bit_places(tables: list[list[int]]):
+    """Rows (name, fp, root) to a row (bucket, name, fp, root) for each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, fp, root = batch.columns
+            fps = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            for t, positions in enumerate(tables):
+                bits = np.full((len(fps), 1), t, np.uint64)
+                if positions:
+                    at = np.array(positions, np.uint64)
+                    bits = np.concatenate([bits, fps[:, at // 64] >> at % np.uint64(64) & np.uint64(1)], axis=1)
+                key = np.zeros(len(fps), np.uint64)
+                for column in bits.T:
+                    key = mix64(key + column + np.uint64(_STEP))
+                yield batch_of(pa.schema(_PLACE), bucket=key.view(np.int64), name=name, fp=fp, root=root)
+
+    return run
+
+
+def near_rows(left: np.ndarray, right: np.ndarray | None, roots: np.ndarray, radius: int, step: int = 256) -> np.ndarray:
+    """Which fingerprints have one of another root within ``radius``: inside ``left``, or between ``left`` and ``right``.
+
+    Rows and their ``roots`` are numbered through left, then right. Rows of the most frequent root are not compared with each other.
+    """
+    own = right is None
+    other = left if right is None else right
+    shift = 0 if own else len(left)
+    out = np.zeros(len(roots), bool)
+    values, at, count = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(values) < 2:
+        return out
+    asked = np.nonzero(at[: len(left)] != count.argmax())[0] if own else np.arange(len(left))
+    planes = planes_of(other)
+    for some in (asked[i : i + step] for i in range(0, len(asked), step)):
+        rows, near = within_radius(left[some], planes, len(other), radius)
+        if len(rows):
+            hit = np.unpackbits(np.ascontiguousarray(near).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(other)].astype(bool)
+            hit &= roots[shift:][None, : len(other)] != roots[some[rows]][:, None]
+            out[some[rows]] |= hit.any(axis=1)
+            out[shift : shift + len(other)] |= hit.any(axis=0)
+    return out
+
+
+def _near(radius: int):
+    schema = pa.schema([("pair", pa.int64()), ("name", pa.string()), ("root", pa.int64()), ("side", pa.bool_())])
+
+    def solve(pair: int, rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[3])
+        names, prints, roots, sides = zip(*rows, strict=True)
+        fps, n = np.frombuffer(b"".join(prints), "<u8").reshape(len(rows), -1), len(rows) - sum(sides)
+        keep = np.nonzero(near_rows(fps[:n], fps[n:] if n < len(rows) else None, np.array(roots), radius))[0].tolist() if n else []
+        return batch_of(schema, pair=[pair] * len(keep), name=[names[i] for i in keep], root=[roots[i] for i in keep], side=[sides[i] for i in keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if len(held) > 1:
+                        yield solve(now, held)
+                    now, held = key, []
+                held.append(row)
+        if len(held) > 1:
+            yield solve(now, held)
+
+    return run
+
+
+def _near_places(places: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (pair, name, root, side) of names with a fingerprint within SET_RADIUS in a bucket, of another component.
+
+    Buckets are those of ``places`` (bucket, name) that hold two components and those of fingerprint bits, which take every
+    name of ``firsts`` (name, fp). A written table.
+    """
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = materialise(_rooted(firsts.select("name", "fp"), labels).select("name", "fp", F.xxhash64("root").alias("root")), "named")
     rows = materialise(_rooted(places, labels), "rooted")
-    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
-    rows = join_hot(rows, mixed.select("bucket", F.ceil(F.col("c") / SET_BLOCK).cast("int").alias("s")), "bucket", "name")
+    mixed = rows.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("bucket")
+    bands = join_hot(rows, mixed, "bucket", "name").select("bucket", "name").join(named, "name").select("bucket", "name", "fp", "root")
+    tables = sample_tables(named.count(), 64 * SET_WORDS, SET_BITS, SET_MISS)
+    rows = bands.unionByName(map_arrow(named, _bit_places(tables), "bucket long, name string, fp binary, root long"))
+    large = rows.groupBy("bucket").count().where(F.col("count") > SET_BLOCK).select("bucket", F.ceil(F.col("count") / SET_BLOCK).cast("int").alias("s"))
+    rows = rows.join(large, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1)))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("name"), F.col("s")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     # block pairs as in ``links``
     pair = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
-    rows = rows.select(pair.alias("pair"), "name", "root", (F.col("i") > F.col("j")).alias("side")).join(sets, "name")
-    dealt = rows.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair").sortWithinPartitions("pair")
+    rows = rows.select(pair.alias("pair"), "name", "fp", "root", (F.col("i") > F.col("j")).alias("side"))
+    return materialise(map_arrow(rows.repartition(n, "pair").sortWithinPartitions("pair"), _near(SET_RADIUS), "pair long, name string, root long, side boolean"), "near_places")
+
+
+def _rest_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of alike names of different components in the block pairs of ``rows`` (pair, name, root, side)."""
+    dealt = rows.join(sets, "name").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair").sortWithinPartitions("pair")
     return map_arrow(dealt.select("pair", "name", "root", "side", "shingles"), _rest, "u string, v string")
 
 
 def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
     """(id, name, component_id, count) of each distinct shingle set of ``keyed`` (key, text): components over pairs whose shingle sets have a likeness of LIKE or more.
 
-    Buckets of minimum hashes only propose pairs; each pair is decided by both exact sets of 64-bit shingle
-    hashes. First texts meet leaders of their buckets, which connects large groups with few pairs; then all pairs
-    of a bucket that are not yet connected are compared, so nothing a bucket proposes is left out.
+    Fingerprints and minimum hashes only propose pairs; each pair is decided by both exact sets of 64-bit shingle
+    hashes. First texts meet leaders of their buckets of minimum hashes, which connects large groups with few pairs; then the
+    fingerprints of all pairs of a bucket, of minimum hashes or fingerprint bits, that are not yet connected are compared, and the
+    sets of those within SET_RADIUS.
     """
-    rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, bands array<long>"), "sketches")
-    firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "distinct")
+    rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, fp binary, bands array<long>"), "sketches")
+    firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     spread = firsts.select("name", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "name")
     shared = materialise(spread.groupBy("bucket").count().where("count > 1"), "buckets")
     places = materialise(join_hot(spread, shared.select("bucket"), "bucket", "name", shared), "places")
-    wanted = places.select("name").distinct().join(firsts, "name").select("name", F.col("first").alias("key"))
-    texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
-    sets = materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        wanted = names.join(firsts, "name").select("name", F.col("first").alias("key"))
+        texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+        return materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
+
+    sets = sets_of(places.select("name").distinct())
     near = materialise(_alike_pairs(_leader_pairs(places, None, 0), sets), "near")
     for i in range(1, ROUNDS):
         near = near.unionByName(materialise(_alike_pairs(_leader_pairs(places, components(near), i), sets), "near"))
-    more = materialise(_rest_links(places, components(near), sets), "more")
+    close = _near_places(places, firsts, components(near))
+    sets = sets.unionByName(sets_of(close.select("name").distinct().join(sets.select("name"), "name", "left_anti")))
+    more = materialise(_rest_links(close, sets), "more")
     labels = components(near.unionByName(more))
     joined = materialise(_rooted(firsts.select("name", "first"), labels), "roots")
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -534,8 +657,9 @@ def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> D
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the least id, then text hash.
 
-    Texts are linked exactly if their sets of five-word shingles have a Jaccard likeness of 0.8 or more; a
-    pair at 0.8 is proposed with a chance of 0.9999, a likelier one with more, whatever the number of texts.
+    Texts are linked exactly if their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Pairs are proposed by
+    fingerprints; one at 0.8 meets in a bucket of minimum hashes with a chance of 0.9999, a likelier one with more, and in one of
+    fingerprint bits besides, whatever the number of texts.
     Null and blank texts are one group. Rows with one id and text are copies; of those whose other columns differ the one with
     the least hash of all columns stays. No rows: no rows.
     """

@@ -96,6 +96,51 @@ def test_bands_propose_pairs_at_the_threshold():
     assert missed == 0
 
 
+@pytest.mark.parametrize("distinct", [5_000, 300_000, 10_000_000])
+def test_set_fingerprints_meet_at_the_threshold(distinct):
+    """Random pairs of sets with a likeness of exactly 0.8: all within the radius, nearly all in one bucket of bits whatever the number of sets."""
+    rng = np.random.default_rng(3)
+    tables = simhash.sample_tables(distinct, 64 * simhash.SET_WORDS, simhash.SET_BITS, simhash.SET_MISS)
+    far, met = [], 0
+    for _ in range(300):
+        both = rng.integers(0, 2**63, 80, dtype=np.uint64)
+        a, b = (simhash.set_fingerprint(np.unique(np.append(both, rng.integers(0, 2**63, 10, dtype=np.uint64)))) for _ in range(2))
+        differ = np.unpackbits((a ^ b).view(np.uint8), bitorder="little")
+        far.append(differ.sum())
+        met += any(not differ[t].any() for t in tables)
+    assert max(far) <= simhash.SET_RADIUS and abs(np.mean(far) - simhash.SET_BITS) < 2 and met > 0.95 * 300
+
+
+@pytest.mark.parametrize("split", [None, 0, 90])
+def test_near_rows_equal_popcount(split):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 20, 300)] ^ rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    roots = np.minimum(rng.integers(0, 12, 300), 6)
+    link = (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= 90) & (roots[:, None] != roots[None])
+    if split is not None:
+        side = np.arange(300) >= split
+        link &= side[:, None] != side[None]
+    found = simhash.near_rows(fps[:split], None if split is None else fps[split:], roots, 90, step=64)
+    assert (found == link.any(axis=1)).all() and (split == 0 or 0 < found.sum() < 300)
+
+
+def test_fingerprints_propose_without_bands(spark):
+    """No bucket of minimum hashes at all: fingerprint bits bring the alike sets together, the sets decide."""
+    rng = np.random.default_rng(6)
+    sets = {}
+    for i in range(700):
+        both = rng.integers(0, 2**63, 95, dtype=np.uint64)
+        for side in "ab":
+            sets[f"{i:04d}{side}"] = np.unique(np.append(both, rng.integers(0, 2**63, 5 if i % 2 else 40, dtype=np.uint64)))
+    firsts = spark.createDataFrame([(n, bytearray(simhash.set_fingerprint(x).tobytes())) for n, x in sets.items()], "name string, fp binary")
+    none = spark.createDataFrame([], "bucket long, name string")
+    near = simhash._near_places(none, firsts, spark.createDataFrame([], "node string, root string"))
+    found = simhash._rest_links(near, spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in sets.items()], "name string, shingles binary")).collect()
+    pairs = {tuple(sorted((r["u"], r["v"]))) for r in found}
+    assert pairs <= {(f"{i:04d}a", f"{i:04d}b") for i in range(1, 700, 2)} and len(pairs) > 0.98 * 350
+
+
 def test_blocks_of_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(2)
