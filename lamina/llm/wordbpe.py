@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Callable
 from concurrent.futures import Executor
+from functools import cached_property
 from typing import Any
 
 from tokenizers import Tokenizer
@@ -23,8 +24,8 @@ _ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: A word of more characters is cut in halves.
 LEAF = 4096
-#: Cached entries before a cache starts anew.
-CACHE = 300_000
+#: Cached entries before a cache starts anew; every worker process of an executor has caches of its own.
+CACHE = 1 << 16
 
 
 def _byte_letters() -> list[str]:
@@ -121,11 +122,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        self.bpe = Bpe(spec)
         self.form = form
-        self.specials = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_ids = {t.content: i for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())}
+        self.specials = re.compile("|".join(map(re.escape, self.special_ids)) or r"(?!)")
         letters = _byte_letters()
         self.letters = letters
         self.table = {b: letters[b] for b in range(256)}
@@ -161,6 +160,11 @@ class WordEncoder:
         self.word = word
         self.chunks = Chunks()
 
+    @cached_property
+    def bpe(self) -> Bpe:
+        """The rules, read when the first long word is met: most workers never need them."""
+        return Bpe(json.loads(self.tokenizer.to_str()))
+
     def plain(self, text: str) -> bool:
         """Whether the cached words give exactly what the library gives."""
         return not _ODD.search(text) and "<|" not in text

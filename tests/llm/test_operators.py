@@ -4,7 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -282,6 +285,23 @@ def _folder(spark):
     return work_path(spark, "test-tokens")
 
 
+def test_word_caches_are_small():
+    """A worker that meets 400,000 different words takes less than 110 MB for vocabulary and caches."""
+    code = """
+import public_tokenizers
+from lamina.llm import tokenfile
+from lamina.llm.wordbpe import encoder
+size = lambda field: next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith(field))
+before = size("VmRSS")
+enc = encoder(public_tokenizers.path("word_bpe_49k.json"), "u32", tokenfile._u32)
+for i in range(0, 400_000, 100):
+    enc.parts(" ".join("q" + "".join(chr(97 + int(c)) for c in str(j * 7919)) for j in range(i, i + 100)))
+print(size("VmHWM") - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 110 * 1024
+
+
 def test_damage_is_found(tmp_path):
     from pyarrow import fs
 
