@@ -128,9 +128,13 @@ def word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 def mix64(a: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), elementwise on uint64."""
     with np.errstate(over="ignore"):
-        a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return a ^ (a >> np.uint64(31))
+        x = a >> np.uint64(30)
+        x ^= a
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

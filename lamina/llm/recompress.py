@@ -158,9 +158,11 @@ class Batch:
         np.maximum.at(best, at, np.repeat(np.arange(len(order)), count))
         best = best[windows]
         bare = np.nonzero(best < 0)[0]
-        used, place = np.unique(best[best >= 0], return_inverse=True)
+        flag = np.zeros(len(order), bool)  # symbols that are a seed; their numbers are small, so nothing is sorted
+        flag[best[best >= 0]] = True
+        used = np.nonzero(flag)[0]
         seed = np.empty(len(windows), np.int64)
-        seed[best >= 0] = place
+        seed[best >= 0] = (np.cumsum(flag) - 1)[best[best >= 0]]
         seed[bare] = len(used) + np.arange(len(bare))
         own = window_hashes(self.words)[windows[bare]] if len(bare) else np.zeros(0, np.uint64)
         return np.concatenate([s.name[order[used]], own]), np.concatenate([s.lo[order[used]], windows[bare]]), windows, seed

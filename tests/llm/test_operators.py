@@ -203,6 +203,18 @@ def test_repeats_equal_brute_force(spark, docs, none):
     assert len(text) and all(r["kept"] == (r["text"] or "") for r in text.values() if not r["n_removed"]) and {r["row"] for r in text.values()} == {"r"}
 
 
+def test_seeds_are_found_without_sorting(monkeypatch):
+    """Seeds are numbered in order of their symbols; no sort of all windows is made for that."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 40, 3000).astype(np.uint64)
+    starts, ends = np.array([0, 5, 1200]), np.array([5, 1200, 3000])
+    batch = recompress.Batch(np.arange(3), np.arange(3), words, starts, ends)
+    monkeypatch.setattr(np, "unique", None)
+    names, places, windows, seed = batch.seeds()
+    assert len(windows) == len(seed) == 1195 - 12 + 1800 - 12 and (np.bincount(seed, minlength=len(names)) > 0).all()
+    assert ((windows <= places[seed]) & (places[seed] < windows + recompress.WINDOW)).all()
+
+
 def test_symbols_depend_only_on_their_stretch():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 5, 4000).astype(np.uint64)
