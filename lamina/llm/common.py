@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -17,8 +19,11 @@ from lamina.session import ship
 
 #: Groups into which rows are dealt for distributed ranks; fixed, so a rank depends on the rows alone.
 RANK_GROUPS = 4096
+#: Spark's switch for deleting a query's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +52,44 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and reread it: lineage ends here."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a Parquet table in the shared folder and reread it: lineage ends here.
+
+    The shuffle files of the write go with it.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1][id(table)] = table, path
+    return table
+
+
+@contextmanager
+def passing_tables() -> Iterator[Callable[..., None]]:
+    """Deletes the tables that ``materialise`` wrote inside, when it ends; gives a function that takes those to keep.
+
+    What is kept passes to the scope around, if there is one.
+    """
+    scopes = _scopes.open = getattr(_scopes, "open", [])
+    scopes.append({})
+    kept: set[int] = set()
+    try:
+        yield lambda *tables: kept.update(map(id, tables))
+    finally:
+        for key, (table, path) in scopes.pop().items():
+            if key in kept:
+                if scopes:
+                    scopes[-1][key] = table, path
+            else:
+                jvm, hadoop = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(hadoop).delete(at, True)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import batch_of, map_arrow, materialise, mix64, text_of, texts_in, word_lists
+from lamina.llm.common import batch_of, map_arrow, materialise, mix64, passing_tables, text_of, texts_in, word_lists
 
 #: Fingerprints in a block of a bucket; a larger bucket is compared block against block.
 BLOCK = 4096
@@ -43,6 +43,10 @@ SET_BITS, SET_MISS = 39, 0.01
 ROUNDS = 3
 #: Hashes gathered before they are counted.
 CHUNK = 1 << 17
+#: Links that one task joins into components; more go through rounds of contraction.
+FEW_LINKS = 1 << 16
+#: Large buckets whose table is broadcast; with more, the rows are joined with it by bucket.
+FEW_BUCKETS = 100_000
 
 #: Odd multipliers, one for each minimum hash.
 _MIXERS = np.random.default_rng(11).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -328,27 +332,55 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, by: str, counts: DataFra
     return left.join(right, [key, "_s"]).drop("_s")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to rows (node, root), all links in one task."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (up := above[x]) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            a, b = top(u), top(v)
+            above[max(a, b)] = min(a, b)
+    names = list(above)
+    for at in range(0, len(names), 10_000):
+        some = names[at : at + 10_000]
+        yield batch_of(pa.schema([("node", pa.string()), ("root", pa.string())]), node=some, root=list(map(top, some)))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v); root is the least node reachable.
 
-    Large-star and small-star rounds; each round is a written table. Ends when a round changes nothing.
+    Up to FEW_LINKS distinct edges are joined in one task. More go through large-star and small-star rounds; each round is a written
+    table. Ends when a round changes nothing.
     """
-    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = None
-    for _ in range(limit):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_hot(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "low")
-        mins = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_hot(low, mins, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where("u <> v").distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
+    with passing_tables() as keep:
+        edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        if edges.count() <= FEW_LINKS:
+            found = materialise(map_arrow(edges.repartition(1), _joined, "node string, root string"), "components")
+            keep(found)
+            return found
+        last = None
+        for _ in range(limit):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = join_hot(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            low = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "low")
+            mins = low.groupBy("u").agg(F.min("v").alias("m"))
+            small = join_hot(low, mins, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+            edges = materialise(small.where("u <> v").distinct(), "edges")
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+            if state == last:
+                break
+            last = state
+        else:
+            raise RuntimeError("components did not settle")
+        keep(edges)
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
@@ -544,15 +576,16 @@ def _bit_places(tables: list[list[int]]):
     return run
 
 
-def near_rows(left: np.ndarray, right: np.ndarray | None, roots: np.ndarray, radius: int, step: int = 256) -> np.ndarray:
-    """Which fingerprints have one of another root within ``radius``: inside ``left``, or between ``left`` and ``right``.
+def near_groups(left: np.ndarray, right: np.ndarray | None, roots: np.ndarray, radius: int, step: int = 256) -> np.ndarray:
+    """For each fingerprint the number of its group, -1 for none: groups are connected by pairs of different roots within ``radius``,
+    inside ``left``, or between ``left`` and ``right``.
 
     Rows and their ``roots`` are numbered through left, then right. Rows of the most frequent root are not compared with each other.
     """
     own = right is None
     other = left if right is None else right
     shift = 0 if own else len(left)
-    out = np.zeros(len(roots), bool)
+    out = np.full(len(roots), -1)
     values, at, count = np.unique(roots, return_inverse=True, return_counts=True)
     if len(values) < 2:
         return out
@@ -563,20 +596,40 @@ def near_rows(left: np.ndarray, right: np.ndarray | None, roots: np.ndarray, rad
         if len(rows):
             hit = np.unpackbits(np.ascontiguousarray(near).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(other)].astype(bool)
             hit &= roots[shift:][None, : len(other)] != roots[some[rows]][:, None]
-            out[some[rows]] |= hit.any(axis=1)
-            out[shift : shift + len(other)] |= hit.any(axis=0)
+            for i in np.nonzero(hit.any(axis=1))[0]:
+                group = np.append(np.nonzero(hit[i])[0] + shift, some[rows[i]])
+                known = np.unique(out[group])
+                if known[0] < 0:
+                    known = known[1:]
+                first = known[0] if len(known) else group[-1]
+                if len(known) > 1:
+                    out[np.isin(out, known[1:])] = first
+                out[group] = first
     return out
 
 
+def near_rows(left: np.ndarray, right: np.ndarray | None, roots: np.ndarray, radius: int, step: int = 256) -> np.ndarray:
+    """Which fingerprints have one of another root within ``radius``."""
+    return near_groups(left, right, roots, radius, step) >= 0
+
+
 def _near(radius: int):
     schema = pa.schema([("pair", pa.int64()), ("name", pa.string()), ("root", pa.int64()), ("side", pa.bool_())])
 
-    def solve(pair: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[3])
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        # by name, so that a group has one order and one number wherever it is found
+        rows.sort(key=lambda r: (r[3], r[0]))
         names, prints, roots, sides = zip(*rows, strict=True)
         fps, n = np.frombuffer(b"".join(prints), "<u8").reshape(len(rows), -1), len(rows) - sum(sides)
-        keep = np.nonzero(near_rows(fps[:n], fps[n:] if n < len(rows) else None, np.array(roots), radius))[0].tolist() if n else []
-        return batch_of(schema, pair=[pair] * len(keep), name=[names[i] for i in keep], root=[roots[i] for i in keep], side=[sides[i] for i in keep])
+        group = near_groups(fps[:n], fps[n:] if n < len(rows) else None, np.array(roots), radius) if n else np.full(len(rows), -1)
+        keep = np.nonzero(group >= 0)[0]
+        keep = keep[np.argsort(group[keep], kind="stable")]
+        cuts = np.nonzero(np.diff(group[keep], prepend=-1))[0]
+        pairs: list[int] = []
+        for part in np.split(keep, cuts[1:]):
+            said = "".join(f"{names[i]}{sides[i]:d}" for i in part)
+            pairs += [xxhash.xxh3_64_intdigest(said) - (1 << 63)] * len(part)
+        return batch_of(schema, pair=pairs, name=[names[i] for i in keep], root=[roots[i] for i in keep], side=[sides[i] for i in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -584,17 +637,18 @@ def _near(radius: int):
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     if len(held) > 1:
-                        yield solve(now, held)
+                        yield solve(held)
                     now, held = key, []
                 held.append(row)
         if len(held) > 1:
-            yield solve(now, held)
+            yield solve(held)
 
     return run
 
 
 def _near_places(places: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (pair, name, root, side) of names with a fingerprint within SET_RADIUS in a bucket, of another component.
+    """Rows (pair, name, root, side) of names with a fingerprint within SET_RADIUS in a bucket, of another component; a ``pair`` is
+    a group connected by such fingerprints, in two blocks or one, and comes once in however many buckets it is found.
 
     Buckets are those of ``places`` (bucket, name) that hold two components and those of fingerprint bits, which take every
     name of ``firsts`` (name, fp). A written table.
@@ -607,12 +661,14 @@ def _near_places(places: DataFrame, firsts: DataFrame, labels: DataFrame) -> Dat
     tables = sample_tables(named.count(), 64 * SET_WORDS, SET_BITS, SET_MISS)
     rows = bands.unionByName(map_arrow(named, _bit_places(tables), "bucket long, name string, fp binary, root long"))
     large = rows.groupBy("bucket").count().where(F.col("count") > SET_BLOCK).select("bucket", F.ceil(F.col("count") / SET_BLOCK).cast("int").alias("s"))
-    rows = rows.join(large, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    large = materialise(large, "large")
+    rows = rows.join(F.broadcast(large) if large.count() <= FEW_BUCKETS else large, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1)))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("name"), F.col("s")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     # block pairs as in ``links``
     pair = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
     rows = rows.select(pair.alias("pair"), "name", "fp", "root", (F.col("i") > F.col("j")).alias("side"))
-    return materialise(map_arrow(rows.repartition(n, "pair").sortWithinPartitions("pair"), _near(SET_RADIUS), "pair long, name string, root long, side boolean"), "near_places")
+    near = map_arrow(rows.repartition(n, "pair").sortWithinPartitions("pair"), _near(SET_RADIUS), "pair long, name string, root long, side boolean")
+    return materialise(near.distinct(), "near_places")
 
 
 def _rest_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -629,26 +685,28 @@ def likeness_components(keyed: DataFrame, shingle: int = 5, seed: int = 42) -> D
     fingerprints of all pairs of a bucket, of minimum hashes or fingerprint bits, that are not yet connected are compared, and the
     sets of those within SET_RADIUS.
     """
-    rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, fp binary, bands array<long>"), "sketches")
-    firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-    spread = firsts.select("name", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "name")
-    shared = materialise(spread.groupBy("bucket").count().where("count > 1"), "buckets")
-    places = materialise(join_hot(spread, shared.select("bucket"), "bucket", "name", shared), "places")
-
-    def sets_of(names: DataFrame) -> DataFrame:
-        wanted = names.join(firsts, "name").select("name", F.col("first").alias("key"))
-        texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
-        return materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
-
-    sets = sets_of(places.select("name").distinct())
-    near = materialise(_alike_pairs(_leader_pairs(places, None, 0), sets), "near")
-    for i in range(1, ROUNDS):
-        near = near.unionByName(materialise(_alike_pairs(_leader_pairs(places, components(near), i), sets), "near"))
-    close = _near_places(places, firsts, components(near))
-    sets = sets.unionByName(sets_of(close.select("name").distinct().join(sets.select("name"), "name", "left_anti")))
-    more = materialise(_rest_links(close, sets), "more")
-    labels = components(near.unionByName(more))
-    joined = materialise(_rooted(firsts.select("name", "first"), labels), "roots")
+    with passing_tables() as keep:
+        rows = materialise(map_arrow(keyed.select(F.col("key").alias("id"), "text"), _sketches(shingle, seed), f"id {keyed.schema['key'].dataType.simpleString()}, name string, fp binary, bands array<long>"), "sketches")
+        firsts = materialise(rows.groupBy("name").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+        spread = firsts.select("name", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "name")
+        shared = materialise(spread.groupBy("bucket").count().where("count > 1"), "buckets")
+        places = materialise(join_hot(spread, shared.select("bucket"), "bucket", "name", shared), "places")
+
+        def sets_of(names: DataFrame) -> DataFrame:
+            wanted = names.join(firsts, "name").select("name", F.col("first").alias("key"))
+            texts = keyed.join(wanted, "key").select("name", "text").dropDuplicates(["name"])
+            return materialise(map_arrow(texts, _sets(shingle, seed), "name string, shingles binary"), "sets")
+
+        sets = sets_of(places.select("name").distinct())
+        near = materialise(_alike_pairs(_leader_pairs(places, None, 0), sets), "near")
+        for i in range(1, ROUNDS):
+            near = near.unionByName(materialise(_alike_pairs(_leader_pairs(places, components(near), i), sets), "near"))
+        close = _near_places(places, firsts, components(near))
+        sets = sets.unionByName(sets_of(close.select("name").distinct().join(sets.select("name"), "name", "left_anti")))
+        more = materialise(_rest_links(close, sets), "more")
+        labels = components(near.unionByName(more))
+        joined = materialise(_rooted(firsts.select("name", "first"), labels), "roots")
+        keep(rows, joined)
     heads = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     copies = rows.groupBy("id").count()
     return join_hot(joined, heads, "root", "name").select(F.col("first").alias("id"), "name", "component_id").join(copies, "id")

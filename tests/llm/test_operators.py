@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -700,3 +701,45 @@ def test_sql_of_operators(spark):
         theirs = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
         tidy = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
         assert sorted(map(tidy, theirs)) == sorted(tidy(r[n] for n in names) for r in mine.collect()), name
+
+
+def test_work_tables_and_shuffle_files_go(spark, tmp_path, monkeypatch):
+    from lamina.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}_{j}" for j in range(40 + i % 3))) for i in range(90)], "doc_id long, text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: disk.getAllFiles().mkString("\n").count("shuffle_")
+    before = held()
+    table = common.materialise(docs.repartition(3, "doc_id"), "dealt")
+    until = time.time() + 10
+    while held() > before and time.time() < until:
+        time.sleep(0.1)
+    assert held() <= before and table.count() == 90
+    kept = simhash.drop_near_duplicates(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 90, 3))
+    # the sketches and roots that the result is read from, and its heads
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["dealt", "heads", "roots", "sketches"]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
+    rng = np.random.default_rng(8)
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in rng.integers(0, 300, (180, 2)).tolist()] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for u, v in edges * 2:
+        if u != v and root[u] != root[v]:
+            low, high = sorted((root[u], root[v]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    got = [(r["node"], r["root"]) for r in simhash.components(spark.createDataFrame(edges, "u string, v string")).collect()]
+    assert len(got) == len(root) and dict(got) == root
+
+
+def test_group_of_many_buckets_comes_once(spark):
+    rng = np.random.default_rng(9)
+    firsts = [(f"{i:03d}", rng.integers(0, 2**63, 4, dtype=np.uint64)) for i in range(40)]
+    firsts += [("copy", firsts[7][1] ^ np.array([1, 0, 2, 0], np.uint64))]
+    places = spark.createDataFrame([(b, n) for b in range(5) for n in ("007", "copy", f"{20 + b:03d}")], "bucket long, name string")
+    near = simhash._near_places(places, spark.createDataFrame([(n, bytearray(f.tobytes())) for n, f in firsts], "name string, fp binary"), spark.createDataFrame([], "node string, root string")).collect()
+    assert sorted(r["name"] for r in near) == ["007", "copy"] and len({r["pair"] for r in near}) == 1
