@@ -33,7 +33,7 @@ _FOOTER = struct.Struct("<QQI8s")
 
 
 def _u32(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class TokenFileWriter:
@@ -138,7 +138,7 @@ def _write(path: str, folder: str, end_id: int | None, level: int):
     end = b"" if end_id is None else _u32([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "u32", _u32)
+        enc = encoder(path, "u32", _u32, b"".join)
         context = TaskContext.get()
         writer, name = None, f"tokens-{uuid.uuid4().hex}.bin"  # a retried task writes another file; the manifest has one
         for batch in batches:

@@ -24,7 +24,7 @@ _ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: A word of more characters is cut in halves.
 LEAF = 4096
-#: Cached entries before a cache starts anew; every worker process of an executor has caches of its own.
+#: Entries of a cache's younger half before it becomes the older one; every worker process of an executor has caches of its own.
 CACHE = 1 << 16
 
 
@@ -115,10 +115,33 @@ class Bpe:
         return parts[0] if parts else []
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, kept for the ``size`` keys, or up to twice as many, that were asked for last.
+
+    When the younger half is full it becomes the older one; a key found there moves to the younger half, so frequent keys stay.
+    """
+
+    def __init__(self, make: Callable[[str], Any], size: int) -> None:
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
-    """Encodes whole texts as the library does; ``form`` says what is kept of the ids of a word."""
+    """Encodes whole texts as the library does; ``form`` says what is kept of the ids of a word, and ``join``, if given, makes one
+    of the forms of neighbours."""
 
-    def __init__(self, path: str, form: Callable[[list[int]], Any]) -> None:
+    def __init__(self, path: str, form: Callable[[list[int]], Any], join: Callable[[list], Any] | None = None) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -129,36 +152,24 @@ class WordEncoder:
         self.letters = letters
         self.table = {b: letters[b] for b in range(256)}
         model, form_of, big = self.tokenizer.model, form, LEAF
-        words: dict[str, list[int]] = {}
 
         def word(w: str) -> list[int]:
-            found = words.get(w)
-            if found is None:
-                if len(words) >= CACHE:
-                    words.clear()
-                mapped = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.table)
-                found = self.bpe.tree(mapped) if len(mapped) > big else [t.id for t in model.tokenize(mapped)]
-                if len(w) <= 64:
-                    words[w] = found
-            return found
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> Any:
-                if len(self) >= CACHE:
-                    self.clear()
-                if chunk.isalpha():
-                    ids = word(chunk)
-                elif chunk[-1] in ",." and chunk[:-1].isalpha():
-                    ids = word(chunk[:-1]) + word(chunk[-1])
-                else:
-                    ids = [i for w in _PRETOKEN.findall(chunk) for i in word(w)]
-                value = form_of(ids)
-                if len(chunk) <= 64:
-                    self[chunk] = value
-                return value
-
-        self.word = word
-        self.chunks = Chunks()
+            mapped = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.table)
+            return self.bpe.tree(mapped) if len(mapped) > big else [t.id for t in model.tokenize(mapped)]
+
+        # words beside signs, where forms can't be joined; those that stand alone are cached as chunks
+        words = Recent(word, CACHE // 4)
+
+        def chunk(c: str) -> Any:
+            if c.isalpha():
+                return form_of(word(c))
+            parts = [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else _PRETOKEN.findall(c)
+            if join is None:
+                return form_of([i for w in parts for i in words[w]])
+            return join([chunks[w] for w in parts]) if len(parts) > 1 else form_of(word(c))
+
+        # forms that can be joined are small, and signs cost no other cache
+        self.chunks = chunks = Recent(chunk, CACHE if join is None else 4 * CACHE)
 
     @cached_property
     def bpe(self) -> Bpe:
@@ -212,9 +223,9 @@ class WordEncoder:
 _encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
-def encoder(path: str, kind: str, form: Callable[[list[int]], Any]) -> WordEncoder:
+def encoder(path: str, kind: str, form: Callable[[list[int]], Any], join: Callable[[list], Any] | None = None) -> WordEncoder:
     """One encoder for each worker process, file and form: its caches outlive a task."""
     if (path, kind) not in _encoders:
         _encoders.clear()
-        _encoders[path, kind] = WordEncoder(path, form)
+        _encoders[path, kind] = WordEncoder(path, form, join)
     return _encoders[path, kind]

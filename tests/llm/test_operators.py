@@ -743,3 +743,29 @@ def test_group_of_many_buckets_comes_once(spark):
     places = spark.createDataFrame([(b, n) for b in range(5) for n in ("007", "copy", f"{20 + b:03d}")], "bucket long, name string")
     near = simhash._near_places(places, spark.createDataFrame([(n, bytearray(f.tobytes())) for n, f in firsts], "name string, fp binary"), spark.createDataFrame([], "node string, root string")).collect()
     assert sorted(r["name"] for r in near) == ["007", "copy"] and len({r["pair"] for r in near}) == 1
+
+
+def test_frequent_words_stay_cached(monkeypatch):
+    import public_tokenizers
+
+    from lamina.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "CACHE", 64)
+    made = []
+    encoder = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), lambda ids: made.append(tuple(ids)) or ids)
+    the = tuple(encoder.tokenizer.encode("the", add_special_tokens=False).ids)
+    for i in range(500):
+        got = encoder.parts(f"the w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}, the")
+        assert tuple(got[0]) == the == tuple(got[2])
+    assert made.count(the) == 1 and len(encoder.chunks) <= 64 and len(encoder.chunks.older) <= 64
+
+
+def test_joined_forms_equal_the_library():
+    import public_tokenizers
+
+    from lamina.llm import wordbpe
+
+    encoder = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), tokenfile._u32, b"".join)
+    for text in ("it's 'tis a,b ,, ...", "don't, 12.5% of x_y (that)!", "&&' 's '' ll'll", "\u00e9t\u00e9, na\u00efve. \u00b1\u00e7"):
+        for _ in range(2):
+            assert b"".join(encoder.parts(text)) == tokenfile._u32(encoder.tokenizer.encode(text, add_special_tokens=False).ids), text
