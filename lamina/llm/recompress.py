@@ -126,6 +126,7 @@ class Batch:
     words: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    others: np.ndarray | None = None  # second hashes of the words
 
     def window_starts(self, size: int = WINDOW) -> np.ndarray:
         """Whether a window of a document starts at each word."""
@@ -168,34 +169,48 @@ class Batch:
         return np.concatenate([s.name[order[used]], own]), np.concatenate([s.lo[order[used]], windows[bare]]), windows, seed
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-class _Others(_Hashes):
-    """A second hash of words, by another function."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 0x5EED)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes, _others = _Hashes(), _Others()
-
-
-def hash_words(text: bytes) -> np.ndarray:
-    parts = [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Keeps so many bytes of a lane of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one, and text is read in slices of about so many bytes.
+LONG_WORD, SLICE = 256, 4 << 20
+
+
+def _hash_slice(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text start, and two independent hashes of each: of its length and its bytes, eight at a time."""
+    data = np.frombuffer(b"".join((b" ", text, b" " * 8)), np.uint8)
+    gap = _GAP[data]
+    flips = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, size = flips[::2], flips[1::2] - flips[::2]
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    first, second = size.astype(np.uint64) * _A, size.astype(np.uint64) * _B
+    some, at, left = np.arange(len(starts)), starts, size
+    while len(some):
+        lane = lanes[at] & _LOW[np.minimum(left, 8)]
+        first[some] = mix64(first[some] + lane)
+        second[some] = mix64((second[some] ^ lane) * _C)
+        more = (left > 8) & (size[some] <= LONG_WORD)
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word = data[starts[i] : starts[i] + size[i]].tobytes()
+        first[i], second[i] = xxhash.xxh3_64_intdigest(word), xxhash.xxh64_intdigest(word, 0x5EED)
+    return starts - 1, first, second
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` of a text start, and two independent hashes of each."""
+    if len(text) <= SLICE:
+        return _hash_slice(text)
+    parts, at = [], 0
+    while at < len(text):
+        end = at + SLICE
+        while end < len(text) and not _GAP[text[end]]:
+            end += 1
+        starts, *hashes = _hash_slice(text[at:end])
+        parts.append((starts + at, *hashes))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
@@ -205,10 +220,15 @@ def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
 
 def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys (rows of 64-bit words), and where in that order a new one begins."""
-    order = np.lexsort(keys.T[::-1])
+    order = np.argsort(keys[:, 0])
     k = keys[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]).any(axis=1)
+    new[1:] = k[1:, 0] != k[:-1, 0]
+    if keys.shape[1] > 1 and ((k[1:, 1:] != k[:-1, 1:]).any(axis=1) & ~new[1:]).any():
+        # keys that begin alike and differ, which chance hardly brings: all words are sorted
+        order = np.lexsort(keys.T[::-1])
+        k = keys[order]
+        new[1:] = (k[1:] != k[:-1]).any(axis=1)
     return order, new
 
 
@@ -342,10 +362,10 @@ def texts_of(packed: bytes, n: int) -> list[bytes]:
 def load(ids: np.ndarray, texts: list[bytes], skip: np.ndarray) -> Batch:
     """The documents of a batch that take part: not skipped, and with an id."""
     index = np.nonzero(~skip & (ids != _NONE))[0]
-    parts = [hash_words(texts[i]) for i in index]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    ends = np.cumsum(sizes)
-    return Batch(ids[index], index, np.concatenate(parts) if parts else np.zeros(0, np.uint64), ends - sizes, ends)
+    at, words, others = hash_words(b" ".join([texts[i] for i in index]))
+    bounds = np.cumsum([0, *(len(texts[i]) + 1 for i in index)])
+    cuts = np.searchsorted(at, bounds)
+    return Batch(ids[index], index, words, cuts[:-1], cuts[1:], others)
 
 
 def sum_keys(sums: bytes) -> np.ndarray:
@@ -395,23 +415,12 @@ def _seed_places(got: Batch, owners: int, seed):
     return seeds, (received(keys, owners, _bits(seed)) | (low < high))[place]
 
 
-def _windows(got: Batch, texts: list[bytes], owners: int, seed):
+def _windows(got: Batch, owners: int, seed):
     """Candidate windows of the batch: starts, then distinct 128-bit keys, least documents and places."""
     (_, _, windows, of), shared = _seed_places(got, owners, seed)
     starts = windows[shared[of]]
-    place = got.doc_of(starts)
-    docs = got.ids[place]
-    # the second hash is made for the words of candidates only
-    cover = np.zeros(len(got.words) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + WINDOW, -1)
-    needed, other = np.cumsum(cover[:-1]) > 0, np.zeros_like(got.words)
-    for i in np.unique(place):
-        a, e = got.starts[i], got.ends[i]
-        words = [w for part in word_lists(texts[got.index[i]]) for w in part]
-        at = np.nonzero(needed[a:e])[0]
-        other[a + at] = np.fromiter(map(_others.__getitem__, map(words.__getitem__, at.tolist())), np.uint64, len(at))
-    keys = np.stack([window_hashes(got.words)[starts], window_hashes(other)[starts]], axis=1) if len(starts) else np.zeros((0, 2), np.uint64)
+    docs = got.ids[got.doc_of(starts)]
+    keys = np.stack([window_hashes(got.words)[starts], window_hashes(got.others)[starts]], axis=1) if len(starts) else np.zeros((0, 2), np.uint64)
     return starts, docs, *distinct_keys(keys, docs)
 
 
@@ -420,9 +429,8 @@ def _send_windows(owners: int):
         for b in batches:
             for batch, ids, sums, texts, copy, seed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 i = np.frombuffer(ids, np.int64)
-                docs = texts_of(texts, len(i))
-                got = load(i, docs, copies(i, sums, owners, copy))
-                _, _, keys, low, _, _ = _windows(got, docs, owners, seed)
+                got = load(i, texts_of(texts, len(i)), copies(i, sums, owners, copy))
+                _, _, keys, low, _, _ = _windows(got, owners, seed)
                 yield from send(batch, keys, low, owners)
 
     return run
@@ -436,7 +444,7 @@ def _finish(owners: int, digest: bool):
                 docs = texts_of(texts, len(i))
                 copied = copies(i, sums, owners, copy)
                 got = load(i, docs, copied)
-                starts, of, keys, low, _, place = _windows(got, docs, owners, seed)
+                starts, of, keys, low, _, place = _windows(got, owners, seed)
                 hit = starts[received(keys, owners, _bits(window))[place] | (low[place] < of)]
                 cover = np.zeros(len(got.words) + 1, np.int32)
                 np.add.at(cover, hit, 1)

@@ -769,3 +769,26 @@ def test_joined_forms_equal_the_library():
     for text in ("it's 'tis a,b ,, ...", "don't, 12.5% of x_y (that)!", "&&' 's '' ll'll", "\u00e9t\u00e9, na\u00efve. \u00b1\u00e7"):
         for _ in range(2):
             assert b"".join(encoder.parts(text)) == tokenfile._u32(encoder.tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+@pytest.mark.parametrize("size", [1 << 22, 50])
+def test_word_hashes_of_a_batch(monkeypatch, size):
+    """Equal words, and no others, have equal hashes, wherever they stand and however a text is sliced."""
+    monkeypatch.setattr(recompress, "SLICE", size)
+    random.seed(14)
+    words = [b"", *(bytes(random.choices(b"ab\0\xff", k=k)) for k in [*range(1, 30)] * 4), b"x" * 255, b"x" * 256, b"x" * 257, b"x" * 258, b"y" * 5000]
+    texts = [b"", b" \t\n\x0b\x0c\r", *(random.choice(b" \t\n\x0b\x0c\r").to_bytes() * random.randint(0, 2) + b" ".join(random.choices(words, k=60)) for _ in range(40)), b""]
+    skip = np.arange(len(texts)) % 7 == 3
+    got = recompress.load(np.arange(len(texts)), texts, skip)
+    expected = [WORD.findall(t) for t, out in zip(texts, skip, strict=True) if not out]
+    assert (got.ends - got.starts).tolist() == list(map(len, expected)) and got.starts[0] == 0 and got.ends[-1] == len(got.words)
+    every = [w for t in expected for w in t]
+    for hashes in (got.words, got.others):
+        assert len(set(zip(every, hashes.tolist(), strict=True))) == len(set(every)) == len(set(hashes.tolist()))
+    assert not set(got.words.tolist()) & set(got.others.tolist())
+
+
+def test_keys_that_begin_alike():
+    keys = np.array([[5, 2], [1, 9], [5, 1], [5, 2], [1, 9], [0, 0]], np.uint64)
+    found, low, high, place = recompress.distinct_keys(keys, np.array([4, 3, 2, 1, 0, 5]))
+    assert found.tolist() == [[0, 0], [1, 9], [5, 1], [5, 2]] and low.tolist() == [5, 0, 2, 1] and high.tolist() == [5, 3, 2, 4] and place.tolist() == [3, 1, 2, 3, 1, 0]
