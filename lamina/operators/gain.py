@@ -39,15 +39,38 @@ def quadrant(dx: Column, dy: Column) -> Column:
     return F.when((dx > 0) & (dy > 0), 0).when(dx > 0, 3).when(dy > 0, 1).otherwise(2)
 
 
+def places(targets: DataFrame, on: list[str]) -> DataFrame:
+    """(on, target, tx, ty): one target, the least, for each place where there are any."""
+    return targets.groupBy(*on, "tx", "ty").agg(F.min("target").alias("target")).select(*on, "target", "tx", "ty")
+
+
+def at_places(targets: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """(on, target, *rest): each target's rows are those found for the target that stands for its place, (on, target, tx, ty, *rest)."""
+    rest = [c for c in found.columns if c not in (*on, "target", "tx", "ty")]
+    key = [*on, "tx", "ty"]
+    f = found.select(*[F.col(c).alias(f"_{c}") for c in key], *rest)
+    same = [F.col(c) == F.col(f"_{c}") for c in on] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("tx", "ty")]
+    return targets.select(*key, "target").distinct().join(f, same).select(*on, "target", *rest)
+
+
 def nearest_in_quadrants(targets: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
     """For each target (on, target, tx, ty) and quadrant the nearest block (on, idx, bx, by); ties to the least idx.
 
-    Blocks meet targets on equal keys, and a partial aggregate keeps one for each quadrant: nothing is ranked.
+    Different places of blocks meet different places of targets on equal keys, however many rows share a place, and a partial aggregate
+    keeps one for each quadrant: nothing is ranked.
     """
-    d = targets.join(blocks, on).withColumns({"dx": F.col("bx") - F.col("tx"), "dy": F.col("by") - F.col("ty")})
+    return at_places(targets, nearest_of_places(places(targets, on), blocks, on), on)
+
+
+def nearest_of_places(targets: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+    """(on, target, tx, ty, q, idx, dx, dy, d2): the same for targets that are all at different places, with the places."""
+    firsts = blocks.groupBy(*on, "bx", "by").agg(F.min("idx").alias("idx"))
+    d = targets.join(firsts, on).withColumns({"dx": F.col("bx") - F.col("tx"), "dy": F.col("by") - F.col("ty")})
     d = d.withColumns({"q": quadrant(F.col("dx"), F.col("dy")), "d2": F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")})
-    best = d.groupBy(*on, "target", "q").agg(F.min_by(F.struct("idx", "dx", "dy", "d2"), F.struct("d2", "idx")).alias("b"))
-    return best.select(*on, "target", "q", "b.idx", "b.dx", "b.dy", "b.d2")
+    # what has no distance comes last
+    order = F.struct(F.col("d2").isNull().alias("none"), "d2", F.col("idx").isNull().alias("nameless"), "idx")
+    best = d.groupBy(*on, "target", "tx", "ty", "q").agg(F.min_by(F.struct("idx", "dx", "dy", "d2"), order).alias("b"))
+    return best.select(*on, "target", "tx", "ty", "q", "b.idx", "b.dx", "b.dy", "b.d2")
 
 
 def quadrant_weights(nearest: DataFrame, keys: list[str]) -> DataFrame:

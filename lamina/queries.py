@@ -431,15 +431,15 @@ dq AS (SELECT *, CASE WHEN dx > 0 AND dy > 0 THEN 0 WHEN dx > 0 THEN 3 WHEN dy >
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, target, q ORDER BY d2, idx) AS rn FROM dq) WHERE rn = 1)"""
 
 
-def _near(spark, sf_dir) -> DataFrame:
+def _targets_blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").selectExpr("c_nationkey as g", "c_custkey as target", "c_custkey % 100 / 100.0D as tx", "c_custkey * 7 % 100 / 100.0D as ty")
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").selectExpr("s_nationkey as g", "s_suppkey as idx", "s_suppkey * 13 % 100 / 100.0D as bx", "s_suppkey * 29 % 100 / 100.0D as by")
-    return gain.nearest_in_quadrants(c, s, ["g"])
+    return c, s
 
 
 @query(f"WITH {_NEAR} SELECT g, target, q, idx FROM near")
 def nearest_quadrant(spark, sf_dir):
-    return _near(spark, sf_dir).select("g", "target", "q", "idx")
+    return gain.nearest_in_quadrants(*_targets_blocks(spark, sf_dir), ["g"]).select("g", "target", "q", "idx")
 
 
 def _pair_sql(c: str, own: int, other: int) -> str:
@@ -456,7 +456,7 @@ codes AS (SELECT s_suppkey AS idx, ch, cell, s_suppkey * (ch + 3) * (cell + 7) %
 SELECT g, target, ch AS channel, cell, round(CAST(CAST(sum(weight * (0.9 + 0.01 * code)) AS FLOAT) AS DOUBLE), 3) AS gain FROM w JOIN codes USING (idx) GROUP BY 1, 2, 3, 4""")
 def gain_merge(spark, sf_dir):
     keys = ["g", "target"]
-    w = gain.quadrant_weights(_near(spark, sf_dir), keys)
+    w = gain.quadrant_weights(gain.nearest_in_quadrants(*_targets_blocks(spark, sf_dir), ["g"]), keys)
     pick = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("channel"), F.lit(j).cast("long").alias("cell")) for i in range(3) for j in range(2)])).alias("p")
     codes = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("idx"), pick).select("idx", "p.*")
     codes = codes.withColumns({"code": F.col("idx") * (F.col("channel") + 3) * (F.col("cell") + 7) % 100, "least": F.lit(0.9), "step": F.lit(0.01)})

@@ -151,6 +151,24 @@ def test_gain(spark):
     assert all(math.isclose(merged[c], 1 + 0.5 * (0.375 * 10 + 0.125 * 50 + c), rel_tol=1e-6) for c in range(2))
 
 
+def test_gain_at_places(spark):
+    """Many targets and blocks at few places: each place is compared once, and what has no place comes last."""
+    t = spark.createDataFrame([(1, i, i % 7 / 7.0, i % 3 / 3.0) for i in range(500)] * 2 + [(1, 900, None, 0.5), (2, 901, 0.5, 0.5)], "k int, target int, tx double, ty double")
+    b = [(i, i % 11 / 11.0, i % 5 / 5.0) for i in range(300)] + [(-1, None, 0.9), (-2, None, -1.0)]
+    blocks = spark.createDataFrame([(1, *x) for x in b], "k int, idx int, bx double, by double")
+    want = set()
+    for i, x, y in {(i, i % 7 / 7.0, i % 3 / 3.0) for i in range(500)}:
+        best = {}
+        for j, bx, by in b[:300]:
+            q = (0 if by > y else 3) if bx > x else 1 if by > y else 2
+            best[q] = min(best.get(q, (9.0, 0)), ((bx - x) ** 2 + (by - y) ** 2, j))
+        want |= {(i, q, j) for q, (_, j) in best.items()}
+    want |= {(900, 1, -1), (900, 2, -2)}
+    got = gain.nearest_in_quadrants(t, blocks, ["k"]).collect()
+    assert len(got) == len(want) and {(r["target"], r["q"], r["idx"]) for r in got} == want
+    assert gain.places(t, ["k"]).count() == 23
+
+
 def test_geometry(spark, image):
     assert geometry.centre_rect(10, 8, 0, 4) == (0, 0, 9, 7) and geometry.centre_rect(11, 9, 5, 3) == (3, 3, 7, 5)
     assert (grid(geometry.crop(frame(spark, image), (2, 3, 5, 7))) == image[3:8, 2:6]).all()
