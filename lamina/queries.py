@@ -455,12 +455,15 @@ w AS (SELECT near.g, near.target, idx, ({_WX}) * ({_WY}) AS weight FROM near JOI
 codes AS (SELECT s_suppkey AS idx, ch, cell, s_suppkey * (ch + 3) * (cell + 7) % 100 AS code FROM supplier, range(3) a(ch), range(2) b(cell))
 SELECT g, target, ch AS channel, cell, round(CAST(CAST(sum(weight * (0.9 + 0.01 * code)) AS FLOAT) AS DOUBLE), 3) AS gain FROM w JOIN codes USING (idx) GROUP BY 1, 2, 3, 4""")
 def gain_merge(spark, sf_dir):
-    keys = ["g", "target"]
-    w = gain.quadrant_weights(gain.nearest_in_quadrants(*_targets_blocks(spark, sf_dir), ["g"]), keys)
+    """Merged once for each place of a target."""
+    targets, blocks = _targets_blocks(spark, sf_dir)
+    stand = gain.places(targets, ["g"])
+    w = gain.quadrant_weights(gain.nearest_of_places(stand, blocks, ["g"]), ["g", "target"])
     pick = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("channel"), F.lit(j).cast("long").alias("cell")) for i in range(3) for j in range(2)])).alias("p")
     codes = table(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("idx"), pick).select("idx", "p.*")
     codes = codes.withColumns({"code": F.col("idx") * (F.col("channel") + 3) * (F.col("cell") + 7) % 100, "least": F.lit(0.9), "step": F.lit(0.01)})
-    return gain.merge_gain(w, codes, [*keys], []).withColumn("gain", F.round(F.col("gain").cast("double"), 3))
+    merged = gain.merge_gain(w, codes, ["g", "target"], []).join(stand, ["g", "target"])
+    return gain.at_places(targets, merged, ["g"]).withColumn("gain", F.round(F.col("gain").cast("double"), 3))
 
 
 # Geometry.

@@ -28,6 +28,25 @@ def test_same_rows(spark, duck, name):
     assert sorted(rows(a), key=key) == sorted(rows(b), key=key)
 
 
+def most_rows(spark, df):
+    """The largest number of rows that a step of the plan made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    at = store.executionsList().last().executionId()
+    values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+    found = [m for i in range(nodes.size()) for j in range(nodes.apply(i).metrics().size()) if (m := nodes.apply(i).metrics().apply(j)).name() == "number of output rows"]
+    return max(int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if values.contains(m.accumulatorId()))
+
+
+@pytest.mark.parametrize("name, rows", [("nearest_quadrant", 12_000), ("gain_merge", 18_000)])
+def test_places_meet_once(spark, tmp_path, name, rows):
+    """3,000 customers and 2,000 suppliers of a nation lie at 100 places each: 10,000 pairs, not 6,000,000."""
+    spark.range(3000).selectExpr("id as c_custkey", "3 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2000).selectExpr("id as s_suppkey", "3 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert most_rows(spark, QUERIES[name](spark, str(tmp_path))) <= rows
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
