@@ -77,8 +77,8 @@ def srgb_table(size: int, top: int) -> list[float]:
     return [min(max(curve(i / (size - 1)) * top, 0.0), float(top)) for i in range(size)]
 
 
-def table_lookup(v: Column, table: list[float]) -> Column:
-    """Linear interpolation in a table over 0..1, clamped at both ends and rounded."""
+def table_lookup(v: Column, table: list[float], places: int | None = None) -> Column:
+    """Linear interpolation in a table over 0..1, clamped at both ends and rounded; first to so many places, if given, as SQL's round() does."""
     n = len(table)
     cells = F.array([F.lit(float(x)) for x in table])
     at = v * float(n - 1)
@@ -86,6 +86,8 @@ def table_lookup(v: Column, table: list[float]) -> Column:
     inner = F.greatest(F.lit(0), F.least(i, F.lit(n - 2))).cast("int")
     low, high = F.get(cells, inner), F.get(cells, inner + 1)
     value = F.when(i < 0, F.lit(float(table[0]))).when(i >= n - 1, F.lit(float(table[-1]))).otherwise(low + (at - i) * (high - low))
+    if places is not None:
+        value = F.round(value * 10.0**places) / 10.0**places
     return F.round(value).cast("long")
 
 

@@ -122,7 +122,7 @@ p AS (SELECT *, CAST(floor(v * 255) AS BIGINT) AS i, v * 255 AS a FROM unit)
 SELECT {_K}, CAST(round(round(CASE WHEN p.i < 0 THEN 0.0 WHEN p.i >= 255 THEN 1000.0 ELSE lo.c + (a - p.i) * (hi.c - lo.c) END, 6)) AS BIGINT) AS out
 FROM p LEFT JOIN cells lo ON lo.i = p.i LEFT JOIN cells hi ON hi.i = p.i + 1""")
 def srgb_lut(spark, sf_dir):
-    return _unit(spark, sf_dir).select(*_KEYS, px.table_lookup(F.col("v"), px.srgb_table(256, 1000)).alias("out"))
+    return _unit(spark, sf_dir).select(*_KEYS, px.table_lookup(F.col("v"), px.srgb_table(256, 1000), 6).alias("out"))
 
 
 def _mat_sql(m: list[float], names: tuple[str, str, str], out: tuple[str, str, str], wrap: str = "round({}, 6)") -> str:

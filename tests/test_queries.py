@@ -47,6 +47,17 @@ def test_places_meet_once(spark, tmp_path, name, rows):
     assert most_rows(spark, QUERIES[name](spark, str(tmp_path))) <= rows
 
 
+def test_lut_rounds_as_sql(spark, tmp_path):
+    """Prices whose value lies less than a millionth under a half: rounded to six places first, and then up."""
+    prices = [7922.37, 11685.83, 13671.17, 21031.73, 22589.41, 33083.29, 45229.23, 45827.60]
+    spark.createDataFrame([(i, 1, 1, 1, p) for i, p in enumerate(prices)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["l_orderkey"]: r["out"] for r in QUERIES["srgb_lut"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {k: v for k, v in con.execute(f"select l_orderkey, out from ({ORACLE_SQL['srgb_lut']})").fetchall()}
+    assert got == want and [got[i] for i in range(8)] == [298, 360, 388, 475, 491, 585, 674, 678]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
