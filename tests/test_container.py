@@ -166,3 +166,16 @@ def test_views_read_what_they_need(tmp_path):
             assert list(ct.view_rows(view, "f", read))
             fetched[view] = read.fetched
     assert fetched["header"] == 616 and fetched["sections"] == 4 + 12 + 3 * 12 and max(fetched.values()) <= 616 < len(data) // 10
+
+
+def test_tables_are_made_once():
+    """A legacy image's codes are looked up once for all rows and images, and a row's bits end where it can end."""
+    image = np.stack([smooth(40, 6, 300) for _ in range(3)], axis=2)
+    codec.mapped_codes.cache_clear()
+    for _ in range(3):
+        (p,) = ct.planes(legacy_section(image))
+        assert (np.stack(ct.decode_plane(p), axis=2) == image).all()
+    assert codec.mapped_codes.cache_info().misses == 1
+    words = [(1 << 27) | 1, (2 << 27) | 1]
+    assert codec.mapped_diffs(b"\x60" + b"\xff" * 9, words, None, 3).tolist() == [1, 0, 0]
+    assert codec.mapped_diffs(b"", words, None, 2).tolist() == codec.mapped_diffs(b"\0\0", words, None, 2).tolist() == [0, 0]
