@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from lamina.plans import convert
 from lamina.session import ship
 from lamina.sinks import container as writer
 from lamina.sources import container
+from lamina.sources.batches import arrow_schema, batches, tuples
 from lamina.sources.derived import RASTER_SQL, planes
 
 QUERIES: dict = {}
@@ -71,19 +73,19 @@ def files(spark: SparkSession, sf_dir: str, kind: str = "true") -> DataFrame:
     """(path, content): one container for each image of the raster."""
     ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, *layers in pdf[["image_id", "b", "m", "t"]].itertuples(index=False):
-                b, m, t = (np.array(v, int).reshape(8, 8) // 4 for v in layers)
-                properties = writer.property_section([("CAMMODEL", f"M{i} DP2" if i % 5 == 0 else f"M{i}"), ("CAMSERIAL", str(1000 + i)), ("PLACE", f"Größe {i}")])
-                thumb = b"SECi" + np.array([0x20000, 2, 0x12, 30 + i % 4, 20, 0], "<u4").tobytes() + f"jpeg{i}".encode()
-                sections = [(b"PROP" if i % 2 else b"SECp", properties), (b"SECi", thumb), (b"IMA2" if i % 3 == 1 else b"SECi", _image(kind, b, m, t))]
-                sections.append((b"CAMF" if i % 5 == 0 else b"SECc", writer.metadata_section(_metadata(i), (2, 4, 5)[i % 3])))
-                out.append((f"image-{i}", writer.container(sections, _VERSIONS[i % 4], (64 + i % 10, 48 + i % 7), ("Sunlight", "Shadow", "")[i % 3])))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return planes(spark, sf_dir).mapInPandas(run, "path string, content binary")
+    kinds = arrow_schema("path string, content binary")
+
+    def all_rows(given: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for i, *layers in tuples(given):
+            b, m, t = (np.array(v, int).reshape(8, 8) // 4 for v in layers)
+            properties = writer.property_section([("CAMMODEL", f"M{i} DP2" if i % 5 == 0 else f"M{i}"), ("CAMSERIAL", str(1000 + i)), ("PLACE", f"Größe {i}")])
+            thumb = b"SECi" + np.array([0x20000, 2, 0x12, 30 + i % 4, 20, 0], "<u4").tobytes() + f"jpeg{i}".encode()
+            sections = [(b"PROP" if i % 2 else b"SECp", properties), (b"SECi", thumb), (b"IMA2" if i % 3 == 1 else b"SECi", _image(kind, b, m, t))]
+            sections.append((b"CAMF" if i % 5 == 0 else b"SECc", writer.metadata_section(_metadata(i), (2, 4, 5)[i % 3])))
+            yield f"image-{i}", writer.container(sections, _VERSIONS[i % 4], (64 + i % 10, 48 + i % 7), ("Sunlight", "Shadow", "")[i % 3])
+
+    images = planes(spark, sf_dir).select("image_id", "b", "m", "t")
+    return images.mapInArrow(lambda given: batches(all_rows(given), kinds), "path string, content binary")
 
 
 _IMG = f"{RASTER_SQL}, img AS (SELECT DISTINCT image_id AS i, 'image-' || image_id AS path FROM raster)"

@@ -179,3 +179,24 @@ def test_tables_are_made_once():
     words = [(1 << 27) | 1, (2 << 27) | 1]
     assert codec.mapped_diffs(b"\x60" + b"\xff" * 9, words, None, 3).tolist() == [1, 0, 0]
     assert codec.mapped_diffs(b"", words, None, 2).tolist() == codec.mapped_diffs(b"\0\0", words, None, 2).tolist() == [0, 0]
+
+
+def test_batches_are_small():
+    """Rows leave a worker few at a time, by number and by bytes, in order."""
+    from lamina.sources import batches as b
+
+    taken = []
+
+    def rows(n, size):
+        for i in range(n):
+            taken.append(i)
+            yield f"f{i}", i, bytes(size), [(i, "x")]
+
+    schema = b.arrow_schema("path string, idx int, data binary, dims array<struct<size:int,name:string>>")
+    first = next(b.batches(rows(100_000, 0), schema))
+    assert first.num_rows == len(taken) == b.ROWS
+    taken.clear()
+    first = next(b.batches(rows(100_000, 100_000), schema))
+    assert first.num_rows == len(taken) == -(-b.BYTES // 100_008)
+    assert list(b.tuples(b.batches(rows(3, 2), schema))) == [(f"f{i}", i, b"\0\0", [{"size": i, "name": "x"}]) for i in range(3)]
+    assert not list(b.batches(iter(()), schema))
